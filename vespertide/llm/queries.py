@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from vespertide.llm.pieces import op5_sentencepiece
+from vespertide.llm.simhash import op9_simhash
 from vespertide.llm.tokens import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
