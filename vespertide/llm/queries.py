@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from vespertide.llm.decontam import OP3_SQL, op3_decontamination
 from vespertide.llm.pieces import op5_sentencepiece
+from vespertide.llm.secrets import op6_secrets
 from vespertide.llm.simhash import op9_simhash
 from vespertide.llm.tokens import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_secrets": op6_secrets,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
