@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vespertide.llm.decontam import OP3_SQL, op3_decontamination
+from vespertide.llm.linededup import op8_line_dedup
 from vespertide.llm.pieces import op5_sentencepiece
 from vespertide.llm.secrets import op6_secrets
 from vespertide.llm.simhash import op9_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_secrets": op6_secrets,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }
 
