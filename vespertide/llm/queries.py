@@ -8,10 +8,12 @@ from vespertide.llm.pieces import op5_sentencepiece
 from vespertide.llm.secrets import op6_secrets
 from vespertide.llm.simhash import op9_simhash
 from vespertide.llm.tokens import op2_token_counts
+from vespertide.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_secrets": op6_secrets,
     "op8_line_dedup": op8_line_dedup,
