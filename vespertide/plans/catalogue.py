@@ -1,7 +1,812 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vespertide.functions import text as T
+from vespertide.operators import blend, evaluate, profile, recommend, signals, store
+from vespertide.operators.common import literal_rows, numbered, standardised
+from vespertide.plans.oracle import blended, dense, profile as profile_sql, sims, statement, z
+from vespertide.settings import DEFAULTS
+from vespertide.sources import files, tables
+from vespertide.streaming import feedback
+
 FLAGSHIP = "recommend_reference"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SEED = 9
+NAMED = [9, 30]
+LIKED = [(9, 5.0), (16, 4.5), (25, 4.0), (30, 3.5)]
+DISLIKED = [33, 40]
+KEYWORDS = ["the", "that", "tion", "src7", "1990s"]
+MODE, NEVER = "de", "es"
+#: Few items of the test tables have 20 raters.
+COLLAB = replace(DEFAULTS, collab_min_ratings=5)
+COHORTS = 10
+
+
+def register(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return keep
+
+
+def q6(column: str, name: str | None = None):
+    return F.round(column, 6).alias(name or column)
+
+
+def rows_sql(rows: list[tuple], *names: str) -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS v({', '.join(names)})"
+
+
+def metadata(spark, sf):
+    return signals.metadata_signal(tables.items(spark, sf))
+
+
+def semantic(spark, sf):
+    return signals.dense_signal("semantic", tables.items(spark, sf), tables.vectors(spark, sf))
+
+
+def both_signals(spark, sf):
+    return [metadata(spark, sf), semantic(spark, sf)]
+
+
+# Store and scans ---------------------------------------------------------------------------------------
+
+
+@register("scan_current_items", statement("SELECT id, title, year, decade, array_to_string(genres, ',') AS genres, array_to_string(keywords, ',') AS keywords, collection FROM c_items"))
+def scan_current_items(spark, sf):
+    return tables.items(spark, sf).select("id", "title", "year", "decade", F.array_join("genres", ",").alias("genres"), F.array_join("keywords", ",").alias("keywords"), "collection")
+
+
+@register("stale_items", statement("SELECT id FROM c_records WHERE _v <> 2"))
+def stale_items(spark, sf):
+    return store.stale(tables.records(spark, sf)).select("id")
+
+
+@register("count_items", statement("SELECT count(*) AS all_items, count(*) FILTER (WHERE _v = 2) AS current_items FROM c_records"))
+def count_items(spark, sf):
+    return tables.records(spark, sf).agg(F.count("*").alias("all_items"), F.count_if(store.is_current()).alias("current_items"))
+
+
+@register("point_lookup", statement("SELECT id, title, director FROM c_records WHERE id = 42"))
+def point_lookup(spark, sf):
+    return store.lookup(tables.records(spark, sf), 42).select("id", "title", "director")
+
+
+ASKED = [9, 3, 9, 150, 99_999_999, 14, 3, 101]
+
+
+@register("bulk_lookup_ordered", statement("SELECT row_number() OVER (ORDER BY p) AS place, id, title FROM c_records JOIN c_asked USING (id) WHERE _v = 2", c_asked=f"SELECT id, min(p) AS p FROM ({rows_sql([(k, i) for i, k in enumerate(ASKED)], 'id', 'p')}) GROUP BY id"))
+def bulk_lookup_ordered(spark, sf):
+    found = store.lookup_many(tables.records(spark, sf), ASKED).select("id", "title", "position", F.lit(1).alias("g"))
+    return numbered(found, ["g"], F.col("position")).select(F.col("place").cast("long").alias("place"), "id", "title")
+
+
+@register("fetch_plan", statement("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM c_items)"))
+def fetch_plan(spark, sf):
+    asked = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return store.not_stored(asked, tables.items(spark, sf))
+
+
+@register("known_ids", statement("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IN (SELECT id FROM c_items)"))
+def known_ids(spark, sf):
+    asked = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return asked.join(tables.items(spark, sf).select("id"), "id", "left_semi")
+
+
+@register("upsert_latest", "SELECT user_id, event_type, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
+def upsert_latest(spark, sf):
+    return store.upsert(tables.table(spark, sf, "events"), ["user_id", "event_type"], ["value"], "ts", "event_id")
+
+
+SEARCHED = [("Small Ring ", "11"), ("red widget", "28"), ("nothing like it", None), ("HOT GEAR", "37"), ("blue bolt", None)]
+
+
+@register(
+    "negative_search_cache",
+    statement(
+        "SELECT query, r.year AS year, s.query_key IS NOT NULL AS hit, s.item_id AS item_id FROM c_requests r LEFT JOIN c_searches s ON lower(trim(query)) = s.query_key AND coalesce(r.year, '') = s.year_key",
+        c_requests=rows_sql(SEARCHED, "query", "year"),
+        c_searches="SELECT lower(trim(p_name)) AS query_key, CAST(p_size AS VARCHAR) AS year_key, CASE WHEN min(p_partkey) % 3 = 0 THEN NULL ELSE min(p_partkey) END AS item_id FROM part GROUP BY 1, 2",
+    ),
+)
+def negative_search_cache(spark, sf):
+    kept = tables.table(spark, sf, "part").groupBy(F.col("p_name").alias("query"), F.col("p_size").cast("string").alias("year")).agg(F.min("p_partkey").alias("k"))
+    searches = kept.select("query", "year", F.when(F.col("k") % 3 != 0, F.col("k")).alias("item_id"), F.lit(2).alias("_v"))
+    return store.cached_search(literal_rows(spark, SEARCHED, "query string, year string"), searches).select("query", "year", "hit", "item_id")
+
+
+@register("ttl_scan", "SELECT user_id, CAST(epoch(TIMESTAMP '2024-01-30 23:00:00' - max(ts)) AS BIGINT) AS age_s FROM events GROUP BY user_id HAVING CAST(floor(epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(date_trunc('second', max(ts)))) AS BIGINT) <= 21600".replace("CAST(epoch(TIMESTAMP '2024-01-30 23:00:00' - max(ts)) AS BIGINT)", "CAST(epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(date_trunc('second', max(ts))) AS BIGINT)", 1))
+def ttl_scan(spark, sf):
+    fetched = tables.table(spark, sf, "events").groupBy("user_id").agg(F.date_trunc("second", F.max("ts")).alias("fetched_at"))
+    now = F.lit("2024-01-30 23:00:00").cast("timestamp")
+    return store.within_ttl(fetched.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), now).select("user_id", "age_s")
+
+
+@register("edge_lookup", statement("SELECT src, dst, rank FROM c_edges WHERE src = 9"))
+def edge_lookup(spark, sf):
+    return store.lookup(tables.edges(spark, sf), SEED, "src").select("src", "dst", F.col("rank").cast("long").alias("rank"))
+
+
+@register("ratings_union", statement("SELECT count(*) AS n, sum(rating) AS total FROM c_ratings"))
+def ratings_union(spark, sf):
+    r = tables.ratings(spark, sf)
+    split = F.pmod(F.col("user"), F.lit(2)) == 0
+    return r.where(split).unionByName(r.where(~split)).agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+
+
+@register("html_rows", "SELECT page_id, pos, regexp_extract(li, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1) AS href, regexp_extract(li, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2) AS label FROM (SELECT page_id, unnest(l) AS li, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"[^\"]*\">[^<]*</a></li>') AS l FROM pages))")
+def html_rows(spark, sf):
+    return files.listed_links(tables.table(spark, sf, "pages")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("first_seen_union", statement("SELECT id FROM (SELECT id, min(row(k, p)) AS first_at FROM c_sweeps GROUP BY id) ORDER BY first_at, id LIMIT 50", c_sweeps="SELECT id, 0 AS k, -vote_count AS p FROM c_items WHERE vote_count >= 900 UNION ALL SELECT id, 1, -CAST(vote_average * 10 AS INTEGER) FROM c_items WHERE vote_average >= 9"))
+def first_seen_union(spark, sf):
+    i = tables.items(spark, sf)
+    popular = i.where("vote_count >= 900").select("id", (-F.col("vote_count")).alias("position"))
+    acclaimed = i.where("vote_average >= 9").select("id", (-(F.col("vote_average") * 10).cast("int")).alias("position"))
+    return store.ordered_union([popular, acclaimed], "id", 50).select("id")
+
+
+# Text functions ----------------------------------------------------------------------------------------
+
+
+@register("overview_terms", statement("SELECT id, coalesce(array_to_string(overview_terms, ' '), '') AS terms FROM c_records"))
+def overview_terms(spark, sf):
+    return tables.records(spark, sf).select("id", F.array_join("overview_terms", " ").alias("terms"))
+
+
+@register("normalise_title", statement("SELECT id, regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g') AS norm FROM c_records"))
+def normalise_title(spark, sf):
+    return tables.records(spark, sf).select("id", T.normalised_title(F.col("title")).alias("norm"))
+
+
+@register("split_title_year", r"SELECT p_partkey, p_name AS title, CAST(1960 + p_size AS VARCHAR) AS year, regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN p_name || ', The' ELSE p_name END, '^(.*),\s+((?i:The|A|An|La|Le|Les|El|Il))$', '\2 \1') AS moved FROM part")
+def split_title_year(spark, sf):
+    year = (F.lit(1960) + F.col("p_size")).cast("string")
+    named = tables.table(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit(" ("), year, F.lit(") ")).alias("a"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, ", The").otherwise(""), F.lit(" ("), year, F.lit(")")).alias("b"))
+    return named.select("p_partkey", T.split_title_year(F.col("a")).alias("x"), T.split_catalogue_title(F.col("b")).alias("y")).select("p_partkey", "x.title", "x.year", F.col("y.title").alias("moved"))
+
+
+@register("token_soup", statement("SELECT id, sum(tf) AS tokens, count(*) AS distinct_tokens FROM c_tf GROUP BY id"))
+def token_soup(spark, sf):
+    counts = signals.term_counts(signals.informed(tables.items(spark, sf)))
+    return counts.groupBy("id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("distinct_tokens"))
+
+
+@register("information_floor", statement("SELECT id FROM c_informed"))
+def information_floor(spark, sf):
+    return signals.informed(tables.items(spark, sf)).select("id")
+
+
+@register("item_document", statement("SELECT id, md5(title || '. ' || trim(overview) || ' Genres: ' || array_to_string(genres, ', ') || '.' || CASE WHEN len(keywords) > 0 THEN ' Themes: ' || array_to_string(keywords, ', ') || '.' ELSE '' END || ' Directed by ' || director || '.') AS digest FROM c_items WHERE title <> '' AND trim(overview) <> ''"))
+def item_document(spark, sf):
+    full = tables.items(spark, sf).where("title <> '' AND trim(overview) <> ''")
+    return full.select("id", F.md5(T.item_document().cast("binary")).alias("digest"))
+
+
+@register("embedding_coverage", statement("SELECT count(*) AS items, count(*) FILTER (WHERE trim(coalesce(overview, '')) <> '' OR len(keywords) > 0) AS covered FROM c_items"))
+def embedding_coverage(spark, sf):
+    says = (F.trim(F.coalesce("overview", F.lit(""))) != "") | (F.size("keywords") > 0)
+    return tables.items(spark, sf).agg(F.count("*").alias("items"), F.count_if(says).alias("covered"))
+
+
+@register("rating_label", statement("SELECT id, CASE WHEN vote_count < 20 THEN 'not enough ratings yet' ELSE format('{:.1f}', vote_average) || '/10 (' || vote_count || ' votes)' END AS label FROM c_items"))
+def rating_label(spark, sf):
+    return tables.items(spark, sf).select("id", T.rating_label(F.col("vote_count"), F.col("vote_average")).alias("label"))
+
+
+INTENTS = ['{"intent":"recommend","genres":["en"],"keywords":["N/A",""],"reference_titles":null}', '{"intent":"recommend","genres":[" "],"keywords":["n/a"]}', '{"intent":"chat","reply":"hi"}', "not json", '{"intent":"recommend","reference_titles":["Small Ring"]}']
+
+
+@register("intent_parse", rows_sql([(0, "recommend", "en", "", ""), (1, "unclear", "", "", ""), (2, "chat", "", "", ""), (3, None, "", "", ""), (4, "recommend", "", "", "Small Ring")], "n", "intent", "genres", "keywords", "reference_titles"))
+def intent_parse(spark, sf):
+    raw = literal_rows(spark, list(enumerate(INTENTS)), "n int, raw string")
+    parsed = raw.select("n", F.from_json("raw", "intent string, genres array<string>, keywords array<string>, reference_titles array<string>").alias("i")).select("n", "i.*")
+    return recommend.guarded_intent(parsed).select("n", "intent", *[F.array_join(c, "|").alias(c) for c in ("genres", "keywords", "reference_titles")])
+
+
+@register("vote_callback_parse", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN -1 END AS verdict, CASE WHEN event_type IN ('purchase', 'error') THEN event_id END AS item FROM events")
+def vote_callback_parse(spark, sf):
+    said = F.concat(F.lit("v:"), F.when(F.col("event_type") == "purchase", "1").when(F.col("event_type") == "error", "-1").otherwise("x"), F.lit(":"), F.col("event_id").cast("string"))
+    parsed = tables.table(spark, sf, "events").select("event_id", T.vote_of_callback(said).alias("v"))
+    return parsed.select("event_id", "v.verdict", "v.item")
+
+
+@register("unresolved_names", statement("SELECT array_to_string(list(name ORDER BY name), '|') AS missing FROM c_names WHERE lower(name) NOT IN (SELECT lower(p_name) FROM part)", c_names=rows_sql([("Small Ring",), ("No Such Thing",), ("red widget",)], "name")))
+def unresolved_names(spark, sf):
+    asked = literal_rows(spark, [("Small Ring",), ("No Such Thing",), ("red widget",)], "name string").withColumn("k", T.title_key(F.col("name")))
+    have = tables.table(spark, sf, "part").select(T.title_key(F.col("p_name")).alias("k"))
+    return asked.join(have, "k", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("missing"))
+
+
+# TF-IDF and dense signals ------------------------------------------------------------------------------
+
+
+@register("doc_frequency", statement("SELECT term, df, round(idf, 6) AS idf FROM c_idf"))
+def doc_frequency(spark, sf):
+    return metadata(spark, sf).idf.select("term", "df", q6("idf"))
+
+
+@register("tfidf_weights", statement("SELECT id, term, round(w, 6) AS w FROM c_tfidf"))
+def tfidf_weights(spark, sf):
+    return metadata(spark, sf).weights.select("id", "term", q6("w"))
+
+
+@register("tfidf_cosine_seed", statement("SELECT id, round(s, 6) AS s FROM x_sim", **sims("x_sim", "c_tfidf", "c_mids", "c_seeds"), c_seeds=f"SELECT {SEED} AS seed"))
+def tfidf_cosine_seed(spark, sf):
+    return metadata(spark, sf).to_seeds(literal_rows(spark, [(SEED,)], "seed long")).select("id", q6("s"))
+
+
+KEYWORD_CTES = {
+    "k_tf": r"SELECT term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(replace(lower(k), ' ', ''), '[\p{L}\p{N}_]{2,}')) AS term FROM (" + rows_sql([(k,) for k in KEYWORDS], "k") + ")) GROUP BY term",
+    "k_raw": "SELECT term, (1 + ln(tf)) * idf AS w FROM k_tf JOIN c_idf USING (term)",
+    "k_met": "SELECT id, sum(t.w * k.w) / (SELECT sqrt(sum(w * w)) FROM k_raw) AS s FROM c_tfidf t JOIN k_raw k USING (term) GROUP BY id",
+    "k_s": "SELECT id, coalesce(s, 0.0) AS s FROM c_mids LEFT JOIN k_met USING (id)",
+}
+
+
+@register("keyword_query_cosine", statement("SELECT id, round(s, 6) AS s FROM k_s", **KEYWORD_CTES))
+def keyword_query_cosine(spark, sf):
+    return metadata(spark, sf).to_query("", KEYWORDS).select("id", q6("s"))
+
+
+@register("dense_cosine_seed", statement("SELECT id, round(s, 6) AS s FROM x_sim", c_seeds=f"SELECT {SEED} AS seed", **dense("x_sim", "c_seeds")))
+def dense_cosine_seed(spark, sf):
+    return semantic(spark, sf).to_seeds(literal_rows(spark, [(SEED,)], "seed long")).select("id", q6("s"))
+
+
+@register("dense_topk", statement("SELECT row_number() OVER (ORDER BY s DESC, id) AS place, id, round(s, 6) AS s FROM x_sim WHERE id <> seed ORDER BY place LIMIT 10", c_seeds=f"SELECT {SEED} AS seed", **dense("x_sim", "c_seeds")))
+def dense_topk(spark, sf):
+    near = semantic(spark, sf).to_seeds(literal_rows(spark, [(SEED,)], "seed long")).where("id <> seed").orderBy(F.desc("s"), "id").limit(10)
+    return numbered(near, ["seed"], F.desc("s"), F.col("id")).select(F.col("place").cast("long").alias("place"), "id", q6("s"))
+
+
+@register("realigned_vectors", statement("SELECT i.id AS id, v.id IS NOT NULL AS covered, round(coalesce(v.vec[1], 0.0), 6) AS first FROM c_items i LEFT JOIN c_vec v ON v.id = i.id"))
+def realigned_vectors(spark, sf):
+    i = tables.items(spark, sf)
+    return signals.aligned(i, semantic(spark, sf).rows, 64).select("id", "covered", F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@register("usable_vectors", statement("SELECT count(*) AS n, count(*) FILTER (WHERE list_dot_product(vec, vec) > 0) AS usable FROM c_allvec"))
+def usable_vectors(spark, sf):
+    return tables.vectors(spark, sf).agg(F.count("*").alias("n"), F.count_if(evaluate.usable(F.col("vec"))).alias("usable"))
+
+
+LIKED_CTES = {"c_liked": rows_sql(LIKED, "seed", "rating")}
+
+
+@register("profile_similarity", statement("SELECT id, round(s, 6) AS s FROM x_p", **LIKED_CTES, **dense("x_sim", "c_liked"), **profile_sql("x_p", "x_sim", "c_liked", "(SELECT count(DISTINCT seed) FROM x_sim) = (SELECT count(*) FROM c_liked)")))
+def profile_similarity(spark, sf):
+    return signals.profile_scores(semantic(spark, sf), literal_rows(spark, LIKED, "seed long, rating double")).select("id", q6("s"))
+
+
+@register("profile_similarity_sparse", statement("SELECT id, round(s, 6) AS s FROM x_p", **LIKED_CTES, **sims("x_sim", "c_tfidf", "c_mids", "c_liked"), **profile_sql("x_p", "x_sim", "c_liked", "(SELECT count(DISTINCT seed) FROM x_sim) = (SELECT count(*) FROM c_liked)")))
+def profile_similarity_sparse(spark, sf):
+    return signals.profile_scores(metadata(spark, sf), literal_rows(spark, LIKED, "seed long, rating double")).select("id", q6("s"))
+
+
+@register(
+    "legacy_taste_rank",
+    statement(
+        "SELECT row_number() OVER (ORDER BY s DESC, id) AS place, id, round(s, 6) AS s FROM l_s ORDER BY place LIMIT 20",
+        **LIKED_CTES,
+        c_disliked=rows_sql([(i,) for i in DISLIKED], "seed"),
+        l_up="SELECT term, sum(w * greatest(rating - 2.5, 0.1)) / (SELECT sum(greatest(rating - 2.5, 0.1)) FROM c_liked) AS w FROM c_tfidf JOIN c_liked ON id = seed GROUP BY term",
+        l_down="SELECT term, sum(w) / (SELECT count(*) FROM c_disliked) AS w FROM c_tfidf JOIN c_disliked ON id = seed GROUP BY term",
+        l_q=f"SELECT term, greatest(0, u.w - {DEFAULTS.negative_weight} * coalesce(d.w, 0)) AS w FROM l_up u LEFT JOIN l_down d USING (term)",
+        l_s="SELECT id, round(sum(t.w * q.w) / (SELECT sqrt(sum(w * w)) FROM l_q), 9) AS s FROM c_tfidf t JOIN l_q q USING (term) GROUP BY id",
+    ),
+)
+def legacy_taste_rank(spark, sf):
+    w = metadata(spark, sf).weights
+    query = signals.legacy_taste(w, literal_rows(spark, LIKED, "seed long, rating double"), literal_rows(spark, [(i,) for i in DISLIKED], "seed long"))
+    best = signals.cosine_to_terms(w, query).withColumn("s", F.round("s", 9)).orderBy(F.desc("s"), "id").limit(20).withColumn("g", F.lit(1))
+    return numbered(best, ["g"], F.desc("s"), F.col("id")).select(F.col("place").cast("long").alias("place"), "id", q6("s"))
+
+
+# Blend -------------------------------------------------------------------------------------------------
+
+
+@register("zscore_signal", statement("SELECT id, round(z, 6) AS z FROM x_b", c_seeds=f"SELECT {SEED} AS seed", **dense("x_sim", "c_seeds"), **z("x_b", "x_sim")))
+def zscore_signal(spark, sf):
+    return standardised(semantic(spark, sf).to_seeds(literal_rows(spark, [(SEED,)], "seed long"))).select("id", q6("z"))
+
+
+REFERENCE_CTES = {
+    "c_seeds": rows_sql([(i,) for i in NAMED], "seed"),
+    **sims("a1", "c_tfidf", "c_mids", "c_seeds"),
+    **dense("a2", "c_seeds"),
+    **z("z1", "a1", "seed"),
+    **z("z2", "a2", "seed"),
+    **blended("r_each", [(0.4, "z1"), (0.4, "z2")], "seed"),
+    "r_s": "SELECT c.id AS id, avg(coalesce(e.s, 0.0)) AS s FROM c_covered c CROSS JOIN (SELECT DISTINCT seed FROM r_each) g LEFT JOIN r_each e ON e.seed = g.seed AND e.id = c.id GROUP BY c.id",
+}
+QUERY_CTES = {**KEYWORD_CTES, **z("kz", "k_s"), "q_s": "SELECT id, coalesce(kz.z, 0.0) AS s FROM c_covered LEFT JOIN kz USING (id)"}
+TASTE_CTES = {
+    **LIKED_CTES,
+    **sims("t1", "c_tfidf", "c_mids", "c_liked"),
+    **dense("t2", "c_liked"),
+    **profile_sql("p1", "t1", "c_liked", "(SELECT count(DISTINCT seed) FROM t1) = (SELECT count(*) FROM c_liked)"),
+    **profile_sql("p2", "t2", "c_liked", "(SELECT count(DISTINCT seed) FROM t2) = (SELECT count(*) FROM c_liked)"),
+    **z("pz1", "p1"),
+    **z("pz2", "p2"),
+    **blended("t_b", [(0.4, "pz1"), (0.4, "pz2")]),
+    "t_s": "SELECT id, coalesce(b.s, 0.0) AS s FROM c_covered LEFT JOIN t_b b USING (id)",
+}
+
+
+@register("blend_reference", statement("SELECT id, round(s, 6) AS s FROM r_s", **REFERENCE_CTES))
+def blend_reference(spark, sf):
+    return blend.reference_scores(both_signals(spark, sf), literal_rows(spark, [(i,) for i in NAMED], "seed long")).select("id", q6("s"))
+
+
+@register("blend_query", statement("SELECT id, round(s, 6) AS s FROM q_s", **QUERY_CTES))
+def blend_query(spark, sf):
+    return blend.query_scores(both_signals(spark, sf), "", KEYWORDS).select("id", q6("s"))
+
+
+@register("blend_taste", statement("SELECT id, round(s, 6) AS s FROM t_s", **TASTE_CTES))
+def blend_taste(spark, sf):
+    return blend.taste_scores(both_signals(spark, sf), literal_rows(spark, LIKED, "seed long, rating double")).select("id", q6("s"))
+
+
+@register("coverage_report", statement("SELECT 'metadata' AS signal, (SELECT count(*) FROM c_items) AS items, (SELECT count(*) FROM c_mids) AS covered, round((SELECT count(*) FROM c_mids) / (SELECT count(*) FROM c_items), 6) AS share UNION ALL SELECT 'semantic', (SELECT count(*) FROM c_items), (SELECT count(*) FROM c_vec), round((SELECT count(*) FROM c_vec) / (SELECT count(*) FROM c_items), 6)"))
+def coverage_report(spark, sf):
+    i = tables.items(spark, sf)
+    a, b = (signals.coverage(s, i) for s in both_signals(spark, sf))
+    return a.unionByName(b).select("signal", "items", "covered", q6("share"))
+
+
+# Filters, reasons and ranking --------------------------------------------------------------------------
+
+
+@register("doc_mode_filter_guard", statement("SELECT id FROM (SELECT id, ok, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER () AS n FROM (SELECT id, list_contains(genres, 'de') AND NOT list_contains(genres, 'es') AS ok FROM c_items)) WHERE n < 10 OR ok"))
+def doc_mode_filter_guard(spark, sf):
+    return recommend.guarded(tables.items(spark, sf), recommend.same_mode(True, MODE, NEVER)).where("ok").select("id")
+
+
+@register("genre_filter_guard", statement("SELECT id, (SELECT count(*) FROM c_items WHERE lower(genres[1]) = 'it') AS n FROM c_items WHERE lower(genres[1]) IN ('fr', 'de')"))
+def genre_filter_guard(spark, sf):
+    i = tables.items(spark, sf)
+    none = recommend.guarded(i, recommend.any_genre(["IT"]))
+    left = none.agg(F.count_if("ok").alias("kept"), F.count("*").alias("all")).select((F.col("all") - F.col("kept")).alias("n"))
+    return recommend.guarded(i, recommend.any_genre(["FR", "de"])).where("ok").select("id").crossJoin(F.broadcast(left))
+
+
+@register("seen_anti_join", statement("SELECT id FROM c_items WHERE id NOT IN (9, 16, 33) AND NOT EXISTS (SELECT 1 FROM c_seen s WHERE s.k = lower(trim(title)) AND s.y IS NOT DISTINCT FROM nullif(c_items.year, ''))", c_seen="SELECT lower(trim(title)) AS k, CASE WHEN id % 2 = 0 THEN year END AS y FROM c_records WHERE id % 5 = 0"))
+def seen_anti_join(spark, sf):
+    keys = tables.records(spark, sf).where("id % 5 = 0").select(T.title_key(F.col("title")).alias("title_key"), F.when(F.col("id") % 2 == 0, F.col("year")).alias("year"))
+    return recommend.unseen(tables.items(spark, sf), literal_rows(spark, [(9,), (16,), (33,)], "id long"), keys).select("id")
+
+
+@register("score_floor", statement("SELECT id, round(z, 6) AS z FROM x_b WHERE (SELECT max(z) FROM x_b) >= 1.0 AND z >= greatest(1.0, (SELECT max(z) FROM x_b) * 0.55)", c_seeds=f"SELECT {SEED} AS seed", **dense("x_sim", "c_seeds"), **z("x_b", "x_sim")))
+def score_floor(spark, sf):
+    scored = standardised(semantic(spark, sf).to_seeds(literal_rows(spark, [(SEED,)], "seed long")))
+    return recommend.above_floor(scored, 1.0).select("id", q6("z"))
+
+
+WHY_SQL = {
+    "w_src": f"SELECT * FROM c_items WHERE id IN ({', '.join(map(str, NAMED))})",
+    "w_g": "SELECT coalesce(list(DISTINCT g), []) AS g FROM (SELECT unnest(genres) AS g FROM w_src)",
+    "w_k": "SELECT coalesce(list(DISTINCT k), []) AS k FROM (SELECT unnest(keywords) AS k FROM w_src)",
+    "w_d": "SELECT coalesce(list(DISTINCT director), []) AS d FROM w_src",
+    "w_why": "SELECT c_items.*, list_filter(genres, lambda x: list_contains(g, x))[1:3] AS why_g, list_filter(keywords, lambda x: list_contains(k, x))[1:4] AS why_k, CASE WHEN list_contains(d, director) THEN director ELSE '' END AS why_d FROM c_items, w_g, w_k, w_d",
+    "w_line": "SELECT *, concat_ws('; ', CASE WHEN why_d <> '' THEN 'same director (' || why_d || ')' END, CASE WHEN len(why_g) > 0 THEN 'shared genres: ' || array_to_string(why_g, ', ') END, CASE WHEN len(why_k) > 0 THEN 'shared themes: ' || array_to_string(why_k, ', ') END) AS line FROM w_why",
+}
+WHY = "CASE WHEN line = '' THEN 'no specific overlap computed' ELSE line END AS why"
+
+
+@register("explain_items", statement(f"SELECT id, {WHY} FROM w_line", **WHY_SQL))
+def explain_items(spark, sf):
+    i = tables.items(spark, sf)
+    return recommend.why_items(recommend.sources_pool(i.where(F.col("id").isin(NAMED))), i).select("id", T.why_line(F.col("why")).alias("why"))
+
+
+@register("explain_request", statement("SELECT id, CASE WHEN lower(genres[1]) = 'fr' THEN genres[1] ELSE '' END AS genres, coalesce(array_to_string(list_filter(keywords, lambda k: contains(lower(k), 'tion') OR contains('tion', lower(k)) OR contains(lower(k), 'ing') OR contains('ing', lower(k)))[1:4], ','), '') AS keywords FROM c_items"))
+def explain_request(spark, sf):
+    out = recommend.why_request(tables.items(spark, sf), ["Tion", "ING"], ["FR"])
+    return out.select("id", F.array_join("why.genres", ",").alias("genres"), F.array_join("why.keywords", ",").alias("keywords"))
+
+
+@register("franchise_diversity_topn", statement("SELECT row_number() OVER (ORDER BY (nth > 1), z DESC, id) AS place, id, collection FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY z DESC, id) AS nth FROM c_scored) ORDER BY place LIMIT 30", c_scored="SELECT id, vote_count AS z, collection FROM c_items"))
+def franchise_diversity_topn(spark, sf):
+    scored = tables.items(spark, sf).select("id", F.col("vote_count").alias("z"), "collection")
+    return recommend.seated(scored, 30).select(F.col("place").cast("long").alias("place"), "id", "collection")
+
+
+def ranking_sql(scores: str, where: str, line: str, min_z: float, grounded: str, **ctes: str) -> str:
+    """Standardise, filter, cut at the floor, seat: the SQL of a whole ranking query over a table of scores."""
+    return statement(
+        f"SELECT row_number() OVER (ORDER BY (nth > 1), z DESC, id) AS place, id, title, round(z, 6) AS z, {WHY} FROM f_seat ORDER BY place LIMIT {DEFAULTS.top_n}",
+        **ctes,
+        **z("f_z", scores),
+        f_cand=f"SELECT i.*, f_z.z AS z FROM {line} i JOIN f_z USING (id) WHERE {where}",
+        f_floor=f"SELECT * FROM f_cand WHERE (SELECT max(z) FROM f_cand) >= {min_z} AND z >= greatest({min_z}, (SELECT max(z) FROM f_cand) * {DEFAULTS.z_retain}) AND {grounded}",
+        f_seat="SELECT *, row_number() OVER (PARTITION BY collection ORDER BY z DESC, id) AS nth FROM f_floor",
+    )
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    return df.select(F.col("place").cast("long").alias("place"), "id", "title", q6("z"), "why")
+
+
+SEEN_SQL = "id NOT IN (9, 30, 16, 25, 33, 40)"
+WHY_LIKED_SQL = {**WHY_SQL, "w_src": "SELECT * FROM c_items WHERE id IN (9, 30, 16, 25)"}
+
+
+@register(
+    "recommend_reference",
+    ranking_sql(
+        "m_s", f"{SEEN_SQL} AND ((SELECT count(*) FROM c_items JOIN m_s USING (id) WHERE NOT list_contains(genres, 'es') AND (list_contains(genres, 'de') = (SELECT bool_or(list_contains(genres, 'de')) FROM c_items WHERE id IN (9, 30)))) < 10 OR (NOT list_contains(genres, 'es') AND (list_contains(genres, 'de') = (SELECT bool_or(list_contains(genres, 'de')) FROM c_items WHERE id IN (9, 30)))))", "w_line", 1.5, "line <> ''",
+        **REFERENCE_CTES, **TASTE_CTES, **WHY_LIKED_SQL, m_s="SELECT id, 0.75 * r.s + 0.25 * t.s AS s FROM r_s r JOIN t_s t USING (id)",
+    ),
+)
+def recommend_reference(spark, sf):
+    return ranked(recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), liked=LIKED, disliked=DISLIKED, references=NAMED, mode_genre=MODE, never=NEVER, min_z=1.5))
+
+
+VIBE_LINE = {
+    "v_line": "SELECT *, concat_ws('; ', CASE WHEN lower(genres[1]) = 'en' THEN 'shared genres: ' || genres[1] END, CASE WHEN len(kw) > 0 THEN 'shared themes: ' || array_to_string(kw, ', ') END) AS line FROM (SELECT *, list_filter(keywords, lambda k: "
+    + " OR ".join(f"contains(lower(k), '{k}') OR contains('{k}', lower(k))" for k in KEYWORDS)
+    + ")[1:4] AS kw FROM c_items)"
+}
+
+
+@register("recommend_vibe", ranking_sql("q_s", "((SELECT count(*) FROM c_items JOIN q_s USING (id) WHERE lower(genres[1]) = 'en') < 10 OR lower(genres[1]) = 'en')", "v_line", 1.0, "true", **QUERY_CTES, **VIBE_LINE))
+def recommend_vibe(spark, sf):
+    return ranked(recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), keywords=KEYWORDS, genres=["EN"], min_z=1.0))
+
+
+@register("recommend_profile", ranking_sql("t_s", SEEN_SQL, "w_line", 1.0, "true", **TASTE_CTES, **{**WHY_SQL, "w_src": "SELECT * FROM c_items WHERE id IN (9, 16, 25, 30)"}))
+def recommend_profile(spark, sf):
+    return ranked(recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), liked=LIKED, disliked=DISLIKED, min_z=1.0))
+
+
+@register("rerank_apply", statement("SELECT row_number() OVER (ORDER BY r) AS place, id FROM (SELECT id, CASE p WHEN 5 THEN 0 WHEN 1 THEN 1 ELSE 100 + p END AS r FROM (SELECT id, row_number() OVER (ORDER BY vote_count DESC, id) AS p FROM c_items) WHERE p <= 15) ORDER BY place LIMIT 3"))
+def rerank_apply(spark, sf):
+    shortlist = tables.items(spark, sf).select("id", "vote_count", F.lit(1).alias("g")).orderBy(F.desc("vote_count"), "id").limit(DEFAULTS.rerank_pool)
+    picks = numbered(shortlist, ["g"], F.desc("vote_count"), F.col("id"))
+    return recommend.rerank(picks, '{"order": [4, 99, 4, 0, -1]}').select(F.col("place").cast("long").alias("place"), "id")
+
+
+@register("genre_browse", statement("SELECT id, vote_average FROM c_items WHERE lower(genres[1]) = 'en' AND vote_count >= 300 AND CAST(year AS INTEGER) BETWEEN 1990 AND 1999 ORDER BY vote_average DESC, id LIMIT 3"))
+def genre_browse(spark, sf):
+    return recommend.browse(tables.items(spark, sf), ["EN"], "90s").select("id", "vote_average")
+
+
+@register("neighbour_fallback", statement("SELECT id, vote_count FROM c_items WHERE id IN (SELECT id FROM n_first ORDER BY first_at, id LIMIT 40) ORDER BY vote_count DESC, id LIMIT 3", n_first="SELECT dst AS id, min(row(CASE src WHEN 9 THEN 0 ELSE 1 END, rank)) AS first_at FROM c_edges WHERE src IN (9, 30) AND rank < 30 AND dst NOT IN (9, 30) GROUP BY dst"))
+def neighbour_fallback(spark, sf):
+    return recommend.neighbours(tables.items(spark, sf), tables.edges(spark, sf), NAMED).select("id", "vote_count")
+
+
+# Resolution --------------------------------------------------------------------------------------------
+
+REQUESTS = [(1, "Small Ring", "11"), (2, "red  wídget!", "29"), (3, "bolt", None), (4, "zzz", None), (5, "hot", "37")]
+
+
+@register(
+    "title_match_best",
+    statement(
+        "SELECT request, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS place FROM m_score WHERE score >= 55) WHERE place = 1",
+        m_req="SELECT *, regexp_replace(lower(strip_accents(want_title)), '[^a-z0-9]+', '', 'g') AS want FROM (" + rows_sql(REQUESTS, "request", "want_title", "want_year") + ")",
+        m_cand="SELECT p_partkey AS id, CAST(p_size AS VARCHAR) AS year, regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', '', 'g') AS got, p_retailprice AS pop FROM part",
+        m_title="SELECT *, CASE WHEN want = got THEN 100.0 WHEN starts_with(got, want) OR starts_with(want, got) THEN 60 * least(length(want), length(got)) / greatest(length(want), length(got), 1) WHEN contains(got, want) OR contains(want, got) THEN 30 * least(length(want), length(got)) / greatest(length(want), length(got), 1) END AS t FROM m_cand CROSS JOIN m_req",
+        m_score="SELECT *, CASE WHEN t IS NULL THEN -1 ELSE t + CASE WHEN want_year IS NULL THEN 0 WHEN year = want_year THEN 40 WHEN abs(CAST(year AS INTEGER) - CAST(want_year AS INTEGER)) <= 1 THEN 20 ELSE -15 END + least(pop, 100.0) / 50 END AS score FROM m_title",
+    ),
+)
+def title_match_best(spark, sf):
+    candidates = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").cast("string").alias("year"), F.lit(0).alias("votes"), F.col("p_retailprice").alias("popularity"))
+    best = recommend.best_matches(literal_rows(spark, REQUESTS, "request int, want_title string, want_year string"), candidates)
+    return best.select("request", "id", q6("score"))
+
+
+@register("title_year_map_unambiguous", "SELECT regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k, CAST(p_size AS VARCHAR) AS year, min(p_partkey) AS id FROM part GROUP BY 1, 2 HAVING count(*) = 1")
+def title_year_map_unambiguous(spark, sf):
+    named = tables.table(spark, sf, "part").select(T.normalised_title(F.col("p_name")).alias("k"), F.col("p_size").cast("string").alias("year"), F.col("p_partkey").alias("id"))
+    return recommend.unambiguous(named, ["k", "year"])
+
+
+@register("title_index", "SELECT lower(trim(p_name)) AS k, max(p_partkey) AS id FROM part GROUP BY 1")
+def title_index(spark, sf):
+    return tables.table(spark, sf, "part").groupBy(T.title_key(F.col("p_name")).alias("k")).agg(F.max("p_partkey").alias("id"))
+
+
+# Profiles and votes ------------------------------------------------------------------------------------
+
+
+def films(spark, sf):
+    """Rated lists made of events: views are unrated, the rest has half stars by its k."""
+    e = tables.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    rating = F.when(F.col("event_type") != "view", (1 + F.pmod(k.cast("long"), F.lit(10))) / 2)
+    base = e.select(F.col("user_id").alias("user"), F.concat_ws(" ", "event_type", k).alias("title"), (F.lit(2000) + F.pmod("event_id", F.lit(20))).cast("string").alias("year"), rating.alias("rating"), "ts", "event_id")
+    return numbered(base, ["user"], F.col("ts"), F.col("event_id"), into="pos").select("user", "pos", "title", "year", "rating")
+
+
+SPLIT_SQL = {
+    "s_liked": f"SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY rating DESC, pos) AS place FROM c_films WHERE rating >= {DEFAULTS.like_threshold}",
+    "s_n": f"SELECT \"user\", count(*) FILTER (WHERE rating >= {DEFAULTS.like_threshold}) AS n FROM c_films GROUP BY 1",
+    "s_fill": "SELECT u.* REPLACE (u.place + n AS place) FROM (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY pos) AS place FROM c_films WHERE rating IS NULL) u JOIN s_n USING (\"user\") WHERE place <= 10 AND n < 5",
+    "s_dis": f"SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY pos) AS place FROM c_films WHERE rating <= {DEFAULTS.dislike_threshold}",
+    "s_all": "SELECT *, 'liked' AS kind FROM s_liked UNION ALL SELECT *, 'liked' FROM s_fill UNION ALL SELECT *, 'disliked' FROM s_dis",
+}
+
+
+@register("rating_split_liked_disliked", statement("SELECT \"user\", kind, place, title, year, rating FROM s_all WHERE place <= 60", **SPLIT_SQL))
+def rating_split_liked_disliked(spark, sf):
+    return profile.split_ratings(films(spark, sf)).select("user", "kind", F.col("place").cast("long").alias("place"), "title", "year", "rating")
+
+
+SPARSE_SQL = {**SPLIT_SQL, "c_few": "SELECT * REPLACE (CASE WHEN pos % 9 = 0 THEN rating END AS rating) FROM c_films WHERE pos <= 30"}
+
+
+@register("liked_backfill", statement("SELECT \"user\", place, title, rating FROM s_all WHERE kind = 'liked' AND place <= 60", **{k: v.replace("c_films", "c_few") if k != "c_few" else v for k, v in SPARSE_SQL.items()}))
+def liked_backfill(spark, sf):
+    few = films(spark, sf).where("pos <= 30").withColumn("rating", F.when(F.col("pos") % 9 == 0, F.col("rating")))
+    return profile.split_ratings(few).where("kind = 'liked'").select("user", F.col("place").cast("long").alias("place"), "title", "rating")
+
+
+@register("watched_keys", statement("SELECT DISTINCT \"user\", lower(trim(title)) AS title_key, nullif(year, '') AS year FROM c_films"))
+def watched_keys(spark, sf):
+    return profile.watched_keys(films(spark, sf))
+
+
+@register("vote_latest", statement("SELECT user_id, item, verdict FROM c_current"))
+def vote_latest(spark, sf):
+    return profile.latest_votes(tables.votes(spark, sf))
+
+
+@register("user_votes", statement("SELECT item, verdict FROM c_current WHERE user_id = 7"))
+def user_votes(spark, sf):
+    return profile.latest_votes(tables.votes(spark, sf).where("user_id = 7")).select("item", "verdict")
+
+
+@register("vote_counts", statement("SELECT user_id, count(*) FILTER (WHERE verdict > 0) AS up, count(*) FILTER (WHERE NOT verdict > 0) AS down FROM c_current GROUP BY user_id"))
+def vote_counts(spark, sf):
+    return profile.vote_counts(profile.latest_votes(tables.votes(spark, sf)))
+
+
+@register("vote_summary", statement("SELECT user_id, count(*) FILTER (WHERE verdict > 0) || ' 👍, ' || count(*) FILTER (WHERE NOT verdict > 0) || ' 👎' AS summary FROM c_current GROUP BY user_id"))
+def vote_summary(spark, sf):
+    return profile.vote_summary(vote_counts(spark, sf))
+
+
+FRAGMENT_SQL = {"g_frag": "SELECT user_id AS \"user\", CASE WHEN verdict > 0 THEN 'liked' ELSE 'disliked' END AS kind, item, title, nullif(year, '') AS year, CASE WHEN verdict > 0 THEN 5.0 ELSE 0.5 END AS rating, total FROM c_current JOIN c_records r ON r.id = item JOIN (SELECT user_id, count(*) AS total FROM c_current GROUP BY 1) USING (user_id) WHERE title <> ''"}
+
+
+@register("vote_profile_fragment", statement("SELECT \"user\", kind, item, title, year, CAST(rating AS DOUBLE) AS rating, total FROM g_frag", **FRAGMENT_SQL))
+def vote_profile_fragment(spark, sf):
+    return profile.vote_fragment(profile.latest_votes(tables.votes(spark, sf)), tables.records(spark, sf))
+
+
+@register(
+    "profile_merge",
+    statement(
+        "SELECT \"user\", kind, place, source, item, CAST(rating AS DOUBLE) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY \"user\", kind ORDER BY source DESC, pos) AS place FROM g_both) WHERE place <= 60",
+        **FRAGMENT_SQL,
+        g_list="SELECT user_id AS \"user\", CASE WHEN value >= 50 THEN 'liked' ELSE 'disliked' END AS kind, event_id % 180 AS item, event_id AS place, value AS rating FROM events WHERE event_type = 'view'",
+        g_named="SELECT g_list.*, title, nullif(year, '') AS year FROM g_list JOIN c_records r ON r.id = item",
+        g_extra="SELECT * FROM g_named l WHERE NOT EXISTS (SELECT 1 FROM g_frag f WHERE f.\"user\" = l.\"user\" AND f.kind = l.kind AND (f.item = l.item OR (lower(trim(f.title)) = lower(trim(l.title)) AND f.year IS NOT DISTINCT FROM l.year)))",
+        g_both="SELECT \"user\", kind, item, rating, 'votes' AS source, item AS pos FROM g_frag UNION ALL SELECT \"user\", kind, item, rating, 'listed', place FROM g_extra",
+    ),
+)
+def profile_merge(spark, sf):
+    records = tables.records(spark, sf)
+    named = records.select(F.col("id").alias("item"), "title", F.nullif("year", F.lit("")).alias("year"))
+    seen = tables.table(spark, sf, "events").where("event_type = 'view'")
+    listed = seen.select(F.col("user_id").alias("user"), F.when(F.col("value") >= 50, "liked").otherwise("disliked").alias("kind"), F.pmod("event_id", F.lit(180)).alias("item"), F.col("event_id").alias("place"), F.col("value").alias("rating")).join(named, "item")
+    merged = profile.merge(profile.vote_fragment(profile.latest_votes(tables.votes(spark, sf)), records), listed)
+    return merged.select("user", "kind", F.col("place").cast("long").alias("place"), "source", "item", "rating")
+
+
+@register("profile_top_genres", statement("SELECT \"user\", place, genre, n FROM (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY n DESC, f) AS place FROM (SELECT \"user\", lang AS genre, count(*) AS n, min(item) AS f FROM g_frag JOIN documents ON doc_id = item WHERE kind = 'liked' GROUP BY 1, 2)) WHERE place <= 3", **FRAGMENT_SQL))
+def profile_top_genres(spark, sf):
+    liked = vote_profile_fragment(spark, sf).where("kind = 'liked'").select("user", F.col("item").alias("id"))
+    rows = tables.records(spark, sf).select("id", "genres").join(liked, "id").select("user", F.col("id").alias("pos"), "genres")
+    return profile.top_genres(rows).select("user", F.col("place").cast("long").alias("place"), "genre", "n")
+
+
+@register("rate_limit_accept")
+def rate_limit_accept(spark, sf):
+    return feedback.accept_requests_batch(tables.table(spark, sf, "events").select("user_id", "event_id", "ts"), gap_s=43_200.0)
+
+
+# Collaborative and graph signals -----------------------------------------------------------------------
+
+
+@register("collab_matrix", statement("SELECT item, \"user\", round(v, 6) AS v FROM c_matrix"))
+def collab_matrix(spark, sf):
+    ids = tables.items(spark, sf).select(F.col("id").alias("item"))
+    return signals.collab_matrix(tables.ratings(spark, sf).join(ids, "item", "left_semi")).select("item", "user", q6("v"))
+
+
+@register("collab_damped", statement("SELECT item, \"user\", round(v, 6) AS v FROM c_damped"))
+def collab_damped(spark, sf):
+    ids = tables.items(spark, sf).select(F.col("id").alias("item"))
+    return signals.damped(signals.collab_matrix(tables.ratings(spark, sf).join(ids, "item", "left_semi"))).select("item", "user", q6("v"))
+
+
+@register("collab_coverage", statement("SELECT item AS id, count(*) AS raters FROM c_matrix GROUP BY item HAVING count(*) >= 5"))
+def collab_coverage(spark, sf):
+    ids = tables.items(spark, sf).select(F.col("id").alias("item"))
+    matrix = signals.collab_matrix(tables.ratings(spark, sf).join(ids, "item", "left_semi"))
+    return signals.supported(matrix, COLLAB.collab_min_ratings).select(F.col("item").alias("id"), "raters")
+
+
+@register("collab_item_cosine", statement("SELECT id, round(s, 6) AS s FROM x_sim WHERE s > 0", c_seeds=f"SELECT {SEED} AS seed", **sims("x_sim", "c_collab", "c_cids", "c_seeds")))
+def collab_item_cosine(spark, sf):
+    signal = signals.collab_signal(tables.items(spark, sf), tables.ratings(spark, sf), COLLAB)
+    return signal.to_seeds(literal_rows(spark, [(SEED,)], "seed long")).where("s > 0").select("id", q6("s"))
+
+
+@register("collab_svd_neighbours")
+def collab_svd_neighbours(spark, sf):
+    vectors = signals.collab_factors(tables.items(spark, sf), tables.ratings(spark, sf), replace(COLLAB, collab_factors=16))
+    signal = signals.DenseSignal("collab", vectors)
+    return signal.to_seeds(literal_rows(spark, [(SEED,)], "seed long")).where("id <> seed").orderBy(F.desc("s"), "id").limit(10).select("id", q6("s"))
+
+
+@register("graph_adjacency", statement("SELECT src, dst, round(w, 6) AS w FROM c_adj"))
+def graph_adjacency(spark, sf):
+    return signals.adjacency(tables.items(spark, sf), tables.edges(spark, sf)).select("src", "dst", q6("w"))
+
+
+@register("graph_coverage", statement("SELECT (SELECT count(*) FROM c_items) AS items, count(*) AS covered, round(avg(degree), 6) AS mean_degree FROM c_gids"))
+def graph_coverage(spark, sf):
+    i = tables.items(spark, sf)
+    got = signals.graph_coverage(signals.adjacency(i, tables.edges(spark, sf))).agg(F.count("*").alias("covered"), F.round(F.avg("degree"), 6).alias("mean_degree"))
+    return i.agg(F.count("*").alias("items")).crossJoin(got)
+
+
+@register("graph_similarity", statement("SELECT id, round(s, 6) AS s FROM x_sim WHERE s > 0", c_seeds=f"SELECT {SEED} AS seed", **sims("x_sim", "c_graph", "c_gids", "c_seeds")))
+def graph_similarity(spark, sf):
+    signal = signals.graph_signal(tables.items(spark, sf), tables.edges(spark, sf))
+    return signal.to_seeds(literal_rows(spark, [(SEED,)], "seed long")).where("s > 0").select("id", q6("s"))
+
+
+@register(
+    "blend_four_signals",
+    statement(
+        "SELECT id, round(s, 6) AS s FROM x_b",
+        c_seeds=f"SELECT {SEED} AS seed", **sims("a1", "c_tfidf", "c_mids", "c_seeds"), **dense("a2", "c_seeds"), **sims("a3", "c_collab", "c_cids", "c_seeds"),
+        **z("z1", "a1", "seed"), **z("z2", "a2", "seed"), **z("z3", "a3", "seed"), **blended("b0", [(0.4, "z1"), (0.4, "z2"), (0.2, "z3")], "seed"),
+        cov="SELECT id FROM c_covered UNION SELECT id FROM c_cids UNION SELECT id FROM c_gids", x_b="SELECT id, coalesce(b0.s, 0.0) AS s FROM cov LEFT JOIN b0 USING (id)",
+    ),
+)
+def blend_four_signals(spark, sf):
+    i = tables.items(spark, sf)
+    every = [*both_signals(spark, sf), signals.collab_signal(i, tables.ratings(spark, sf), COLLAB), signals.graph_signal(i, tables.edges(spark, sf))]
+    return blend.reference_scores(every, literal_rows(spark, [(SEED,)], "seed long")).select("id", q6("s"))
+
+
+# Evaluation --------------------------------------------------------------------------------------------
+
+MEASURES_SQL = "count(*) AS n, round_even(median(rank), 1) AS median_rank, round_even(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 3) AS hit_at_10, round_even(avg(CASE WHEN rank <= 50 THEN 1.0 ELSE 0.0 END), 3) AS hit_at_50, round_even(avg(1.0 / rank), 4) AS mrr"
+CASES = [9, 12, 30, 45]
+
+
+@register(
+    "eval_reference",
+    statement(
+        f"SELECT {MEASURES_SQL} FROM e_rank",
+        c_seeds=rows_sql([(i,) for i in CASES], "seed"),
+        **dense("x_sim", "c_seeds"),
+        e_exp="SELECT s.id AS seed, e.id AS id FROM c_vec s JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM c_vec) e ON e.label = s.label AND e.n <= 4 AND e.id <> s.id WHERE s.id IN (SELECT seed FROM c_seeds)",
+        e_pos="SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY round(s, 9) DESC, id) AS rank FROM x_sim WHERE id <> seed",
+        e_rank="SELECT rank FROM e_pos JOIN e_exp USING (seed, id)",
+    ),
+)
+def eval_reference(spark, sf):
+    signal = semantic(spark, sf)
+    labels = tables.vectors(spark, sf).select("id", "label").join(signal.covered(), "id")
+    first = numbered(labels, ["label"], F.col("id")).where("place <= 4").select("id", "label")
+    cases = labels.where(F.col("id").isin(CASES)).select(F.col("id").alias("case"), "label")
+    expected = cases.join(first, "label").where("id <> case").select("case", "id")
+    scores = signal.to_seeds(literal_rows(spark, [(i,) for i in CASES], "seed long")).where("id <> seed").select(F.col("seed").alias("case"), "id", F.round("s", 9).alias("s"))
+    return evaluate.measures(evaluate.expected_ranks(scores, expected))
+
+
+@register(
+    "eval_query",
+    statement(
+        f"SELECT {MEASURES_SQL} FROM e_rank",
+        **KEYWORD_CTES,
+        e_pos="SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM k_s",
+        e_rank="SELECT rank FROM e_pos JOIN labels ON doc_id = id WHERE quality = 1",
+    ),
+)
+def eval_query(spark, sf):
+    scores = metadata(spark, sf).to_query("", KEYWORDS).select(F.lit(1).alias("case"), "id", F.round("s", 9).alias("s"))
+    expected = tables.table(spark, sf, "labels").where("quality = 1").select(F.lit(1).alias("case"), F.col("doc_id").alias("id"))
+    return evaluate.measures(evaluate.expected_ranks(scores, expected))
+
+
+LOO_CTES = {
+    "o_sim": "SELECT m.grp AS grp, m.id AS seed, v.id AS id, list_dot_product(v.vec, q.vec) AS s FROM o_mem m JOIN c_vec q ON q.id = m.id CROSS JOIN c_vec v",
+    "o_fold": "SELECT h.grp AS grp, h.id AS hidden, s.id AS id, s.seed AS seed, s.s AS s FROM o_mem h JOIN o_sim s ON s.grp = h.grp AND s.seed <> h.id WHERE h.target AND (s.id = h.id OR s.id NOT IN (SELECT id FROM o_mem m WHERE m.grp = h.grp))",
+    "o_top": "SELECT grp, hidden, id, avg(s) AS best FROM (SELECT *, row_number() OVER (PARTITION BY grp, hidden, id ORDER BY s DESC, seed) AS r FROM o_fold) WHERE r <= 3 GROUP BY ALL",
+    "o_sum": "SELECT grp, hidden, id, sum(s) AS along FROM o_fold GROUP BY ALL",
+    "o_len": "SELECT h.grp AS grp, h.id AS hidden, sqrt(sum(s.s)) AS len FROM o_mem h JOIN o_sim s ON s.grp = h.grp AND s.seed <> h.id AND s.id <> h.id AND s.id IN (SELECT id FROM o_mem m WHERE m.grp = s.grp) WHERE h.target GROUP BY ALL",
+    "o_score": "SELECT grp, hidden, id, round(0.5 * along / len + 0.5 * best, 9) AS s FROM o_sum JOIN o_top USING (grp, hidden, id) JOIN o_len USING (grp, hidden)",
+    "o_rank": "SELECT a.grp AS grp, a.hidden AS hidden, count(*) FILTER (WHERE a.s > o.s) + 1 AS rank FROM o_score a JOIN o_score o ON o.grp = a.grp AND o.hidden = a.hidden AND o.id = o.hidden GROUP BY ALL",
+}
+COHORT_SQL = {**LOO_CTES, "o_mem": f"SELECT label AS grp, id, n <= 8 AS target FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM c_vec) WHERE label < {COHORTS} AND n <= 25"}
+
+
+def cohort_members(spark, sf, targets: int = 8, size: int = 25) -> DataFrame:
+    """(group, seed, w, target): the first items of each label."""
+    labels = tables.vectors(spark, sf).select("id", "label").join(semantic(spark, sf).covered(), "id")
+    first = numbered(labels, ["label"], F.col("id")).where(F.col("place") <= size)
+    return first.select(F.col("label").alias("group"), F.col("id").alias("seed"), F.lit(1.0).alias("w"), (F.col("place") <= targets).alias("target"))
+
+
+def member_sims(signal, members: DataFrame) -> DataFrame:
+    pairs = signal.to_seeds(members.select("seed").distinct())
+    return pairs.join(F.broadcast(members.select("group", "seed")), "seed").select("group", "seed", "id", "s")
+
+
+@register("eval_cohort_loo", statement("SELECT round_even(avg(m), 1) AS median_rank, count(*) AS cohorts FROM (SELECT grp, median(rank) AS m FROM o_rank GROUP BY grp)", **COHORT_SQL))
+def eval_cohort_loo(spark, sf):
+    members = cohort_members(spark, sf)
+    return evaluate.mean_of_medians(evaluate.fold_ranks(member_sims(semantic(spark, sf), members), members))
+
+
+MIXED_SQL = {**LOO_CTES, "o_mem": "SELECT label // 2 AS grp, id, n <= 8 AS target FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM c_vec) WHERE label < 6 AND n <= 25"}
+
+
+@register("eval_mixed_loo", statement("SELECT count(*) AS n, round_even(median(rank), 1) AS median_rank, round_even(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 3) AS hit_at_10 FROM o_rank", **MIXED_SQL))
+def eval_mixed_loo(spark, sf):
+    members = cohort_members(spark, sf).where("group < 6").withColumn("group", F.floor(F.col("group") / 2))
+    return evaluate.measures(evaluate.fold_ranks(member_sims(semantic(spark, sf), members), members)).select("n", "median_rank", "hit_at_10")
+
+
+@register("sanity_cohorts", statement("SELECT grp AS cohort, count(*) AS n, round_even(median(rank), 1) AS median_rank, (SELECT count(*) FROM c_vec) // 2 AS random_rank FROM o_rank GROUP BY grp", **{k: v.replace("0.5 * along / len + 0.5 * best", "along / len") for k, v in COHORT_SQL.items()}))
+def sanity_cohorts(spark, sf):
+    members, signal = cohort_members(spark, sf), semantic(spark, sf)
+    ranks = evaluate.fold_ranks(member_sims(signal, members), members, alpha=1.0)
+    half = signal.covered().agg(F.floor(F.count("*") / 2).alias("random_rank"))
+    return ranks.groupBy(F.col("group").alias("cohort")).agg(F.count("*").alias("n"), F.bround(F.median("rank"), 1).alias("median_rank")).crossJoin(F.broadcast(half))
+
+
+#: Field weights of a grid: genres, director, cast, keywords.
+GRID = [(g, d, c, k) for g in (1, 3) for d in (2, 3, 5) for c in (1, 2) for k in (1, 2, 3)]
+GRID_ROWS = [(n, f, w) for n, (g, d, c, k) in enumerate(GRID) for f, w in (DEFAULTS.soup_weights | {"genres": g, "director": d, "cast": c, "keywords": k}).items()]
+
+TUNE_CTES = {
+    "u_grid": rows_sql(GRID_ROWS, "config", "field", "weight"),
+    "u_liked": rows_sql(LIKED, "seed", "rating"),
+    "u_tf": "SELECT config, id, term, sum(weight) AS tf FROM c_ftokens JOIN u_grid USING (field) GROUP BY ALL",
+    "u_df": "SELECT config, term, count(*) AS df FROM u_tf GROUP BY ALL HAVING count(*) >= 2",
+    "u_raw": "SELECT config, id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT id) FROM u_tf)) / (1 + df)) + 1) AS w FROM u_tf JOIN u_df USING (config, term)",
+    "u_unit": "SELECT config, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY config, id)) AS w FROM u_raw",
+    "u_mem": "SELECT DISTINCT config, seed, greatest(rating - 2.5, 0.1) AS lw FROM u_unit JOIN u_liked ON id = seed",
+    "u_q": "SELECT h.config AS config, h.seed AS hidden, u.term AS term, sum(m.lw * u.w) AS w FROM u_mem h JOIN u_mem m ON m.config = h.config AND m.seed <> h.seed JOIN u_unit u ON u.config = m.config AND u.id = m.seed GROUP BY ALL",
+    "u_s": "SELECT q.config AS config, q.hidden AS hidden, u.id AS id, sum(q.w * u.w) AS d FROM u_q q JOIN u_unit u ON u.config = q.config AND u.term = q.term GROUP BY ALL",
+    "u_n": "SELECT config, hidden, sqrt(sum(w * w)) AS len FROM u_q GROUP BY ALL",
+    "u_all": "SELECT h.config AS config, h.seed AS hidden, i.id AS id, round(coalesce(s.d / n.len, 0), 9) AS s FROM u_mem h JOIN (SELECT DISTINCT config, id FROM u_unit) i ON i.config = h.config JOIN u_n n ON n.config = h.config AND n.hidden = h.seed LEFT JOIN u_s s ON s.config = h.config AND s.hidden = h.seed AND s.id = i.id WHERE i.id = h.seed OR i.id NOT IN (SELECT seed FROM u_liked)",
+    "u_rank": "SELECT config, hidden, id, row_number() OVER (PARTITION BY config, hidden ORDER BY s DESC, id) AS rank FROM u_all",
+}
+
+
+@register("tune_grid", statement(f"SELECT config, {MEASURES_SQL} FROM u_rank WHERE id = hidden GROUP BY config", **TUNE_CTES))
+def tune_grid(spark, sf):
+    grid = literal_rows(spark, GRID_ROWS, "config int, field string, weight int")
+    return evaluate.tune(tables.items(spark, sf), literal_rows(spark, LIKED, "seed long, rating double"), grid)
+
+
+@register("tune_best", statement(f"SELECT config, mrr FROM (SELECT config, {MEASURES_SQL} FROM u_rank WHERE id = hidden GROUP BY config) ORDER BY mrr DESC, config LIMIT 1", **TUNE_CTES))
+def tune_best(spark, sf):
+    return evaluate.best_config(tune_grid(spark, sf)).select("config", "mrr")
