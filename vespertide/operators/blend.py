@@ -29,7 +29,7 @@ def combined(parts: list[tuple[float, DataFrame]], by: list[str] | None = None)
 def reference_scores(signals: list, seeds: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(id, s): the mean over the named items of the blend for each; 0 where it has no say."""
     weights = settings.weights("reference")
-    each = kept(combined([(weights[x.name], kept(x.to_seeds(seeds))) for x in signals if weights[x.name] > 0], by=["seed"]))
+    each = kept(combined([(weights[x.name], x.to_seeds(seeds)) for x in signals if weights[x.name] > 0], by=["seed"]))
     grid = covered_by_any(signals).crossJoin(F.broadcast(each.select("seed").distinct()))
     return grid.join(each, ["seed", "id"], "left").groupBy("id").agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("s"))
 
@@ -42,7 +42,7 @@ def query_scores(signals: list, text: str, keywords: list[str], settings: Settin
 
 def taste_scores(signals: list, liked: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     weights = settings.weights("reference")
-    return filled(signals, combined([(weights[x.name], kept(profile_scores(x, liked, settings))) for x in signals if weights[x.name] > 0]))
+    return filled(signals, combined([(weights[x.name], profile_scores(x, liked, settings)) for x in signals if weights[x.name] > 0]))
 
 
 def filled(signals: list, scores: DataFrame) -> DataFrame:

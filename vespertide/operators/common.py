@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +22,23 @@ def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(row))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    here = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not here:
+        here = tempfile.mkdtemp(prefix="vespertide-")
+        spark.sparkContext.setCheckpointDir(here)
+    return here.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df held for the session in memory, on disk where that is short: for tables that one query reads many times.
+    """df written once to the shared folder and read back: for tables that a query reads many times.
 
-    Lost parts are computed anew from their lineage.
+    Plans stay small, as what was written is a leaf of them, and executors may be lost.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:

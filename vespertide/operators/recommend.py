@@ -121,7 +121,7 @@ def recommend(items: DataFrame, signals: list, *, liked: list[tuple[int, float]]
     scores = mixed(intent, taste, weight)
     if scores is None:
         return nothing
-    candidates = kept(items.join(standardised(kept(scores)).select("id", "z"), "id"))
+    candidates = items.join(standardised(kept(scores)).select("id", "z"), "id")
     if references:
         has = items.join(F.broadcast(seeds), F.col("id") == F.col("seed"), "left_semi").agg(F.coalesce(F.bool_or(F.array_contains("genres", mode_genre)), F.lit(False)).alias("has")).first()["has"]
         candidates = guarded(candidates, same_mode(has, mode_genre, never), settings.guard_rows).where("ok").drop("ok")
