@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -36,6 +37,7 @@ from vespertide.llm.common import read_table, whole_text
 MAX_TRAINING_ROWS = 10_000
 MAX_CANDIDATES = 4_000
 MAX_ENTRIES = 500
+COUNT_ROWS = 500
 STEMS = range(4, 10)
 LEAST_TEXTS = 3
 #: Least share of the toxic training texts that an entry must explain when it is taken.
@@ -151,45 +153,59 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_training_rows: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(keep), "doc_id").select(whole_text(F.col("text")).alias("text"), "toxic")
 
 
+def terms_of(text: str) -> set[str]:
+    """Words of three or more characters, and their beginnings."""
+    words = {w for w in WORD.findall(fold(text)) if len(w) > 2}
+    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
+
+
+def counted_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, t, c): texts of either label that hold a term, summed over COUNT_ROWS texts at a time, so memory stays bounded."""
+    for batch in batches:
+        for first in range(0, len(batch), COUNT_ROWS):
+            part = batch.iloc[first : first + COUNT_ROWS]
+            both: tuple[Counter, Counter] = Counter(), Counter()
+            for text, toxic in zip(part["text"], part["toxic"]):
+                both[1 if toxic == 1 else 0].update(terms_of(text))
+            terms = list(both[0].keys() | both[1].keys())
+            yield pd.DataFrame({"term": terms, "t": [both[1][x] for x in terms], "c": [both[0][x] for x in terms]})
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Lexicon:
     """Lexicon and curve from labelled documents."""
     sample = training_rows(docs, labels, max_training_rows)
 
-    @F.pandas_udf("array<string>")
-    def terms(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            words = {w for w in WORD.findall(fold(t)) if len(w) > 2}
-            out.append(sorted(words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}))
-        return pd.Series(out)
-
-    marked = sample.select("toxic", terms("text").alias("terms"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return Lexicon(dict.fromkeys(SEED_WORDS, SEED_WEIGHT))
-    counted = marked.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counted = sample.mapInPandas(counted_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     z = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     ranked = counted.where(F.col("t") >= LEAST_TEXTS).select("term", "t", "c", weight.alias("w"), z.alias("z")).where((F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z))
     seeds = {r["term"]: r for r in counted.where(F.col("term").isin(SEED_WORDS)).select("term", weight.alias("w")).collect()}
     entries = {w: max(SEED_WEIGHT, seeds[w]["w"]) if w in seeds else SEED_WEIGHT for w in SEED_WORDS if w not in seeds or seeds[w]["w"] > 0}
     rows = ranked.orderBy(F.desc("z"), F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()
-    entries |= covering_entries(marked, rows, math.ceil(max(LEAST_TEXTS, LEAST_SHARE * toxic)))
+    entries |= covering_entries(sample, rows, math.ceil(max(LEAST_TEXTS, LEAST_SHARE * toxic)))
     lexicon = Lexicon(entries)
     lexicon.curve = fit_curve(sample, lexicon)
     return lexicon
 
 
-def covering_entries(marked: DataFrame, rows: list, least: int) -> dict[str, float]:
+def covering_entries(sample: DataFrame, rows: list, least: int) -> dict[str, float]:
     """Entries of a greedy cover of the toxic texts of the sample; rows are the candidates with their counts."""
     if not rows:
         return {}
     names = [r["term"] for r in rows]
-    known = marked.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "term string, number int")
-    numbered = marked.where("toxic = 1").withColumn("row", F.xxhash64("terms")).select("row", F.explode("terms").alias("term"))
-    held = numbered.join(F.broadcast(known), "term").groupBy("row").agg(F.collect_set("number").alias("held")).collect()
-    return {names[i]: float(rows[i]["w"]) for i in cover([set(r["held"]) for r in held], rows, least)}
+    number = {n: i for i, n in enumerate(names)}
+
+    @F.pandas_udf("array<int>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted(number[t] for t in terms_of(x) if t in number) for x in texts])
+
+    texts = sample.where("toxic = 1").select(held("text").alias("held")).where(F.size("held") > 0).collect()
+    return {names[i]: float(rows[i]["w"]) for i in cover([set(r["held"]) for r in texts], rows, least)}
 
 
 def cover(texts: list[set[int]], rows: list, least: int) -> list[int]:
