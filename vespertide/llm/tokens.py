@@ -25,7 +25,7 @@ from vespertide.llm.common import read_table, whole_text
 
 # The split pattern of byte-level BPE vocabularies of this family.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 200_000
 LONG_PRE_TOKEN = 48
 
 
