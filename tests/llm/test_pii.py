@@ -2,14 +2,14 @@ import re
 
 from tests.llm.cases import odd_documents, write_tables
 from vespertide.llm import pii
-from vespertide.llm.pii import entities, op1_pii, replace_entities, settled
+from vespertide.llm.pii import documents_with_mentions, entities, op1_pii, replace_entities, settled
 
 TEXTS = [
     "write to Bo.Li7@Mail.example.com or bo.li7@mail.example.com, call +1 (743) 555-3824 or +1 743-555-3824.",
     "card 4111111111111111 also 4111-1111-1111-1111 from 10.1.2.3, not 1.2.3 or 10.1.2.3.4 or v4.5",
     "Mr. John Smith met Mrs. Jane Smith. Later Mr. Smith left. Frau Müller und Herr Müller. Г-н Иванов",
     "ssn 123-45-6789; again bo.li7@mail.example.com",
-    "nothing here: 12 apples, 2024-01-02, Mr, a@b",
+    "nothing here: 4111111111111112 or 9807915762804490, 12 apples, 2024-01-02, Mr, a@b",
 ]
 
 
@@ -36,7 +36,7 @@ def test_surrogates(spark):
 def test_distinct_entities_keep_apart(spark):
     rows = [(i, f"Mr. {chr(65 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}n Smith x{i}@m.example") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    done = settled(entities(docs), "k")
+    done = settled(entities(documents_with_mentions(docs)), "k")
     found = done.collect()
     real = {(r["kind"], r["canonical"]) for r in found}
     assert len(found) == 900 + 900 + 1

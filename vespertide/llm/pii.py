@@ -1,7 +1,7 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format.
 
-Detection is one regular expression per kind (e-mail address, IP address, payment card, phone number,
-social security number, names after a form of address). A mention is brought to a canonical form, so one entity
+Detection is one regular expression per kind (e-mail address, IP address, payment card with a valid check digit,
+phone number, social security number, names after a form of address). A mention is brought to a canonical form, so one entity
 written in several formats (spaces, dashes, capitals) stays one entity and its mentions get one
 surrogate, each poured into the format of its mention. Of a name every word is an entity, given name
 or surname, so "Mr. John Smith" and "Mr. Smith" still agree.
@@ -54,7 +54,7 @@ ADDRESS = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda x: (-len(x), x)))
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}+-])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}]|-\d)|(?<![\p{L}\p{N}+-])3[47]\d{2}([ -]?)\d{6}\2\d{5}(?![\p{L}\p{N}]|-\d)",
+    "card": r"(?<![\p{L}\p{N}+-])(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6011|6[45]\d{2}|35\d{2})([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}]|-\d)|(?<![\p{L}\p{N}+-])3[47]\d{2}([ -]?)\d{6}\2\d{5}(?![\p{L}\p{N}]|-\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\p{L}|\d)|(?<![\p{L}\p{N}+(])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}-])[2-9]\d{2}-\d{3}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}.])(?:{ADDRESS})\.? {NAME_WORDS}(?![\p{{L}}])",
@@ -62,10 +62,12 @@ PATTERNS = {
 DIGIT_KINDS = ["card", "ssn", "phone"]
 
 
-def combined() -> str:
-    """One pattern for all kinds; back references of one are moved behind the groups of those before it."""
+def combined(kinds: list[str] | None = None) -> str:
+    """One pattern for several kinds; back references of one are moved behind the groups of those before it."""
     out, groups = [], 0
-    for pattern in PATTERNS.values():
+    for kind, pattern in PATTERNS.items():
+        if kinds is not None and kind not in kinds:
+            continue
         own = pattern
         count = pattern.count("([ -]?)")
         for k in range(count, 0, -1):
@@ -75,13 +77,22 @@ def combined() -> str:
     return "|".join(out)
 
 
+def with_pattern(text: Column, act) -> Column:
+    """act(pattern), with the kinds that the text can hold at all: most texts have no @, many no digit."""
+    digits = ["ip", "card", "ssn", "phone"]
+    some, mail = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
+    return F.when(some & mail, act(combined())).when(some, act(combined([*digits, "name"]))).when(mail, act(combined(["email", "name"]))).otherwise(act(combined(["name"])))
+
+
 def kind_of(mention: Column) -> Column:
-    """Kind of a whole mention, the first that fits in the order of PATTERNS."""
+    """Kind of a whole mention, the first that fits in the order of PATTERNS; "number" for what only looks like a card."""
     kinds = F.when(F.lit(False), F.lit(""))
     bare = lambda p: "^(?:" + p.replace(r"(?<![\p{L}\p{N}+-])", "") + ")$"
     for kind, pattern in PATTERNS.items():
         kinds = kinds.when(mention.rlike(bare(pattern)), F.lit(kind))
-    return kinds.otherwise(F.lit("phone"))
+    found = kinds.otherwise(F.lit("phone"))
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    return F.when((found == "card") & ~luhn_valid(digits), F.lit("number")).otherwise(found)
 
 
 def literal_array(values: list[str]) -> Column:
@@ -137,6 +148,10 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0), add)
 
 
+def luhn_valid(digits: Column) -> Column:
+    return F.pmod(luhn_sum(digits) + F.substring(digits, -1, 1).cast("int"), F.lit(10)) == 0
+
+
 def redrawn_letters(text: Column, seed: Column) -> Column:
     """Each digit a digit and each letter a letter of its script; the rest stays."""
 
@@ -160,8 +175,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     octet = lambda n, low, high: (drawn(seed, f"octet{n}", high - low + 1) + low).cast("string")
     ip = F.concat_ws(".", F.when(free, octet(1, 1, 223)).otherwise(F.lit("10")), octet(2, 0, 255), octet(3, 0, 255), octet(4, 1, 254))
     body = F.concat(F.substring(canonical, 1, 1), digits(2, size - 1))
-    valid = F.pmod(luhn_sum(canonical) + F.substring(canonical, -1, 1).cast("int"), F.lit(10)) == 0
-    card = F.concat(body, F.when(valid, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")).otherwise(drawn(seed, "last", 10).cast("string")))
+    card = F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     ssn = F.concat(F.lit("9"), digits(2, F.lit(9)))
     american = F.concat(F.substring(canonical, 1, size - 10), (drawn(seed, "area", 8) + 2).cast("string"), digits(3, F.lit(4)), F.when(free, digits(5, F.lit(7))).otherwise(F.lit("555")), digits(8, F.lit(11)))
     phone = F.when((size == 10) | ((size == 11) & canonical.startswith("1")), american).otherwise(F.concat(F.substring(canonical, 1, 2), digits(3, size)))
@@ -206,13 +220,19 @@ def poured(kind: Column, text: Column, canonical: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(combined()), F.lit(0))
+    return with_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+
+
+def documents_with_mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The row keys and distinct mentions of the documents that have any."""
+    found = row_key(docs, text_col=text_col).select(*ROW, F.array_distinct(mentions(F.col(text_col))).alias("mentions"))
+    return found.where(F.size("mentions") > 0)
 
 
-def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct (kind, canonical) of the corpus."""
-    found = docs.select(F.explode(mentions(F.col(text_col))).alias("m")).distinct()
-    return found.select(F.explode(entities_of(F.col("m"))).alias("e")).select("e.kind", "e.canonical").distinct()
+def entities(found: DataFrame) -> DataFrame:
+    """Distinct (kind, canonical) of the corpus, from the mentions of its documents."""
+    each = found.select(F.explode("mentions").alias("m")).distinct()
+    return each.select(F.explode(entities_of(F.col("m"))).alias("e")).select("e.kind", "e.canonical").where("kind <> 'number'").distinct()
 
 
 def settled(real: DataFrame, key: str) -> DataFrame:
@@ -239,7 +259,8 @@ def settled(real: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text column, and __vt_n_entities."""
-    real = materialize(entities(docs, text_col), "pii-entities")
+    found = materialize(documents_with_mentions(docs, text_col), "pii-mentions")
+    real = materialize(entities(found), "pii-entities")
     again = materialize(settled(real, key).where(F.col("attempt") > 0).select("kind", "canonical", "attempt"), "pii-again")
     text = F.col(text_col)
     keyed = row_key(docs, text_col=text_col).withColumn("__vt_mentions", F.coalesce(mentions(text), F.array().cast("array<string>")))
@@ -247,7 +268,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         keyed = keyed.withColumn("__vt_again", F.array().cast("array<struct<kind: string, canonical: string, attempt: int>>"))
     else:
         small = again.count() <= BROADCAST_ROWS
-        each = row_key(docs, text_col=text_col).select(*ROW, F.explode(F.array_distinct(mentions(text))).alias("m")).select(*ROW, F.explode(entities_of(F.col("m"))).alias("e"))
+        each = found.select(*ROW, F.explode("mentions").alias("m")).select(*ROW, F.explode(entities_of(F.col("m"))).alias("e"))
         hit = each.select(*ROW, "e.kind", "e.canonical").distinct().join(F.broadcast(again) if small else again, ["kind", "canonical"])
         by_doc = materialize(hit.groupBy(*ROW).agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("__vt_again")), "pii-by-document")
         side = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
@@ -266,13 +287,15 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         parts = entities_of(mention)
         title = F.regexp_extract(mention, rf"^((?:{ADDRESS})\.? )", 1)
         name = F.concat(title, F.array_join(F.transform(parts, new_text), " "))
-        return F.when(kind_of(mention) == "name", name).otherwise(F.array_join(F.transform(parts, new_text), ""))
+        kind = kind_of(mention)
+        return F.when(kind == "number", mention).when(kind == "name", name).otherwise(F.array_join(F.transform(parts, new_text), ""))
 
     count = F.size("__vt_mentions")
-    around = F.split(text, combined(), -1)
+    real_count = F.when(count > 0, F.size(F.filter("__vt_mentions", lambda m: kind_of(m) != "number"))).otherwise(0)
+    around = with_pattern(text, lambda p: F.split(text, p, -1))
     # The text is what stands around the mentions, with the surrogates in between.
     rebuilt = F.array_join(F.zip_with(around, F.transform("__vt_mentions", in_place), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = keyed.withColumn(text_col, F.when(count > 0, rebuilt).otherwise(text)).withColumn("__vt_n_entities", count.cast("long"))
+    out = keyed.withColumn(text_col, F.when(count > 0, rebuilt).otherwise(text)).withColumn("__vt_n_entities", real_count.cast("long"))
     return out.select(*docs.columns, "__vt_n_entities")
 
 
