@@ -66,3 +66,45 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, words int")
     assert linededup.drop_repeated_passages(docs).columns == docs.columns
     assert linededup.drop_repeated_passages(docs).count() == 0
+
+
+def brute(rows, need=50):
+    """Every run of lines with enough words is looked up among all runs at earlier places."""
+    seen, out = {}, {}
+    for d, text in sorted(rows):
+        lines, go = text.split("\n"), set()
+        words = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if words[a] and words[b] and sum(words[a : b + 1]) >= need:
+                    o = seen.setdefault(tuple(lines[a : b + 1]), (d, b))
+                    if o[0] != d or o[1] < a:
+                        go |= set(range(a, b + 1))
+        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in go)
+    return out
+
+
+def test_passages_of_several_lines_like_brute_force(spark):
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"w{rng.random():.6f}" for _ in range(n))
+    hot = [line(rng.randint(1, 6)) for _ in range(3)] + ["", " "]
+    passages = [[rng.choice(hot) if rng.random() < 0.4 else line(rng.randint(5, 30)) for _ in range(rng.randint(2, 9))] for _ in range(12)]
+    rows = [(0, "\n".join(hot))]
+    for i in range(1, 80):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            part = rng.choice(passages)
+            lines += rng.choice([part, part, part[rng.randint(0, 2) :], [line(rng.randint(1, 49))], [rng.choice(hot)], [rng.choice(hot[:3])] * rng.randint(1, 40)])
+        rows.append((i, "\n".join(lines)))
+    want = brute(rows)
+    assert sum(want[i] != t for i, t in rows) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.drop_repeated_passages(docs).collect()} == want
+
+
+def test_short_lines_around_a_long_one_go_with_it_unless_known_before(spark):
+    long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, "boiler"), (2, f"title\n{long}\n\n{other}\nboiler"), (3, f"x\ntitle\n{long}\n\n{other}\nboiler")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_passages(docs).collect()}
+    assert got == {1: "boiler", 2: rows[1][1], 3: "x\nboiler"}

@@ -1,12 +1,17 @@
 """Repeated passages go, by content-defined chunks of lines.
 
-A rolling hash over the hashes of each line and the one before it chooses chunk boundaries: on
-average every DIVISOR lines, always by content, so a line put in or taken out shifts nothing but
-its own chunk. A line of PASSAGE_WORDS or more stands in a chunk of its own, whatever is around it.
-Chunks that occur more than once in the corpus keep their first occurrence (smallest document,
-then place). Of the others, runs of neighbouring repeated chunks that hold PASSAGE_WORDS or more
-are removed from their document, each chunk only after its bytes equal those of the first one.
-Shorter repeats, such as single boilerplate lines, stay.
+A passage is a run of lines that holds PASSAGE_WORDS or more, begins and ends with a line that has
+words, and stands line for line at an earlier place of the corpus (smaller document, then place; in
+one document only without overlap). All its lines go, whichever document each single line is first in.
+
+Chunks are defined by the words of their lines alone: from every line on, and back from every line, as
+few lines as hold PASSAGE_WORDS. A passage is covered by the chunks inside it, so the chunks that occur
+more than once find every passage, whatever stands around it. A rolling hash over the lines names a
+chunk; chunks that lie alike in a document and in that of their first occurrence are joined to runs,
+and a run goes only after its bytes equal those of the first one. Shorter repeats, such as single
+boilerplate lines, stay. A line of PASSAGE_WORDS or more is a passage by itself; shorter lines around
+it go with it, unless all of them stand in a document before that of the first occurrence: then they
+are boilerplate beside a passage.
 
 Only hashes are shuffled to find repeats. Texts of first occurrences are fetched where their list
 is small enough to broadcast (FETCH_ROWS), by a shuffled join beyond that. Counts and minima are
@@ -27,7 +32,6 @@ from pyspark.sql import functions as F
 from vespertide.llm.common import discard, materialize, read_table, row_key
 
 PASSAGE_WORDS = 50
-DIVISOR = 2
 FETCH_ROWS = 500_000
 KEY = ["__vt_id", "__vt_text_hash"]
 
@@ -42,39 +46,75 @@ def joined(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
 
 
-def chunks(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """One row per chunk: document, place, first and last line, words and hash."""
+def worded_lines(docs: DataFrame) -> DataFrame:
+    """One row per line that has words: document, place, words, and hashes of the line alone (h) and with the lines without words before it (gap_h)."""
     lines = row_key(docs).where(F.col("text").isNotNull()).select(*KEY, F.split("text", "\n", -1).alias("__vt_lines"))
-    hashed = lines.select(*KEY, "__vt_lines", F.transform("__vt_lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("__vt_lines", word_count).alias("w"))
-    size = F.size("w")
+    counted = lines.select(*KEY, "__vt_lines", F.transform("__vt_lines", word_count).alias("w"))
+    at = counted.select(*KEY, "__vt_lines", "w", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) > 0).alias("at"))
+
+    def line(i: Column, k: Column) -> Column:
+        gap = F.coalesce(F.get("at", k - 1) + 1, F.lit(0))
+        return F.struct(i.alias("pos"), F.get("w", i).alias("words"), F.xxhash64(F.get("__vt_lines", i)).alias("h"), F.xxhash64(joined(F.col("__vt_lines"), gap, i)).alias("gap_h"))
+
+    # Repeated rows of one document bring each line more than once.
+    return at.select(*KEY, F.explode(F.transform("at", line)).alias("l")).select(*KEY, "l.*").repartition(*KEY).dropDuplicates([*KEY, "pos"])
+
+
+def chunks_of(lines: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per chunk: document, first and last line, words, hash, and the hashes of its short lines where it has a long one too (side)."""
+    doc = W.partitionBy(*KEY)
+    upto = F.sum("words").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    placed = lines.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+    is_long = F.col("words") >= passage_words
+
+    def chunk(frame) -> Column:
+        side = F.when(F.max(is_long).over(frame), F.collect_list(F.when(~is_long, F.col("h"))).over(frame))
+        return F.struct(F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.sum("words").over(frame).alias("words"), F.first("h").over(frame).alias("h"), F.collect_list("gap_h").over(frame).alias("rest"), side.alias("side"))
+
+    found = placed.select(
+        *KEY,
+        F.array(
+            # As few lines as hold the words, onwards and backwards, and a long line with the next one.
+            chunk(doc.orderBy("before").rangeBetween(0, passage_words - 1)),
+            chunk(doc.orderBy("upto").rangeBetween(-(passage_words - 1), 0)),
+            F.when(is_long, chunk(doc.orderBy("pos").rowsBetween(0, 1))),
+        ).alias("c"),
+    )
+    each = found.select(*KEY, F.explode(F.array_distinct(F.filter("c", lambda c: c["words"] >= passage_words))).alias("c")).select(*KEY, "c.*")
+    rolled = F.xxhash64("h", F.slice("rest", 2, F.size("rest")))
+    # A chunk may be found from both of its ends.
+    return each.select(*KEY, "first", "last", "words", rolled.alias("hash"), F.when(F.size("side") > 0, F.col("side")).alias("side")).dropDuplicates([*KEY, "first", "last"])
 
-    def boundary(i: Column) -> Column:
-        rolled = F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0).cast("long")), F.get("h", i))
-        long_here, long_next = F.get("w", i) >= passage_words, F.coalesce(F.get("w", i + 1), F.lit(0)) >= passage_words
-        return (i == size - 1) | long_here | long_next | (F.pmod(rolled, F.lit(DIVISOR)) == 0)
 
-    cut = hashed.select(*KEY, "__vt_lines", "w", F.filter(F.sequence(F.lit(0), size - 1), boundary).alias("ends"))
+def chunks(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    return chunks_of(worded_lines(docs), passage_words)
 
-    def chunk(end: Column, k: Column) -> Column:
-        first = F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
-        words = F.aggregate(F.slice("w", first + 1, end - first + 1), F.lit(0), lambda a, b: a + b)
-        return F.struct(k.alias("place"), first.alias("first"), end.alias("last"), words.alias("words"), F.xxhash64(joined(F.col("__vt_lines"), first, end)).alias("hash"))
 
-    return cut.select(*KEY, F.explode(F.transform("ends", chunk)).alias("c")).select(*KEY, "c.*")
+def boilerplate(later: DataFrame, lines: DataFrame) -> DataFrame:
+    """hash of the chunks with a long line whose short lines all stand in documents before the origin."""
+    sides = later.where(F.col("side").isNotNull()).select("hash", "origin", "side").dropDuplicates(["hash"])
+    sides = sides.select("hash", F.struct("origin.__vt_id", "origin.__vt_text_hash").alias("doc"), F.explode(F.array_distinct("side")).alias("h"))
+    seen = lines.join(sides.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct(*KEY)).alias("seen"))
+    return sides.join(seen, "h").groupBy("hash").agg(F.max(F.col("doc").eqNullSafe(F.col("seen"))).alias("own")).where(~F.col("own")).select("hash")
 
 
-def removable(found: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Chunks in runs of later occurrences with enough words, with where the first occurrence is."""
-    where = F.struct(*KEY, "place", "first", "last")
+def removable(found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Runs of lines that stand at an earlier place, with where that is; hash names the place."""
+    where = F.struct(*KEY, "first", "last")
     repeated = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(where).alias("origin")).where("n > 1").drop("n")
-    later = found.join(repeated, "hash").where(~((F.col("__vt_id").eqNullSafe(F.col("origin.__vt_id"))) & (F.col("__vt_text_hash") == F.col("origin.__vt_text_hash")) & (F.col("place") == F.col("origin.place"))))
-    # Repeated rows of one document bring each chunk more than once.
-    later = later.dropDuplicates([*KEY, "place"])
-    # A run keeps its step in both documents: the same chunks stand side by side where they first occur.
-    side = [*KEY, "origin.__vt_id", "origin.__vt_text_hash", F.col("place") - F.col("origin.place")]
-    runs = later.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy(*side).orderBy("place")))
-    total = runs.withColumn("run_words", F.sum("words").over(W.partitionBy(*side, "run")))
-    return total.where(F.col("run_words") >= passage_words).select(*KEY, "place", "first", "last", "hash", "origin")
+    same_doc = F.col("__vt_id").eqNullSafe(F.col("origin.__vt_id")) & (F.col("__vt_text_hash") == F.col("origin.__vt_text_hash"))
+    later = found.join(repeated, "hash").where(~(same_doc & (F.col("first") <= F.col("origin.last"))))
+    if lines is not None:
+        later = materialize(later, "later-chunks")
+        later = later.join(boilerplate(later, lines), "hash", "left_anti")
+    later = later.select(*KEY, "first", "last", F.col("origin.__vt_id").alias("o_id"), F.col("origin.__vt_text_hash").alias("o_hash"), (F.col("first") - F.col("origin.first")).alias("shift"))
+    side = [*KEY, "o_id", "o_hash", "shift"]
+    order = W.partitionBy(*side).orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    starts = later.withColumn("starts", F.when(F.col("first") <= reach + 1, F.lit(0)).otherwise(F.lit(1)))
+    runs = starts.withColumn("run", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*side, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    origin = F.struct(F.col("o_id").alias("__vt_id"), F.col("o_hash").alias("__vt_text_hash"), (F.col("first") - F.col("shift")).alias("first"), (F.col("last") - F.col("shift")).alias("last"))
+    return runs.select(*KEY, "first", "last", origin.alias("origin")).withColumn("hash", F.xxhash64("origin"))
 
 
 def origin_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -90,19 +130,31 @@ def origin_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("__vt_lines", F.explode(texts).alias("t")).select("t.*").dropDuplicates(["hash"])
 
 
+def united(runs: Column, p: Column) -> Column:
+    """Disjoint runs with one more, whose first line is not before theirs."""
+    n = F.size(runs)
+    end = F.get(runs, n - 1)
+    grown = F.struct(end["first"].alias("first"), F.greatest(end["last"], p["last"]).alias("last"))
+    meets = (n > 0) & (p["first"] <= end["last"] + 1)
+    return F.when(meets, F.concat(F.slice(runs, 1, F.greatest(n - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(runs, F.array(F.struct(p["first"].alias("first"), p["last"].alias("last")))))
+
+
 def drop_repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, counts: bool = False) -> DataFrame:
     """docs with repeated passages removed from text (and n_chars brought in line); with counts also __vt_n_lines and __vt_n_removed."""
-    found = materialize(chunks(docs.select("doc_id", "text"), passage_words), "line-chunks")
-    wanted = materialize(removable(found, passage_words), "repeated-chunks")
+    lines = materialize(worded_lines(docs.select("doc_id", "text")), "lines")
+    found = materialize(chunks_of(lines, passage_words), "line-chunks")
+    wanted = materialize(removable(found, lines), "repeated-chunks")
     discard(found)
+    discard(lines)
     texts = materialize(origin_texts(docs.select("doc_id", "text"), wanted), "origin-texts")
     parts = wanted.join(texts, "hash").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last", F.col("origin_text").alias("text")))).alias("__vt_parts"))
     keyed = row_key(docs)
     same = F.col("d.__vt_id").eqNullSafe(F.col("p.__vt_id")) & (F.col("d.__vt_text_hash") == F.col("p.__vt_text_hash"))
     both = keyed.alias("d").join(parts.alias("p"), same, "left").select("d.*", "p.__vt_parts").withColumn("__vt_lines", F.split("text", "\n", -1))
-    # The comparison of bytes: only chunks that equal the first occurrence go.
+    # The comparison of bytes: only runs that equal the first occurrence go.
     lines = F.col("__vt_lines")
-    proven = both.withColumn("__vt_go", F.filter("__vt_parts", lambda p: joined(lines, p["first"], p["last"]) == p["text"]))
+    equal = F.filter("__vt_parts", lambda p: joined(lines, p["first"], p["last"]) == p["text"])
+    proven = both.withColumn("__vt_go", F.aggregate(equal, F.array().cast("array<struct<first:int,last:int>>"), united))
     go, n = F.col("__vt_go"), F.size("__vt_lines")
 
     def between(k: Column) -> Column:
