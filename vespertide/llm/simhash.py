@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.llm.common import discard, materialize, read_table, row_key, whole_text
@@ -41,6 +42,16 @@ MEAN_ROOT_ROWS = 512
 TASK_ROWS = 16_384
 FRONTIER = 1 << 20
 HASH_BLOCK = 1 << 15
+#: The near-duplicate stage: shingles that are compared, their least similarity, and the search for candidates.
+COMPARED_WORDS = 5
+SIMILARITY = 0.8
+SEARCH_WORDS = 2
+SEARCH_BUDGET = 8
+#: Largest group of candidates that one task settles; larger ones shed stars first.
+GROUP_TEXTS = 512
+GROUP_SHINGLES = 2_000_000
+BROADCAST_KEYS = 200_000
+SALTS = 32
 
 
 def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
@@ -58,13 +69,13 @@ def fingerprint(text: str, words_in_shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", into: str = "fingerprint_bits") -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str = "text", into: str = "fingerprint_bits", words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """df with a long holding the 64 bits."""
 
     @F.pandas_udf("long")
     def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint(t, words_in_shingle) for t in texts], np.uint64).view(np.int64))
 
     return df.withColumn(into, bits(whole_text(F.col(text_col))))
 
@@ -74,7 +85,9 @@ def walk_trie(roots: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> Iter
 
     Rows must be sorted by (root, bits) and distinct. A node at depth d is a run of rows that share
     root and d leading bits; a frontier holds node pairs (starts and ends of two runs) and their
-    differing bits so far. Frontiers longer than FRONTIER are split, so memory stays bounded.
+    differing bits so far. A node of one row has one path below it, so two of them are settled by
+    counting the bits that differ in all. Frontiers longer than FRONTIER are split, so memory stays
+    bounded.
     """
     n = len(bits)
     if n < 2:
@@ -92,9 +105,14 @@ def walk_trie(roots: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> Iter
             half = len(alo) // 2
             stack += [(depth, *(x[:half] for x in (alo, ahi, blo, bhi, diff))), (depth, *(x[half:] for x in (alo, ahi, blo, bhi, diff)))]
             continue
-        if depth == 64:
-            yield alo, blo
-            continue
+        single = (ahi - alo == 1) & (bhi - blo == 1)
+        if single.any():
+            a, b = alo[single], blo[single]
+            near = np.bitwise_count(bits[a] ^ bits[b]) <= budget
+            yield a[near], b[near]
+            alo, ahi, blo, bhi, diff = (x[~single] for x in (alo, ahi, blo, bhi, diff))
+            if not len(alo):
+                continue
         # ones[i]: rows before i whose bit at this depth is set; within a run zeros come first.
         ones = np.r_[0, np.cumsum((bits >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)]
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
@@ -215,13 +233,162 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """docs with one document of each component: the one of the smallest doc_id (null last); repeated rows of it fall together."""
-    found = materialize(near_duplicates(docs.select("doc_id", "text"), budget).select("__vt_id", "__vt_text_hash", "root"), "members")
+def shingle_set(text: str, words_in_shingle: int = COMPARED_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; of the whole sequence if it is shorter, none if it has no words."""
+    words = text.encode("utf-8").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(min(words_in_shingle, len(words))))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(HASH_SEED)), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar_groups(bits: np.ndarray, sets: list[np.ndarray], budget: int, similarity: float) -> np.ndarray:
+    """Smallest row joined with each row by links within the budget whose sets are alike enough. Rows that are joined already are not compared."""
+    label = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    for i in range(1, len(sets)):
+        # Sets of sizes too far apart can't be alike enough.
+        fits = (np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])) & (np.bitwise_count(bits[:i] ^ bits[i]) <= budget)
+        for j in np.flatnonzero(fits):
+            if label[j] != label[i] and jaccard(sets[j], sets[i]) >= similarity:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return label
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row per document: __vt_id, __vt_text_hash, bits of the search fingerprint and set_hash of the compared shingles."""
+
+    @F.pandas_udf("bits long, set_hash long")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            bits = np.array([fingerprint(t, SEARCH_WORDS) for t in texts], np.uint64).view(np.int64)
+            sets = np.array([xxhash.xxh64_intdigest(shingle_set(t).tobytes()) for t in texts], np.uint64).view(np.int64)
+            yield pd.DataFrame({"bits": bits, "set_hash": sets})
+
+    return row_key(docs).select("__vt_id", "__vt_text_hash", marks(whole_text(F.col("text"))).alias("m")).select("__vt_id", "__vt_text_hash", "m.*")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if its count allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def similar_groups_kept(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Marks of all documents (__vt_id, __vt_text_hash, bits, set_hash), and the key of the one document of each group of similar texts that stays.
+
+    Candidates come from the trie over fingerprints of SEARCH_WORDS-word shingles: few edits move those less than
+    longer ones. What the trie joins is compared by the shingle sets themselves. Groups of candidates within
+    GROUP_TEXTS and GROUP_SHINGLES are settled whole, each in one task: groups are the connected links of
+    similarity or more. Larger ones first shed stars: the texts closest to the majority of their bits are centres,
+    each text is compared with the closest centre, and what is alike falls to it; centres quadruple from round to
+    round, and what is left when a group is small enough is settled whole. Equal texts are one from the start.
+    """
+    key = ["bits", "set_hash"]
     place = F.struct(F.col("__vt_id").isNull().alias("no_id"), "__vt_id", "__vt_text_hash")
-    kept = found.groupBy("root").agg(F.min(place).alias("k")).select("k.__vt_id", "k.__vt_text_hash")
+    marked = materialize(distinct_texts(docs), "text-marks")
+    nodes = materialize(marked.groupBy(*key).agg(F.min(place).alias("first")), "distinct-texts")
+    stars = components(links(nodes.select("bits").distinct(), budget))
+    rooted = materialize(nodes.join(stars.select(F.col("a").alias("bits"), F.col("b").alias("root")), "bits", "left").select(*key, "first", F.coalesce("root", "bits").alias("root")), "rooted-texts")
+    many = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    wanted = materialize(rooted.join(small(many), "root"), "candidate-texts")
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    keys = wanted.select("root", *key, "first", F.col("first.__vt_id").alias("__vt_id"), F.col("first.__vt_text_hash").alias("__vt_text_hash"))
+    a, b = row_key(docs).select("__vt_id", "__vt_text_hash", "text").alias("a"), small(keys).alias("b")
+    same = F.col("a.__vt_id").eqNullSafe(F.col("b.__vt_id")) & (F.col("a.__vt_text_hash") == F.col("b.__vt_text_hash"))
+    texts = a.join(b, same).select("b.root", "b.bits", "b.set_hash", "b.first", sets(whole_text(F.col("a.text"))).alias("shingles"))
+    open_ = materialize(texts.dropDuplicates(key), "candidate-shingles")
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in rows.sort_values(["no_id", "__vt_id", "__vt_text_hash"]).groupby("root"):
+            bits, names = part["bits"].to_numpy(np.int64), part["set_hash"].to_numpy(np.int64)
+            label = similar_groups(bits.view(np.uint64), [np.asarray(x, np.int64).view(np.uint64) for x in part["shingles"]], budget, similarity)
+            out.append(pd.DataFrame({"bits": bits, "set_hash": names, "to_bits": bits[label], "to_set": names[label]}))
+        return pd.concat(out)
+
+    settled: list[DataFrame] = []
+    centres = 1
+    while True:
+        size = open_.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles").cast("long")).alias("s"))
+        size = materialize(size.withColumn("large", (F.col("n") > GROUP_TEXTS) | ((F.col("s") > GROUP_SHINGLES) & (F.col("n") > centres))), "group-sizes")
+        large = small(size.where("large").select("root"))
+        total = size.where("not large").agg(F.sum("s").alias("s")).first()["s"] or 0
+        task = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / GROUP_SHINGLES)))).alias("task")
+        ready = open_.join(large, "root", "left_anti").select(task, "root", *key, "first.*", "shingles")
+        settled.append(materialize(ready.groupBy("task").applyInPandas(settle, "bits long, set_hash long, to_bits long, to_set long"), "settled"))
+        if size.where("large").isEmpty():
+            break
+        rest = materialize(open_.join(large, "root", "left_semi"), "large-groups")
+        left = materialize(fallen(rest, materialize(star_centres(rest.select("root", *key), centres), "centres"), similarity), "fallen")
+        settled.append(left.where("to_bits is not null").select(*key, "to_bits", "to_set"))
+        discard(open_)
+        open_, centres = materialize(rest.join(left.where("to_bits is null").select(*key), key, "left_semi"), "left-texts"), centres * 4
+        discard(rest)
+    moved = settled[0]
+    for x in settled[1:]:
+        moved = moved.unionByName(x)
+    ends = nodes.join(moved, key, "left").select("first", F.coalesce("to_bits", "bits").alias("to_bits"), F.coalesce("to_set", "set_hash").alias("to_set"))
+    kept = ends.groupBy("to_bits", "to_set").agg(F.min("first").alias("k")).select("k.__vt_id", "k.__vt_text_hash")
+    return marked, kept
+
+
+def salted(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """Join in which one key of rows may be hot: each row has one salt, each row of the side all of them."""
+    names = [c for c in rows.columns if c not in on] + [c for c in side.columns if c not in on]
+    dealt = side.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("bits", "set_hash"), F.lit(SALTS)).cast("int")).join(dealt, [*on, "salt"]).select(*on, *names)
+
+
+def star_centres(rows: DataFrame, count: int) -> DataFrame:
+    """(root, centres): for each root the fingerprints and sets of at most count texts near the majority, from weights by bit summed in Spark."""
+    bit = lambda i: F.shiftrightunsigned("bits", 63 - i).bitwiseAND(F.lit(1))
+    sums = rows.groupBy("root").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)])
+    middle = F.lit(0).cast("long")
+    for i in range(64):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long")))
+    off = salted(rows, sums.select("root", middle.alias("middle")), ["root"]).withColumn("off", F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))))
+    # Partial top lists by salt first, so that no task orders a whole group.
+    spread = W.partitionBy("root", F.pmod(F.xxhash64("bits", "set_hash"), F.lit(SALTS))).orderBy("off", "bits", "set_hash")
+    some = off.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= count)
+    best = some.withColumn("r", F.row_number().over(W.partitionBy("root").orderBy("off", "bits", "set_hash"))).where(F.col("r") <= count)
+    return best.select("root", "bits", "set_hash")
+
+
+def fallen(rows: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """bits, set_hash, and the centre (to_bits, to_set) that each row falls to: the closest one, if alike enough; a centre falls to itself."""
+    own = centres.select("root", F.col("bits").alias("to_bits"), F.col("set_hash").alias("to_set"))
+    sets_ = own.join(rows.select(F.col("bits").alias("to_bits"), F.col("set_hash").alias("to_set"), F.col("shingles").alias("to_shingles")), ["to_bits", "to_set"])
+    choice = own.groupBy("root").agg(F.collect_list(F.struct("to_bits", "to_set")).alias("all"))
+    far = lambda c: F.bit_count(F.col("bits").bitwiseXOR(c["to_bits"])) + F.when((c["to_bits"] == F.col("bits")) & (c["to_set"] != F.col("set_hash")), F.lit(1)).otherwise(F.lit(0))
+    near = F.array_min(F.transform("all", lambda c: F.struct(far(c).alias("far"), c["to_bits"].alias("to_bits"), c["to_set"].alias("to_set"))))
+    asked = salted(rows.select("root", "bits", "set_hash", "shingles"), choice, ["root"]).select("root", "bits", "set_hash", "shingles", near.alias("c")).select("root", "bits", "set_hash", "shingles", "c.to_bits", "c.to_set")
+    met = salted(asked, sets_, ["root", "to_bits", "to_set"])
+    both = F.size(F.array_intersect("shingles", "to_shingles"))
+    total = F.size("shingles") + F.size("to_shingles") - both
+    alike = (total == 0) | (both >= similarity * total)
+    return met.select("bits", "set_hash", F.when(alike, F.col("to_bits")).alias("to_bits"), F.when(alike, F.col("to_set")).alias("to_set"))
+
+
+def keep_one(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of similar texts: the one of the smallest doc_id (null last); repeated rows of it fall together."""
+    marked, kept = similar_groups_kept(docs.select("doc_id", "text"), budget, similarity)
+    kept = materialize(kept, "kept")
     keyed = row_key(docs)
     one = keyed.alias("d").join(kept.alias("k"), F.col("d.__vt_id").eqNullSafe(F.col("k.__vt_id")) & (F.col("d.__vt_text_hash") == F.col("k.__vt_text_hash")), "left_semi")
-    if found.count() > found.select("__vt_id", "__vt_text_hash").distinct().count():
+    if marked.count() > marked.select("__vt_id", "__vt_text_hash").distinct().count():
         one = one.dropDuplicates(["__vt_id", "__vt_text_hash"])
     return one.select(*docs.columns)
