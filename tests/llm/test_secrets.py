@@ -1,6 +1,11 @@
+import random
 import re
+import string
+
+import numpy as np
 
 from tests.llm.cases import odd_documents, write_tables
+from vespertide.llm import secrets
 from vespertide.llm.secrets import find_secrets, op6_secrets
 
 TEXTS = [
@@ -36,3 +41,46 @@ def test_base_spans(spark, sf_dir, tmp_path):
         b = brute(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for x, _, _ in b) for k in ("assign", "access", "hex")]
     assert op6_secrets(spark, write_tables(tmp_path / "a", documents=docs.limit(0))).count() == 0
+
+
+def corpus(n_keys, n_words, seed=4):
+    rng = random.Random(seed)
+    letters = string.ascii_letters + string.digits
+    texts = ["see " + "".join(rng.choice(letters) for _ in range(rng.choice([24, 32, 40]))) + " there" for _ in range(n_keys)]
+    texts += ["the " + "-".join(rng.choice(["alpha", "ordinary", "hyphen", "words", "together"]) for _ in range(rng.randint(4, 7))) for _ in range(n_words)]
+    return texts + ["mixed ab+/" + "".join(rng.choice(letters) for _ in range(30)) + "-_" + "".join(rng.choice(letters) for _ in range(30))] * 2
+
+
+def test_random_spans_match_brute_force(spark):
+    for texts in (corpus(40, 5), corpus(5, 300), ["plain words only"]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        each = {}
+        for i, t in enumerate(texts):
+            each[i] = secrets.tested_candidates(t, re.compile(secrets.CANDIDATE))
+        counts, seen = {}, set()
+        for c in (c for x in each.values() for c in x):
+            mark = (c["encoding"], c["length_class"], c["word"], c["name"])
+            if mark not in seen:
+                seen.add(mark)
+                pair = counts.setdefault(mark[:2], (np.zeros(secrets.SCORE_BINS), np.zeros(secrets.SCORE_BINS)))
+                pair[0 if c["word"] else 1][min(int(c["score"] * secrets.SCORE_BINS), secrets.SCORE_BINS - 1)] += 1
+        least = secrets.least_scores(counts)
+        want = {i: [(c["start"], c["end"]) for c in x if not c["word"] and c["score"] >= least.get((c["encoding"], c["length_class"]), 2)] for i, x in each.items()}
+        got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == "random"] for r in find_secrets(docs).collect()}
+        assert got == want
+
+
+def test_control_holds_at_every_size_and_ignores_copies(spark):
+    keys = corpus(40, 0)
+    docs = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda texts: [len(r["found"]) for r in find_secrets(docs(texts)).orderBy("doc_id").collect()]
+    once = found(keys)
+    assert sum(once[:40]) >= 36
+    # The same verdict whether a string, ordinary or not, is there once or many times.
+    assert found(keys + ["the Averyordinaryword-joined-together"] * 200)[:40] == found(keys + ["the Averyordinaryword-joined-together"])[:40]
+    assert found(keys * 5)[:40] == once[:40]
+
+
+def test_battery_rejects_regular_strings():
+    for body in ("0123456789abcdef0123456789abcdef", "aaaaaaaaaaaaaaaaaaaaaaaa", "ABABABABABABABABABABABAB", "abcdefghijklmnopqrstuvwxyz"):
+        assert secrets.battery(body, secrets.inferred(body)) < secrets.LEAST_SCORE

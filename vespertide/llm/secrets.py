@@ -6,11 +6,15 @@ against that encoding: chi-squared uniformity over classes of its alphabet, Wald
 about the middle of the alphabet, and serial correlation of neighbouring symbols. The two-sided
 p-values combine by Fisher's method into one p-value of "as uniform as a random key".
 
-A finding is a candidate that looks random while ordinary words do not, so the null is an ordinary
-string: its chance of looking this random is measured over all candidates of the corpus that are
-words (letters only, with vowels as in prose), per encoding and length class. Benjamini-Hochberg
-at level `fdr` within each length class then gives that class its threshold: short strings, whose
-tests are weak, must look more random than long ones. Counts come from a histogram of fixed size.
+A finding is a candidate that looks random while ordinary strings do not, so the null is an ordinary
+string: its chance of looking this random is measured over the distinct candidates of the corpus that
+are words (letters only, cased as in prose), per encoding and length class. Where a class has few words
+the measure leans on the words of all classes, and those on a stated chance (PRIOR_TAIL), each with the
+weight of PRIOR_WEIGHT strings; so one rule holds at every size. Benjamini-Hochberg at level `fdr` then
+gives each class its threshold: short strings, whose tests are weak, must look more random than long
+ones. A string counts once however often it is copied. Counts come from a histogram of fixed size.
+
+A run that mixes the two base64 alphabets is of no single encoding and is tested part by part.
 
 Cases: a null text counts as empty; texts are scanned whole; repeated rows are scanned each for
 itself; an empty table gives an empty result. Spans are in code points, end exclusive.
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +54,14 @@ ALPHABETS = {
 LENGTH_CLASSES = [20, 24, 32, 40, 64, 128]
 SCORE_BINS = 400
 FDR = 0.01
-#: A candidate whose combined p-value is below this isn't random whatever the others look like; alone where a class has too few words for a null.
+#: A candidate whose combined p-value is below this isn't random whatever the others look like.
 LEAST_SCORE = 0.02
-ROWS = "doc_id long, base array<struct<kind: string, start: int, end: int>>, tested array<struct<start: int, end: int, encoding: string, length_class: int, score: double, word: boolean>>"
+#: Chance of an ordinary string to score LEAST_SCORE, before any is seen (falling as 1 / score beyond), and how many seen ones weigh as much.
+PRIOR_TAIL = 0.005
+PRIOR_WEIGHT = 100
+#: Parts of a run that is of no single encoding.
+PARTS = r"[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,}"
+ROWS = "doc_id long, base array<struct<kind: string, start: int, end: int>>, tested array<struct<start: int, end: int, encoding: string, length_class: int, score: double, word: boolean, name: long>>"
 
 
 def base_spans(text: str, patterns: dict[str, re.Pattern]) -> list[tuple[str, int, int]]:
@@ -128,10 +138,14 @@ def tested_candidates(text: str, pattern: re.Pattern) -> list[dict]:
     out = []
     for m in pattern.finditer(text):
         body = m.group().rstrip("=")
-        encoding = inferred(body)
-        if encoding is None:
-            continue
-        out.append({"start": m.start(), "end": m.end(), "encoding": encoding, "length_class": max(c for c in LENGTH_CLASSES if c <= max(len(body), LENGTH_CLASSES[0])), "score": battery(body, encoding), "word": looks_like_words(body)})
+        parts = [(m.start(), m.end(), body)]
+        if inferred(body) is None:
+            parts = [(m.start() + p.start(), m.start() + p.end(), p.group()) for p in re.finditer(PARTS, body)]
+        for start, end, part in parts:
+            encoding = inferred(part)
+            name = xxhash.xxh64_intdigest(part.encode()) - (1 << 63)
+            length = max(c for c in LENGTH_CLASSES if c <= max(len(part), LENGTH_CLASSES[0]))
+            out.append({"start": start, "end": end, "encoding": encoding, "length_class": length, "score": battery(part, encoding), "word": looks_like_words(part), "name": name})
     return out
 
 
@@ -153,31 +167,34 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text")).mapInPandas(rows, ROWS)
 
 
-def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], float]:
-    """Least score that counts as a finding, per encoding and length class, by Benjamini-Hochberg over the whole corpus."""
-    bins = (
-        scanned.select(F.explode("tested").alias("t"))
-        .groupBy("t.encoding", "t.length_class", "t.word", F.least(F.floor(F.col("t.score") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-        .collect()  # at most encodings x length classes x 2 x SCORE_BINS rows
-    )
-    found: dict[tuple[str, int], float] = {}
-    for key in {(b["encoding"], b["length_class"]) for b in bins}:
-        words, others = np.zeros(SCORE_BINS), np.zeros(SCORE_BINS)
-        for b in bins:
-            if (b["encoding"], b["length_class"]) == key:
-                (words if b["word"] else others)[b["bin"]] += b["n"]
-        enough = np.arange(SCORE_BINS) >= LEAST_SCORE * SCORE_BINS
-        if words.sum() >= 1 / fdr:
-            # Chance of an ordinary string to score this high, against the share of candidates that do.
-            null = (np.cumsum(words[::-1])[::-1] + 1) / (words.sum() + 1)
-            above = np.cumsum(others[::-1])[::-1]
-            enough &= (above > 0) & (null * others.sum() <= fdr * above)
+def least_scores(counts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], fdr: float = FDR) -> dict[tuple[str, int], float]:
+    """Least score that counts as a finding, per class, from histograms of the distinct words and of the other strings."""
+    score = np.arange(SCORE_BINS) / SCORE_BINS
+    above = lambda h: np.cumsum(h[::-1])[::-1]
+    stated = PRIOR_TAIL * LEAST_SCORE / np.maximum(score, LEAST_SCORE)
+    pool = sum((words for words, _ in counts.values()), np.zeros(SCORE_BINS))
+    pooled = (above(pool) + PRIOR_WEIGHT * stated) / (pool.sum() + PRIOR_WEIGHT)
+    found = {}
+    for key, (words, others) in counts.items():
+        null = (above(words) + PRIOR_WEIGHT * pooled) / (words.sum() + PRIOR_WEIGHT)
+        enough = (score >= LEAST_SCORE) & (above(others) > 0) & (null * others.sum() <= fdr * above(others))
         if enough.any():
-            found[key] = float(np.flatnonzero(enough)[0]) / SCORE_BINS
+            found[key] = float(score[np.flatnonzero(enough)[0]])
     return found
 
 
+def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], float]:
+    """least_scores over the distinct strings of the whole corpus."""
+    each = scanned.select(F.explode("tested").alias("t")).select("t.encoding", "t.length_class", "t.word", "t.name", F.least(F.floor(F.col("t.score") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int").alias("bin"))
+    # At most encodings x length classes x 2 x SCORE_BINS rows.
+    bins = each.distinct().groupBy("encoding", "length_class", "word", "bin").agg(F.count("*").alias("n")).collect()
+    counts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    for b in bins:
+        pair = counts.setdefault((b["encoding"], b["length_class"]), (np.zeros(SCORE_BINS), np.zeros(SCORE_BINS)))
+        pair[0 if b["word"] else 1][b["bin"]] += b["n"]
+    return least_scores(counts, fdr)
+
+
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, base and found: all spans, by start, then kind as listed."""
     scanned = materialize(scan(docs), "secret-candidates")
