@@ -3,7 +3,8 @@
 Encoding has three steps. Normalisation walks the text by longest prefix through the compiled
 character map (a double-array trie with its replacement strings) and records, for every
 normalised byte, the original byte it came from. Then adjacent symbols are merged by score.
-At last every piece is projected through the alignment to a span of original bytes.
+At last every piece is projected through the alignment to a span of original bytes, of which a digest
+and the number of bytes inside are part of every result.
 
 Texts are merged in chunks that no vocabulary piece can cross: a cut between two characters is
 made only where loading has proven that no piece holds these two side by side. A bounded
@@ -20,9 +21,11 @@ import heapq
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,8 +137,12 @@ class PieceModel:
 
     # Normalisation ---------------------------------------------------------------------------------
 
-    def normalise(self, data: bytes) -> tuple[bytes, list[int]]:
+    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and for the end) the original offset it stands for."""
+        if not data:
+            return b"", np.zeros(1, np.int64)
+        if not self.map.units and not self.squeeze:
+            return self._spaces_only(data)
         out, align = bytearray(), []
         space = SPACE.encode() if self.escape else b" "
         at, end = 0, len(data)
@@ -151,9 +158,7 @@ class PieceModel:
             while at < end and (got := step(at))[1] == b" ":
                 at += got[0]
             if at == end:
-                return b"", []
-        elif at == end:
-            return b"", []
+                return b"", np.array([end])
         if self.dummy_prefix:
             out += space
             align += [at] * len(space)
@@ -175,7 +180,17 @@ class PieceModel:
             while out.endswith(space):
                 at = align[len(out) - len(space)]
                 del out[-len(space) :], align[-len(space) :]
-        return bytes(out), [*align, at]
+        return bytes(out), np.array([*align, at], np.int64)
+
+    def _spaces_only(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The same walk where the map has no entries: every character stands for itself, and a visible space for a space."""
+        space = SPACE.encode() if self.escape else b" "
+        raw = np.frombuffer(data, np.uint8)
+        # All bytes of a character stand for its first one.
+        first = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(data)), 0))
+        align = np.repeat(first, np.where(raw == 0x20, len(space), 1))
+        prefix = space if self.dummy_prefix else b""
+        return prefix + data.replace(b" ", space), np.concatenate([np.zeros(len(prefix), np.int64), align, [len(data)]])
 
     # Merging ---------------------------------------------------------------------------------------
 
@@ -232,64 +247,57 @@ class PieceModel:
                     heapq.heappush(heap, (q, p, len(symbols[p]) + len(symbols[right[p]])))
         return [s for s in symbols if s]
 
-    def _encode_chunk(self, chunk: str) -> tuple[str, str]:
-        """(ids as text, decoded text) of one chunk."""
-        pieces = self.merged(list(chunk))
-        try:
-            find = self.ids
-            return " ".join([str(find[p]) for p in pieces]), "".join(pieces).replace(SPACE, " ")
-        except KeyError:
-            ids = [i for i, _ in self._ids_of(chunk)]
-            return " ".join(map(str, ids)), self.decode(ids, False)
-
-    def _ids_of(self, chunk: str) -> list[tuple[int, int]]:
-        """(id, bytes of normalised text) of each piece; the bytes of an unknown character each have an id."""
-        out: list[tuple[int, int]] = []
+    def _encode_chunk(self, chunk: str) -> tuple[str, str, Sequence[int], Sequence[int], int, int]:
+        """Ids as text, decoded text, begins and ends of the pieces in bytes of the chunk, and the numbers of pieces and bytes."""
+        ids, begins, ends, at = [], [], [], 0
         for piece in self.merged(list(chunk)):
-            data = piece.encode("utf-8")
+            n = len(piece.encode("utf-8"))
             if (known := self.ids.get(piece)) is not None:
-                out.append((known, len(data)))
+                new = [known]
             elif self.byte_ids:
-                out += [(self.byte_ids[b], 1) for b in data]
-            elif out and out[-1][0] == self.unknown:
-                out[-1] = (self.unknown, out[-1][1] + len(data))
+                # The bytes of one unknown character share its whole span.
+                new = [self.byte_ids[b] for b in piece.encode("utf-8")]
+            elif ids and ids[-1] == self.unknown:
+                ends[-1] = at = at + n
+                continue
             else:
-                out.append((self.unknown, len(data)))
-        return out
-
-    def encode_with_spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) in original bytes. The bytes of one unknown character share its whole span."""
+                new = [self.unknown]
+            ids += new
+            begins += [at] * len(new)
+            at += n
+            ends += [at] * len(new)
+        if at < 256:
+            # Bytes iterate as numbers and keep the memo small.
+            begins, ends = bytes(begins), bytes(ends)
+        return " ".join(map(str, ids)), self.decode(ids, False), begins, ends, len(ids), at
+
+    def encode(self, text: str) -> tuple[str, str, np.ndarray, np.ndarray]:
+        """Ids as text without the end id, decoded text, and begins and ends of the pieces in original bytes."""
         normal, align = self.normalise(text.encode("utf-8"))
-        out: list[tuple[int, int, int]] = []
-        at = 0
-        for chunk in self.chunks.findall(normal.decode("utf-8")):
-            for i, n in self._ids_of(chunk):
-                out.append((i, align[at], align[at + n]))
-                at += n
-        first = 0
-        while first < len(out):
-            last = first
-            while last < len(out) and self.pieces[out[last][0]][2] == BYTE and out[last][1] == out[first][1]:
-                last += 1
-            if last > first:
-                out[first:last] = [(i, out[first][1], out[last - 1][2]) for i, _, _ in out[first:last]]
-            first = max(last, first + 1)
-        return out
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, ids as text with the end id, and the decoded text."""
-        if not self.map.units and not self.squeeze:
-            # Without a character map the alignment is the identity but for the spaces.
-            normal = (SPACE if self.dummy_prefix and text else "") + (text.replace(" ", SPACE) if self.escape else text)
-        else:
-            normal = self.normalise(text.encode("utf-8"))[0].decode("utf-8")
-        got = list(map(self.memo.__getitem__, self.chunks.findall(normal)))
-        ids = " ".join([x[0] for x in got])
-        ids = f"{ids} {self.end}" if ids else str(self.end)
+        got = list(map(self.memo.__getitem__, self.chunks.findall(normal.decode("utf-8"))))
         decoded = "".join([x[1] for x in got])
         if self.dummy_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return ids.count(" ") + 1, ids, decoded
+        if not got:
+            return "", decoded, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes = np.array([x[5] for x in got])
+        shift = np.repeat(np.cumsum(sizes) - sizes, [x[4] for x in got])
+        begins = align[np.fromiter(chain.from_iterable([x[2] for x in got]), np.int64, len(shift)) + shift]
+        ends = align[np.fromiter(chain.from_iterable([x[3] for x in got]), np.int64, len(shift)) + shift]
+        return " ".join([x[0] for x in got]), decoded, begins, ends
+
+    def encode_with_spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) in original bytes. The bytes of one unknown character share its whole span."""
+        ids, _, begins, ends = self.encode(text)
+        return list(zip(map(int, ids.split()), begins.tolist(), ends.tolist()))
+
+    def digest(self, text: str) -> tuple[int, str, str, int, bytes]:
+        """Number of ids, ids as text with the end id, decoded text, original bytes inside spans, and the spans as 32-bit numbers."""
+        ids, decoded, begins, ends = self.encode(text)
+        ids = f"{ids} {self.end}" if ids else str(self.end)
+        reach = np.maximum.accumulate(np.r_[0, ends])[:-1]
+        inside = int(np.maximum(0, ends - np.maximum(begins, reach)).sum())
+        return len(begins) + 1, ids, decoded, inside, np.stack([begins, ends], axis=1).astype("<i4").tobytes()
 
     # Decoding --------------------------------------------------------------------------------------
 
@@ -340,18 +348,18 @@ def load_pieces(path: str) -> PieceModel:
 
 
 def encode_digests(df: DataFrame, model_path: str, text_col: str = "text", into: str = "encoded") -> DataFrame:
-    """df with a struct of the number of ids, the SHA-256 of the ids and that of the decoded text, for each whole text."""
+    """df with a struct of the number of ids, the SHA-256 of the ids, of the decoded text and of the spans, and the bytes inside spans, for each whole text."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long, spans_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load_pieces(model_path)
         sha = hashlib.sha256
         for texts in batches:
             rows = []
             for t in texts:
-                n, ids, decoded = model.digest(t)
-                rows.append((n, sha(ids.encode()).hexdigest(), sha(decoded.encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
+                n, ids, decoded, inside, spans = model.digest(t)
+                rows.append((n, sha(ids.encode()).hexdigest(), sha(decoded.encode("utf-8")).hexdigest(), inside, sha(spans).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_covered", "spans_sha256"]).astype({"n_tokens": "int64", "n_covered": "int64"})
 
     return df.withColumn(into, digests(whole_text(F.col(text_col))))
 
@@ -382,7 +390,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", into: st
 
 def digest_rows(docs: DataFrame, model_path: str) -> DataFrame:
     out = encode_digests(docs.select("doc_id", "text"), model_path)
-    return out.select("doc_id", "encoded.n_tokens", "encoded.ids_sha256", "encoded.decoded_sha256")
+    return out.select("doc_id", "encoded.*")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
