@@ -108,3 +108,14 @@ def test_short_lines_around_a_long_one_go_with_it_unless_known_before(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_passages(docs).collect()}
     assert got == {1: "boiler", 2: rows[1][1], 3: "x\nboiler"}
+
+
+def test_hot_keys_are_dealt_in_shards(spark, monkeypatch):
+    from vespertide.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    passage = [f"line {i} of a block that very many documents share, word for word" for i in range(6)]
+    rows = [(i, "\n".join([f"own start {i}", *passage, f"own end {i}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_passages(docs).collect()}
+    assert got == {i: t if i == 0 else f"own start {i}\nown end {i}" for i, t in rows}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,10 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    """The shared folder that spark.checkpoint.dir names, or the one that was set on the context."""
     here = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not here:
-        here = tempfile.mkdtemp(prefix="vespertide-")
-        spark.sparkContext.setCheckpointDir(here)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return here.rstrip("/")
 
 
@@ -59,3 +57,23 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["__vt_id"].eqNullSafe(b["__vt_id"]) & (a["__vt_text_hash"] == b["__vt_text_hash"])
+
+
+#: Rows of one key that a join keeps together; keys of more are dealt in shards.
+HOT_ROWS = 4_096
+MOST_HOT_KEYS = 100_000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has each key once. Keys with more than HOT_ROWS rows are dealt over shards, and their row of the side is copied to each."""
+    hot = rows.groupBy(on).agg(F.count("*").alias("__vt_n")).where(F.col("__vt_n") > HOT_ROWS)
+    hot = materialize(hot.select(on, F.ceil(F.col("__vt_n") / HOT_ROWS).cast("int").alias("__vt_of")), "hot-keys")
+    n = hot.count()
+    if not n or n > MOST_HOT_KEYS:
+        return rows.join(side, on, how)
+    hot = F.broadcast(hot)
+    names = [c for c in rows.columns if c != on] + ([c for c in side.columns if c != on] if how not in ("left_semi", "left_anti") else [])
+    spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.coalesce("__vt_of", F.lit(1))).cast("int")
+    a = rows.join(hot, on, "left").withColumn("__vt_shard", spread).drop("__vt_of")
+    b = side.join(hot, on, "left").withColumn("__vt_shard", F.explode(F.sequence(F.lit(0), F.coalesce("__vt_of", F.lit(1)) - 1))).drop("__vt_of")
+    return a.join(b, [on, "__vt_shard"], how).select(on, *names)

@@ -5,8 +5,9 @@ known licence sentences become identifiers. What is left of a document is a sequ
 and ordered rules are applied to it: each is a sequence of identifiers that stands for a licence, the
 longer and more exact ones first, and what a rule has taken no later rule sees.
 
-Sentences run over line ends, as licences are wrapped; a sentence that is not known is tried again line
-by line, so that a licence line after a line without a full stop is found.
+Comment signs and list numbers at the beginning of lines are taken off first. Sentences run over line
+ends, as licences are wrapped; within a stretch that is not known as a whole, known sentences are looked
+for from every line start to every line end, so one after a line without a full stop is found.
 
 Cases: a null text has no sentences; a text is read whole; repeated rows get the same result; an empty
 table gives an empty result; a known sentence that no rule takes is counted but names no licence; one
@@ -41,6 +42,9 @@ SENTENCES = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "bsd-as-is": ['THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'],
+    "bsd-liability": ["IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
+    "isc-as-is": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "isc-liability": ["IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
     "bsd-2-line": ["Licensed under the BSD 2-Clause License.", "BSD 2-Clause License"],
     "bsd-3-line": ["Licensed under the BSD 3-Clause License.", "BSD 3-Clause License"],
     "gpl-3-line": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "GNU General Public License v3.0"],
@@ -68,6 +72,10 @@ SENTENCES |= {f"tag-{t.lower()}": [f"SPDX-License-Identifier: {t}"] for t in TAG
 
 #: Ordered: a longer sequence comes before those that are part of it.
 RULES: list[tuple[str, list[str]]] = [
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("ISC", ["isc-line", "isc-grant", "isc-as-is", "isc-liability"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
@@ -101,6 +109,10 @@ RULES += [(k.removesuffix("-line").upper(), [k]) for k in SENTENCES if k.startsw
 RULES += [(t, [f"tag-{t.lower()}"]) for t in TAGGED]
 
 BREAK = r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n"
+#: Comment signs and list numbers at the beginning of a line.
+LEADER = r"(^|\n)[ \t]*(?:#+|//+|/\*+|\*+/|\*+|--+|;+|%+|<!--|dnl |rem |REM )?[ \t]*(?:\([0-9a-z]\)|[0-9]{1,2}[.)])?[ \t]*"
+#: Every known sentence holds one of these, so a text without them has none.
+HINT = "(?i)licen|permission|redistribut|notice|warrant|liable|endorse|public domain|software"
 
 
 def normalised(sentence: str) -> str:
@@ -110,23 +122,34 @@ def normalised(sentence: str) -> str:
 
 #: What a known sentence becomes; one with a break inside ("v. 2.0") is known by what stands before it.
 KNOWN = {normalised(re.split(BREAK, s)[0]): name for name, written in SENTENCES.items() for s in written}
+#: A known sentence from line start to line end, in text whose line ends are doubled so that each line has its own.
+WITHIN = "\n(" + "|".join(k.replace(" ", "(?: |\n\n)") for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + ")\n"
 
 
-def identifier(sentence: Column) -> Column:
-    """Identifier of a sentence, or null."""
-    plain = F.trim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
+def plain_lines(sentence: Column) -> Column:
+    """Lower case, only letters, digits, single blanks and line ends."""
+    some = F.regexp_replace(ascii_lower(sentence), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(some, " *\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+
+
+def identifier(plain: Column) -> Column:
+    """Identifier of a sentence in its plain form, or null."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    longest = max(map(len, KNOWN)) * 2
-    # Lists of a licence number their items: "1. Redistributions ..." is cut behind the number, which leaves the sentence whole.
-    return F.when(F.length(sentence) <= longest, F.try_element_at(known, plain))
+    return F.try_element_at(known, F.regexp_replace(plain, "\n+", " "))
 
 
 def identifiers(text: Column) -> Column:
     """Sequence of the identifiers of the known sentences of a text."""
-    marked = F.regexp_replace(whole_text(text), BREAK, "$1\x1e")
-    sentences = F.split(marked, "\x1e", -1)
-    found = F.transform(sentences, lambda s: F.when(identifier(s).isNotNull(), F.array(identifier(s))).when(F.contains(s, F.lit("\n")), F.transform(F.split(s, "\n", -1), identifier)).otherwise(F.array().cast("array<string>")))
-    return F.array_compact(F.flatten(found))
+    bare = F.regexp_replace(whole_text(text), LEADER, "$1")
+    sentences = F.transform(F.split(F.regexp_replace(bare, BREAK, "$1\x1e"), "\x1e", -1), plain_lines)
+
+    def within(s: Column) -> Column:
+        doubled = F.concat(F.lit("\n"), F.replace(s, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+        return F.transform(F.regexp_extract_all(doubled, F.lit(WITHIN), F.lit(1)), identifier)
+
+    none = F.array().cast("array<string>")
+    found = F.transform(sentences, lambda s: F.when(identifier(s).isNotNull(), F.array(identifier(s))).when(F.contains(s, F.lit("\n")), within(s)).otherwise(none))
+    return F.when(whole_text(text).rlike(HINT), F.array_compact(F.flatten(found))).otherwise(none)
 
 
 def apply_rules(sequence: Column) -> Column:
@@ -152,15 +175,18 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in KNOWN.items()) + "}"
-    plain = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-    one = lambda s: f"known[{plain.format(s)}]"
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    plain = r"regexp_replace(regexp_replace(regexp_replace(" + lower + r", '[^a-z0-9\n]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    one = lambda s: rf"known[regexp_replace({s}, '\n+', ' ', 'g')]"
+    within = f"list_transform(regexp_extract_all(chr(10) || replace(s, chr(10), chr(10) || chr(10)) || chr(10), {quoted(WITHIN)}, 1), lambda l: {one('l')})"
     left = "array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '')"
     for licence, rule in RULES:
         left = f"replace({left}, {quoted(''.join(f'<{x}>' for x in rule))}, {quoted('{' + licence + '}')})"
     return rf"""
 WITH k AS (SELECT {known} AS known),
-s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(30), 'g'), chr(30)) AS ss FROM documents),
-f AS (SELECT doc_id, list_filter(flatten(list_transform(ss, lambda s: CASE WHEN {one('s')} IS NOT NULL THEN [{one('s')}] WHEN contains(s, chr(10)) THEN list_transform(string_split(s, chr(10)), lambda l: {one('l')}) ELSE [] END)), lambda x: x IS NOT NULL) AS ids FROM s, k)
+b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{LEADER}', '\1', 'g') AS bare FROM documents),
+s AS (SELECT doc_id, list_transform(string_split(regexp_replace(bare, '{BREAK}', '\1' || chr(30), 'g'), chr(30)), lambda x: {plain.format('x')}) AS ss FROM b),
+f AS (SELECT doc_id, list_filter(flatten(list_transform(ss, lambda s: CASE WHEN {one('s')} IS NOT NULL THEN [{one('s')}] WHEN contains(s, chr(10)) THEN {within} ELSE [] END)), lambda x: x IS NOT NULL) AS ids FROM s, k)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentences, coalesce(array_to_string(regexp_extract_all({left}, '\{{([^}}]*)\}}', 1), ','), '') AS licenses FROM f
 """
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vespertide.llm.common import discard, materialize, read_table, row_key
+from vespertide.llm.common import discard, hot_join, materialize, read_table, row_key
 
 PASSAGE_WORDS = 50
 FETCH_ROWS = 500_000
@@ -103,7 +103,7 @@ def removable(found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     where = F.struct(*KEY, "first", "last")
     repeated = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(where).alias("origin")).where("n > 1").drop("n")
     same_doc = F.col("__vt_id").eqNullSafe(F.col("origin.__vt_id")) & (F.col("__vt_text_hash") == F.col("origin.__vt_text_hash"))
-    later = found.join(repeated, "hash").where(~(same_doc & (F.col("first") <= F.col("origin.last"))))
+    later = hot_join(found, repeated, "hash").where(~(same_doc & (F.col("first") <= F.col("origin.last"))))
     if lines is not None:
         later = materialize(later, "later-chunks")
         later = later.join(boilerplate(later, lines), "hash", "left_anti")
@@ -121,8 +121,9 @@ def origin_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """hash and text of first occurrences."""
     origins = wanted.select("hash", "origin.*").distinct()
     by_doc = materialize(origins.groupBy(*KEY).agg(F.collect_set(F.struct("hash", "first", "last")).alias("parts")), "origins")
-    n = by_doc.count()
-    side = F.broadcast(by_doc) if n <= FETCH_ROWS and origins.count() <= FETCH_ROWS else by_doc
+    # A row is an id, a hash and some places of 16 bytes, so this bounds the bytes as well.
+    size = by_doc.agg(F.count("*").alias("n"), F.sum(F.size("parts")).alias("parts")).first()
+    side = F.broadcast(by_doc) if size["n"] + (size["parts"] or 0) <= FETCH_ROWS else by_doc
     keyed = row_key(docs).where(F.col("text").isNotNull()).select(*KEY, F.split("text", "\n", -1).alias("__vt_lines"))
     a, b = keyed.alias("a"), side.alias("b")
     met = a.join(b, F.col("a.__vt_id").eqNullSafe(F.col("b.__vt_id")) & (F.col("a.__vt_text_hash") == F.col("b.__vt_text_hash"))).select("__vt_lines", "parts")
@@ -147,7 +148,7 @@ def drop_repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS,
     discard(found)
     discard(lines)
     texts = materialize(origin_texts(docs.select("doc_id", "text"), wanted), "origin-texts")
-    parts = wanted.join(texts, "hash").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last", F.col("origin_text").alias("text")))).alias("__vt_parts"))
+    parts = hot_join(wanted, texts, "hash").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last", F.col("origin_text").alias("text")))).alias("__vt_parts"))
     keyed = row_key(docs)
     same = F.col("d.__vt_id").eqNullSafe(F.col("p.__vt_id")) & (F.col("d.__vt_text_hash") == F.col("p.__vt_text_hash"))
     both = keyed.alias("d").join(parts.alias("p"), same, "left").select("d.*", "p.__vt_parts").withColumn("__vt_lines", F.split("text", "\n", -1))
