@@ -112,7 +112,7 @@ BREAK = r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n"
 #: Comment signs and list numbers at the beginning of a line.
 LEADER = r"(^|\n)[ \t]*(?:#+|//+|/\*+|\*+/|\*+|--+|;+|%+|<!--|dnl |rem |REM )?[ \t]*(?:\([0-9a-z]\)|[0-9]{1,2}[.)])?[ \t]*"
 #: Every known sentence holds one of these, so a text without them has none.
-HINT = "(?i)licen|permission|redistribut|notice|warrant|liable|endorse|public domain|software"
+HINT = "(?i)licen|permission|distribut|notice|warrant|liable|endorse|public|software|law|(?<![a-z0-9])cc(?![a-z0-9])"
 
 
 def normalised(sentence: str) -> str:
