@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from vespertide.llm.common import read_table, whole_text
 
 MAX_TRAINING_ROWS = 10_000
-MAX_CANDIDATES = 4_000
-MAX_ENTRIES = 500
 COUNT_ROWS = 500
 STEMS = range(4, 10)
 LEAST_TEXTS = 3
@@ -46,6 +44,8 @@ LEAST_WEIGHT = 2.0
 LEAST_Z = 4.0
 FOLDS = 5
 REJECT_AT = 0.5
+#: Least weight of the sum for length, so that length always counts.
+LEAST_BY_SHARE = 0.1
 
 # Insults of everyday English, used as they are where nothing can be learned.
 SEED_WORDS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "filth", "vermin"]
@@ -59,16 +59,18 @@ IN_WORD_SIGNS = dict(zip("0134578@$!|€", "oieastbasile"))
 FOLD_TABLE = {ord(k): v for k, v in LOOK_ALIKES.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)} | dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 SIGN_TABLE = {ord(k): v for k, v in IN_WORD_SIGNS.items()}
 HAS_SIGN = re.compile(r"[0134578@$!|€](?=[^\W\d_])")
+#: Signs and one or two digits at the end of a word, as in "a$$" or "scum5"; an exclamation mark there is punctuation.
+ENDING_SIGN = re.compile(r"(?<=[^\W\d_])(?:[$@€]+|[0134578]{1,2})(?![\w$@€])")
 SIGNED_WORD = re.compile(r"[\w@$!|€]*[0134578@$!|€](?=[^\W\d_])[\w@$!|€]*?(?=[@$!|€]*(?:[^\w@$!|€]|$))")
 WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
-    """Folded text of the same words. Digits and signs are read as letters only in words that go on with a letter after one."""
+    """Folded text of the same words. Digits and signs are read as letters only inside words and at their ends."""
     text = text.lower().translate(FOLD_TABLE)
     if HAS_SIGN.search(text):
         text = SIGNED_WORD.sub(lambda m: m.group().translate(SIGN_TABLE) if any(c.isalpha() for c in m.group()) else m.group(), text)
-    return text
+    return ENDING_SIGN.sub(lambda m: m.group().translate(SIGN_TABLE), text)
 
 
 @dataclass
@@ -185,7 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAIN
     ranked = counted.where(F.col("t") >= LEAST_TEXTS).select("term", "t", "c", weight.alias("w"), z.alias("z")).where((F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z))
     seeds = {r["term"]: r for r in counted.where(F.col("term").isin(SEED_WORDS)).select("term", weight.alias("w")).collect()}
     entries = {w: max(SEED_WEIGHT, seeds[w]["w"]) if w in seeds else SEED_WEIGHT for w in SEED_WORDS if w not in seeds or seeds[w]["w"] > 0}
-    rows = ranked.orderBy(F.desc("z"), F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()
+    # Significant terms of a bounded sample; the cover takes at most 1 / LEAST_SHARE of them.
+    rows = ranked.orderBy(F.desc("z"), F.desc(F.length("term")), "term").collect()
     entries |= covering_entries(sample, rows, math.ceil(max(LEAST_TEXTS, LEAST_SHARE * toxic)))
     lexicon = Lexicon(entries)
     lexicon.curve = fit_curve(sample, lexicon)
@@ -216,7 +219,7 @@ def cover(texts: list[set[int]], rows: list, least: int) -> list[int]:
         for i in held:
             where.setdefault(i, set()).add(k)
     left = {i: len(x) for i, x in where.items()}
-    while left and len(taken) < MAX_ENTRIES:
+    while left:
         # Among equals the longer and more exact entry, so that word beginnings are taken only where they explain more.
         i = max(left, key=lambda i: (left[i] - 3 * rows[i]["c"], len(rows[i]["term"].rstrip("*")), not rows[i]["term"].endswith("*"), -i))
         if left[i] < least or left[i] <= 2 * rows[i]["c"]:
@@ -254,7 +257,8 @@ def fit_curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), max(0.0, float(beta[1])), max(0.0, float(beta[2]))
+    # Both features count: a document of the same words that is longer never scores higher.
+    return float(beta[0]), max(0.0, float(beta[1])), max(LEAST_BY_SHARE, float(beta[2]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
