@@ -143,7 +143,7 @@ class Index:
 
 
 def looked_up(docs: DataFrame, index: Index) -> DataFrame:
-    """docs with their row key, __vt_words and __vt_spots: places whose words equal those of a window, as (start, end, items), ordered."""
+    """Row keys of the documents that hold windows, and __vt_spots: places whose words equal those of a window, as (start, end, items), ordered."""
     found = materialize(index.candidates(), "window-candidates")
     named = index.windows.select("wid", "phrase", "items")
     if named.count() <= BROADCAST_ROWS:
@@ -153,19 +153,20 @@ def looked_up(docs: DataFrame, index: Index) -> DataFrame:
         full = found.withColumn("shard", spread).join(named.withColumn("shard", F.explode(F.array(*[F.lit(i) for i in range(SHARDS)]))), ["wid", "shard"])
     by_doc = materialize(full.groupBy(*DOC).agg(F.collect_list(F.struct("start", "phrase", "items")).alias("parts")), "candidates-by-document")
     discard(found)
-    # Rows of by_doc hold texts; they are broadcast only if few and light.
-    weight = by_doc.agg(F.sum(F.size("parts"))).first()[0] or 0
-    side = F.broadcast(by_doc) if weight <= BROADCAST_ROWS // 10 else by_doc
-    a, b = row_key(docs).withColumn("__vt_words", words_of(F.col("text"))).alias("a"), side.alias("b")
+    # Texts are shuffled only of documents that have candidates, as long as their keys can be broadcast.
+    keyed = row_key(docs)
+    a, b = keyed.alias("a"), small(by_doc.select(*DOC)).alias("b")
+    asked = a.join(b, same_doc("a", "b"), "left_semi").withColumn("__vt_words", words_of(F.col("text")))
     words = F.col("__vt_words")
     equal = F.filter("b.parts", lambda p: F.slice(words, p["start"] + 1, F.size(p["phrase"])) == p["phrase"])
     spots = F.sort_array(F.transform(equal, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.size(p["phrase"])).alias("end"), p["items"].alias("items"))))
-    return a.join(b, same_doc("a", "b"), "left").select("a.*", F.when(F.col("b.parts").isNotNull(), spots).alias("__vt_spots"))
+    a, b = asked.alias("a"), by_doc.alias("b")
+    return a.join(b, same_doc("a", "b")).select("a.__vt_id", "a.__vt_text_hash", spots.alias("__vt_spots")).where(F.size("__vt_spots") > 0).dropDuplicates(DOC)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     """(document, start, length, items): every place where a window of the benchmark stands, once for each window."""
-    found = looked_up(docs.select("doc_id", "text"), Index(docs, benchmark, width)).dropDuplicates(DOC)
+    found = looked_up(docs.select("doc_id", "text"), Index(docs, benchmark, width))
     return found.select(*DOC, F.explode("__vt_spots").alias("s")).select(*DOC, "s.start", (F.col("s.end") - F.col("s.start")).alias("length"), "s.items")
 
 
@@ -189,12 +190,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WOR
     index = Index(docs, benchmark, width)
     found = looked_up(docs.select("doc_id", "text"), index)
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("__vt_spots", lambda s: s["items"].cast("array<string>")))))
-    out = found.select(
-        "doc_id", *DOC,
-        F.size("__vt_words").cast("long").alias("n_words"),
-        F.coalesce(F.when(F.size("__vt_spots") > 0, covered(F.col("__vt_spots"))), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
-    )
+    hit = materialize(found.select(*DOC, covered(F.col("__vt_spots")).cast("long").alias("n_hit"), items.alias("items")), "hit-documents")
+    base = row_key(docs.select("doc_id", "text")).select("doc_id", *DOC, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    a, b = base.alias("a"), small(hit).alias("b")
+    none = F.array().cast("array<string>")
+    out = a.join(b, same_doc("a", "b"), "left").select("a.*", F.coalesce("b.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("b.items", none).alias("items"))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
     if not with_near:
         index.close()

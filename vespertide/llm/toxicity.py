@@ -32,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vespertide.llm.common import read_table, whole_text
+from vespertide.llm.common import materialize, read_table, whole_text
 
 MAX_TRAINING_ROWS = 10_000
-COUNT_ROWS = 500
+COUNT_ROWS = 200
 STEMS = range(4, 10)
 LEAST_TEXTS = 3
 #: Least share of the toxic training texts that an entry must explain when it is taken.
@@ -161,16 +161,18 @@ def terms_of(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
-def counted_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, t, c): texts of either label that hold a term, summed over COUNT_ROWS texts at a time, so memory stays bounded."""
-    for batch in batches:
-        for first in range(0, len(batch), COUNT_ROWS):
-            part = batch.iloc[first : first + COUNT_ROWS]
-            both: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(part["text"], part["toxic"]):
-                both[1 if toxic == 1 else 0].update(terms_of(text))
-            terms = list(both[0].keys() | both[1].keys())
-            yield pd.DataFrame({"term": terms, "t": [both[1][x] for x in terms], "c": [both[0][x] for x in terms]})
+def counted_terms(texts: DataFrame, only: frozenset | None = None) -> DataFrame:
+    """(term, n): texts that hold a term, of those in `only`. Counts are summed over COUNT_ROWS texts at a time, so memory stays bounded."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), COUNT_ROWS):
+                held: Counter = Counter()
+                for text in batch["text"].iloc[first : first + COUNT_ROWS]:
+                    held.update(terms_of(text) if only is None else terms_of(text) & only)
+                yield pd.DataFrame({"term": list(held), "n": list(held.values())}).astype({"term": object, "n": "int64"})
+
+    return texts.select("text").mapInPandas(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Lexicon:
@@ -181,7 +183,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAIN
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return Lexicon(dict.fromkeys(SEED_WORDS, SEED_WEIGHT))
-    counted = sample.mapInPandas(counted_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    # Only terms that toxic texts hold are counted in clean ones.
+    in_toxic = materialize(counted_terms(sample.where("toxic = 1")).where((F.col("n") >= LEAST_TEXTS) | F.col("term").isin(SEED_WORDS)), "toxic-terms")
+    names = frozenset(r["term"] for r in in_toxic.select("term").collect()) | frozenset(SEED_WORDS)
+    in_clean = counted_terms(sample.where("toxic <> 1"), names)
+    zero = lambda side: F.coalesce(f"{side}.n", F.lit(0))
+    counted = in_toxic.alias("a").join(in_clean.alias("b"), "term", "full").select("term", zero("a").alias("t"), zero("b").alias("c"))
+    counted = materialize(counted, "term-counts")
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     z = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     ranked = counted.where(F.col("t") >= LEAST_TEXTS).select("term", "t", "c", weight.alias("w"), z.alias("z")).where((F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z))
