@@ -110,9 +110,12 @@ def test_keep_one_matches_brute_force(spark, monkeypatch):
         texts += [edited(rng, base, rng.randint(0, 12), words) for _ in range(rng.randint(1, 8))]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows + [rows[9]], "doc_id long, text string").withColumn("bits", F.lit(1)).withColumn("root", F.lit("x"))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == ["doc_id", "text", "bits", "root"]
-    assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
+    for mean in (512, 1):
+        # Few rows a root ask for more blocks that agree.
+        monkeypatch.setattr(simhash, "MEAN_ROOT_ROWS", mean)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == ["doc_id", "text", "bits", "root"]
+        assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
     # Near copies of far less than the least similarity all stay.
     far = [(i, edited(rng, base, len(base) // 3, words)) for i in range(10)]
     assert simhash.keep_one(spark.createDataFrame(far, "doc_id long, text string")).count() == 10

@@ -40,6 +40,7 @@ BUDGET = 4
 ROOT_ROWS = 1024
 MEAN_ROOT_ROWS = 512
 TASK_ROWS = 16_384
+ROWS_TO_DEAL = 1_000_000
 FRONTIER = 1 << 20
 HASH_BLOCK = 1 << 15
 #: The near-duplicate stage: shingles that are compared, their least similarity, and the search for candidates.
@@ -111,8 +112,8 @@ def walk_trie(roots: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> Iter
             near = np.bitwise_count(bits[a] ^ bits[b]) <= budget
             yield a[near], b[near]
             alo, ahi, blo, bhi, diff = (x[~single] for x in (alo, ahi, blo, bhi, diff))
-            if not len(alo):
-                continue
+        if not len(alo) or depth == 64:
+            continue
         # ones[i]: rows before i whose bit at this depth is set; within a run zeros come first.
         ones = np.r_[0, np.cumsum((bits >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)]
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
@@ -160,13 +161,15 @@ def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     at = [64 * i // k for i in range(k + 1)]
     roots = []
     for number, blocks in enumerate(combinations(range(k), agree)):
-        key = F.lit(number).cast("long")
+        key = F.lit(0).cast("long")
         for i in blocks:
             width = at[i + 1] - at[i]
             part = F.shiftrightunsigned("bits", 64 - at[i + 1]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             key = F.shiftleft(key, width).bitwiseOR(part)
-        roots.append(key)
-    dealt = nodes.select("bits", F.explode(F.array(*roots)).alias("root"))
+        # The choice stands above all bits, as choices differ in their widths.
+        roots.append(key.bitwiseOR(F.lit(number << 48).cast("long")))
+    spread = max(1, math.ceil(n * math.comb(k, agree) / ROWS_TO_DEAL))
+    dealt = nodes.select("bits").repartition(spread).select("bits", F.explode(F.array(*roots)).alias("root"))
     sizes = dealt.groupBy("root").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     crowded = materialize(sizes.where(F.col("rows") > ROOT_ROWS), "crowded-roots")
     if crowded.isEmpty():
