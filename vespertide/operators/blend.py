@@ -26,10 +26,20 @@ def combined(parts: list[tuple[float, DataFrame]], by: list[str] | None = None)
     return reduce(DataFrame.unionByName, rows).groupBy(*(by or []), "id").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("s"))
 
 
-def reference_scores(signals: list, seeds: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(id, s): the mean over the named items of the blend for each; 0 where it has no say."""
+def assembled(signals: list, settings: Settings = DEFAULTS) -> list:
+    """The signals that are there and have a weight in some context; a blend needs at least one."""
+    live = [x for x in signals if x is not None and max(settings.weights(c)[x.name] for c in ("reference", "query")) > 0]
+    if not live:
+        raise ValueError("no signal is there")
+    return live
+
+
+def reference_scores(signals: list, seeds: DataFrame, settings: Settings = DEFAULTS) -> DataFrame | None:
+    """(id, s): the mean over the named items of the blend for each; 0 where it has no say. None where no signal covers a named item."""
     weights = settings.weights("reference")
     each = kept(combined([(weights[x.name], x.to_seeds(seeds)) for x in signals if weights[x.name] > 0], by=["seed"]))
+    if each.isEmpty():
+        return None
     grid = covered_by_any(signals).crossJoin(F.broadcast(each.select("seed").distinct()))
     return grid.join(each, ["seed", "id"], "left").groupBy("id").agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("s"))
 

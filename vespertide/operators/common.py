@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,11 +24,10 @@ def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    """The folder that spark.checkpoint.dir names, or the one that was set on the context."""
     here = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not here:
-        here = tempfile.mkdtemp(prefix="vespertide-")
-        spark.sparkContext.setCheckpointDir(here)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return here.rstrip("/")
 
 
@@ -41,6 +41,30 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables saved by this process: (application, name, marks of the sources) to path.
+_SAVED: dict[tuple, str] = {}
+
+
+def source_mark(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files at a path: a saved table holds as long as this does."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    files = list(found or [])
+    inside = [x for f in files if f.isDirectory() for x in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(f.getPath())]
+    said = sorted(f"{x.getPath()}:{x.getLen()}:{x.getModificationTime()}" for x in files + inside)
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()
+
+
+def saved(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build makes from files, written to the shared folder once and loaded from then on, until a source changes."""
+    key = (spark.sparkContext.applicationId, name, *[source_mark(spark, s) for s in sources])
+    if key not in _SAVED:
+        path = f"{shared_folder(spark)}/saved-{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _SAVED[key] = path
+    return spark.read.parquet(_SAVED[key])
+
+
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A request's own values (ids, titles, weights) as a table of one partition."""
     return spark.createDataFrame(rows, schema).coalesce(1)

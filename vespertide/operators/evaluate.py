@@ -1,27 +1,48 @@
 """Ranking quality: ranks of expected items, leave-one-out folds, and the measures over ranks.
 
-Ranks are counted, not sorted: the few expected rows are broadcast to the scores and every task counts
-what ranks above them, so no task ever holds a whole ranking.
+Scores are dealt by range, ranked within their part and moved on by what the parts before it hold, so no
+task ever holds a whole ranking and no score meets another.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators.common import kept, with_one_row
+from vespertide.operators.common import kept, small, with_one_row
 from vespertide.operators.signals import informed
 from vespertide.settings import DEFAULTS, Settings
 
 
+def ranked(scores: DataFrame, by: list[str], ties: bool = True) -> DataFrame:
+    """scores with rank within `by`, best s first. With ties, equal scores rank by id; without, they share the best rank."""
+    # Equal scores are of one part, so ranks within parts only need what stands in the parts before.
+    parts = kept(scores.repartitionByRange(*[F.col(c) for c in by], F.desc("s")).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number() if ties else F.rank()
+    order = W.partitionBy(*by, "__part").orderBy(F.desc("s"), *(["id"] if ties else []))
+    moved = parts.withColumn("__in", place.over(order)).join(small(sizes.withColumn("__before", before).drop("__n")), [*by, "__part"])
+    return moved.withColumn("rank", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
 def expected_ranks(scores: DataFrame, expected: DataFrame, ties: bool = True) -> DataFrame:
-    """(case, id, rank) of expected items. scores: (case, id, s). With ties, equal scores rank by id; without, they share the best rank."""
-    own = scores.join(F.broadcast(expected), ["case", "id"]).select("case", F.col("id").alias("eid"), F.col("s").alias("es"))
-    above = F.col("s") > F.col("es")
-    if ties:
-        above = above | ((F.col("s") == F.col("es")) & (F.col("id") < F.col("eid")))
-    return scores.join(F.broadcast(own), "case").groupBy("case", "eid").agg((F.count_if(above) + 1).alias("rank")).select("case", F.col("eid").alias("id"), "rank")
+    """(case, id, rank) of expected items. scores: (case, id, s)."""
+    return ranked(scores, ["case"], ties).join(small(expected), ["case", "id"], "left_semi").select("case", "id", "rank")
+
+
+def large_enough(members: DataFrame, least: int, by: list[str]) -> DataFrame:
+    """Members of groups with at least so many in each part that `by` tells apart; the first of `by` is the group."""
+    sizes = members.groupBy(*by).agg(F.count("*").alias("n")).groupBy(by[0]).agg(F.min("n").alias("n")).where(F.col("n") >= least)
+    return members.join(small(sizes.select(by[0])), by[0], "left_semi")
+
+
+def macro_average(results: DataFrame, *by: str) -> DataFrame:
+    """Measures of several profiles, every profile alike. results: (*by, profile, mrr, hit_at_10, hit_at_50)."""
+    mean = lambda c: F.bround(F.avg(c), 4).alias(c)
+    return results.groupBy(*by).agg(F.count("*").alias("profiles"), mean("mrr"), mean("hit_at_10"), mean("hit_at_50"))
 
 
 def measures(ranks: DataFrame, *by: str) -> DataFrame:

@@ -115,6 +115,9 @@ def recommend(items: DataFrame, signals: list, *, liked: list[tuple[int, float]]
     seeds = literal_rows(spark, [(i,) for i in references], "seed long")
     tastes = literal_rows(spark, [(i, float(r)) for i, r in liked[: settings.max_liked]], "seed long, rating double")
     intent, weight = (reference_scores(signals, seeds, settings), settings.reference_weight) if references else (None, settings.query_weight)
+    if intent is None:
+        # Named items that no signal covers say nothing; text and keywords speak then.
+        weight = settings.query_weight
     if intent is None and (text or keywords):
         intent = query_scores(signals, text, keywords or [], settings)
     taste = taste_scores(signals, tastes, settings) if liked else None
@@ -140,6 +143,41 @@ def recommend(items: DataFrame, signals: list, *, liked: list[tuple[int, float]]
     return seated(chosen, top_n).select("place", "id", "title", "collection", "z", T.why_line(F.col("why")).alias("why"))
 
 
+PICK = ["place", "id", "title", "collection", "how"]
+
+
+def answer(items: DataFrame, signals: list, edges: DataFrame, *, genres: list[str] | None = None, decade: str = "any", watched: DataFrame | None = None, settings: Settings = DEFAULTS, **request) -> DataFrame:
+    """(place, id, title, collection, how): the ranked picks, else neighbours of the named items, else what the genres have best rated; how says which.
+
+    A request without genres ends with an empty answer. request: as for recommend.
+    """
+    picks = kept(recommend(items, signals, genres=genres, watched=watched, settings=settings, **request).select(*PICK[:-1], F.lit("ranked").alias("how")))
+    if not picks.isEmpty():
+        return picks
+    order = lambda found, by, how: found.withColumn("place", F.row_number().over(W.orderBy(F.desc(by), "id"))).select(*PICK[:-1], F.lit(how).alias("how"))
+    if request.get("references"):
+        near = kept(order(neighbours(items, edges, request["references"], watched=watched), "vote_count", "neighbours"))
+        if not near.isEmpty():
+            return near
+    if genres:
+        return order(browse(items, genres, decade), "vote_average", "browsed")
+    return picks
+
+
+def resolved(listed: DataFrame, catalogue: DataFrame, unrated: float = DEFAULTS.unrated) -> DataFrame:
+    """(user, pos, id, rating): listed titles found in the catalogue by title and year; those of a year that fails by title alone, if one item has it.
+
+    A title and year that several items share match none. A missing rating counts as `unrated`.
+    """
+    key = T.title_key(F.col("title")).alias("k")
+    full = unambiguous(catalogue.select("id", key, F.nullif("year", F.lit("")).alias("y")), ["k", "y"])
+    only = unambiguous(catalogue.select("id", key), ["k"]).withColumnRenamed("id", "alone")
+    asked = listed.select("user", "pos", key, F.nullif("year", F.lit("")).alias("y"), F.coalesce("rating", F.lit(unrated)).alias("rating"))
+    a, b = asked.alias("a"), full.alias("b")
+    met = a.join(b, (F.col("a.k") == F.col("b.k")) & F.col("a.y").eqNullSafe(F.col("b.y")), "left").select("a.*", "b.id").join(only, "k", "left")
+    return met.select("user", "pos", F.coalesce("id", "alone").alias("id"), "rating").where("id IS NOT NULL")
+
+
 def rerank(picks: DataFrame, answer: str | None, n: int = DEFAULTS.final_n) -> DataFrame:
     """(place, ...) of the picks that an answer {"order": [...]} chooses: valid, in range, once each, topped up in their own order.
 

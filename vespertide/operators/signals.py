@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators.common import kept, literal_rows, small, with_one_row
+from vespertide.operators.common import kept, literal_rows, saved, small, with_one_row
 from vespertide.settings import DEFAULTS, Settings
 
 
@@ -41,15 +41,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def informed(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Items with their soup that say enough to be compared."""
+    """(id, soup, and what it is made of) of the items that say enough to be compared."""
     return items.withColumn("soup", T.soup(settings.soup_weights)).where(T.soup_token_count(F.col("soup")) >= settings.min_soup_tokens)
 
 
 def term_counts(items: DataFrame) -> DataFrame:
-    """(id, term, tf) of soups. Counted inside the row: a soup is short, so nothing is shuffled."""
-    found = items.select("id", T.tokens(F.col("soup")).alias("t"))
-    counted = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))
-    return found.select("id", F.explode(counted).alias("c")).select("id", "c.term", "c.tf")
+    """(id, term, tf) of soups."""
+    return items.select("id", F.explode(T.tokens(F.col("soup"))).alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def term_weights(counts: DataFrame, min_df: int = DEFAULTS.min_df) -> DataFrame:
@@ -91,7 +89,8 @@ class SparseSignal:
     def to_seeds(self, seeds: DataFrame) -> DataFrame:
         """(seed, id, s) of every covered item to each covered seed; seeds: (seed)."""
         own = self.weights.join(F.broadcast(seeds), self.weights["id"] == seeds["seed"]).select("seed", "term", F.col("w").alias("sw"))
-        met = self.weights.join(F.broadcast(own), "term").groupBy("seed", "id").agg(F.sum(F.col("w") * F.col("sw")).alias("s"))
+        # The seeds' own rows hold all raters or neighbours they have, so their number is counted.
+        met = self.weights.join(small(own), "term").groupBy("seed", "id").agg(F.sum(F.col("w") * F.col("sw")).alias("s"))
         grid = self.ids.crossJoin(F.broadcast(own.select("seed").distinct()))
         return grid.join(met, ["seed", "id"], "left").select("seed", "id", F.coalesce("s", F.lit(0.0)).alias("s"))
 
@@ -132,12 +131,56 @@ def metadata_signal(items: DataFrame, settings: Settings = DEFAULTS) -> SparseSi
     return SparseSignal("metadata", kept(tfidf(counts, idf)), kept(counts.select("id").distinct()), idf)
 
 
+def saved_metadata(items: DataFrame, sources: list[str], settings: Settings = DEFAULTS) -> SparseSignal:
+    """metadata_signal with its tables saved for as long as the sources stay as they are."""
+    spark = items.sparkSession
+    counts = saved(spark, "metadata-counts", sources, lambda: term_counts(informed(items, settings)))
+    idf = saved(spark, "metadata-idf", sources, lambda: term_weights(counts, settings.min_df))
+    weights = saved(spark, "metadata-weights", sources, lambda: tfidf(counts, idf))
+    return SparseSignal("metadata", weights, saved(spark, "metadata-ids", sources, lambda: counts.select("id").distinct()), idf)
+
+
+def frozen_rows(items: DataFrame, idf: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(id, term, w) of items outside the corpus under its fitted weights: unknown terms vanish, nothing is fitted anew."""
+    return tfidf(term_counts(items.withColumn("soup", T.soup(settings.soup_weights))), idf)
+
+
+def augmented(signal: SparseSignal, items: DataFrame, settings: Settings = DEFAULTS) -> SparseSignal:
+    """The signal with items from outside, in the frozen space of the corpus; those it has already stay as they are."""
+    new = items.join(signal.ids, "id", "left_anti")
+    rows = kept(frozen_rows(new, signal.idf, settings))
+    return SparseSignal(signal.name, signal.weights.unionByName(rows), signal.ids.unionByName(rows.select("id").distinct()), signal.idf)
+
+
 def dense_signal(name: str, items: DataFrame, vectors: DataFrame, encode=None) -> DenseSignal:
     """Vectors aligned with the corpus: items without a vector are not covered, vectors without an item vanish."""
     unit = vectors.select("id", unit_vector(F.col("vec")).alias("vec")).where("vec IS NOT NULL")
     return DenseSignal(name, kept(unit.join(items.select("id"), "id", "left_semi")), encode)
 
 
+def bucket_of(token: Column, size: int) -> Column:
+    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 6), 16, 10).cast("int") % size
+
+
+def encoded_documents(docs: DataFrame, size: int) -> DataFrame:
+    """(id, vec): unit vectors of token counts hashed to `size` places, for corpora without a trained encoder. docs: (id, document), each id once."""
+    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce("document", F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda t: bucket_of(t, size))
+    counted = docs.select("id", F.explode(found).alias("b")).groupBy("id", "b").agg(F.count("*").cast("double").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return counted.select("id", unit_vector(vec).alias("vec"))
+
+
+def encoded_signal(name: str, docs: DataFrame, size: int) -> DenseSignal:
+    """A dense signal over hashed documents that encodes free text the same way."""
+
+    def encode(text: str, keywords: list[str]) -> list[float] | None:
+        asked = ". ".join(x for x in ((text or "").strip(), ", ".join(keywords or [])) if x)
+        rows = encoded_documents(literal_rows(docs.sparkSession, [(0, asked)], "id long, document string"), size).collect()
+        return list(rows[0]["vec"]) if rows else None
+
+    return DenseSignal(name, kept(encoded_documents(docs, size)), encode)
+
+
 def collab_matrix(ratings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(item, user, v) of strong ratings, 1 to 2; a pair given twice adds up."""
     span = max(5.0 - settings.collab_min_rating, 0.5)

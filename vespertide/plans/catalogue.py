@@ -51,7 +51,7 @@ def rows_sql(rows: list[tuple], *names: str) -> str:
 
 
 def metadata(spark, sf):
-    return signals.metadata_signal(tables.items(spark, sf))
+    return signals.saved_metadata(tables.items(spark, sf), [f"{sf}/documents.parquet"])
 
 
 def semantic(spark, sf):
@@ -70,14 +70,14 @@ def scan_current_items(spark, sf):
     return tables.items(spark, sf).select("id", "title", "year", "decade", F.array_join("genres", ",").alias("genres"), F.array_join("keywords", ",").alias("keywords"), "collection")
 
 
-@register("stale_items", statement("SELECT id FROM c_records WHERE _v <> 2"))
+@register("stale_items", statement("SELECT id FROM c_versions WHERE _v <> 2"))
 def stale_items(spark, sf):
-    return store.stale(tables.records(spark, sf)).select("id")
+    return store.stale(tables.records(spark, sf, tables.STALE_EVERY)).select("id")
 
 
-@register("count_items", statement("SELECT count(*) AS all_items, count(*) FILTER (WHERE _v = 2) AS current_items FROM c_records"))
+@register("count_items", statement("SELECT count(*) AS all_items, count(*) FILTER (WHERE _v = 2) AS current_items FROM c_versions"))
 def count_items(spark, sf):
-    return tables.records(spark, sf).agg(F.count("*").alias("all_items"), F.count_if(store.is_current()).alias("current_items"))
+    return tables.records(spark, sf, tables.STALE_EVERY).agg(F.count("*").alias("all_items"), F.count_if(store.is_current()).alias("current_items"))
 
 
 @register("point_lookup", statement("SELECT id, title, director FROM c_records WHERE id = 42"))
@@ -88,9 +88,9 @@ def point_lookup(spark, sf):
 ASKED = [9, 3, 9, 150, 99_999_999, 14, 3, 101]
 
 
-@register("bulk_lookup_ordered", statement("SELECT row_number() OVER (ORDER BY p) AS place, id, title FROM c_records JOIN c_asked USING (id) WHERE _v = 2", c_asked=f"SELECT id, min(p) AS p FROM ({rows_sql([(k, i) for i, k in enumerate(ASKED)], 'id', 'p')}) GROUP BY id"))
+@register("bulk_lookup_ordered", statement("SELECT row_number() OVER (ORDER BY p) AS place, id, title FROM c_versions JOIN c_asked USING (id) WHERE _v = 2", c_asked=f"SELECT id, min(p) AS p FROM ({rows_sql([(k, i) for i, k in enumerate(ASKED)], 'id', 'p')}) GROUP BY id"))
 def bulk_lookup_ordered(spark, sf):
-    found = store.lookup_many(tables.records(spark, sf), ASKED).select("id", "title", "position", F.lit(1).alias("g"))
+    found = store.lookup_many(tables.records(spark, sf, tables.STALE_EVERY), ASKED).select("id", "title", "position", F.lit(1).alias("g"))
     return numbered(found, ["g"], F.col("position")).select(F.col("place").cast("long").alias("place"), "id", "title")
 
 
@@ -193,14 +193,14 @@ def information_floor(spark, sf):
 
 @register("item_document", statement("SELECT id, md5(title || '. ' || trim(overview) || ' Genres: ' || array_to_string(genres, ', ') || '.' || CASE WHEN len(keywords) > 0 THEN ' Themes: ' || array_to_string(keywords, ', ') || '.' ELSE '' END || ' Directed by ' || director || '.') AS digest FROM c_items WHERE title <> '' AND trim(overview) <> ''"))
 def item_document(spark, sf):
-    full = tables.items(spark, sf).where("title <> '' AND trim(overview) <> ''")
+    full = tables.full_items(spark, sf).where("title <> '' AND trim(overview) <> ''")
     return full.select("id", F.md5(T.item_document().cast("binary")).alias("digest"))
 
 
 @register("embedding_coverage", statement("SELECT count(*) AS items, count(*) FILTER (WHERE trim(coalesce(overview, '')) <> '' OR len(keywords) > 0) AS covered FROM c_items"))
 def embedding_coverage(spark, sf):
     says = (F.trim(F.coalesce("overview", F.lit(""))) != "") | (F.size("keywords") > 0)
-    return tables.items(spark, sf).agg(F.count("*").alias("items"), F.count_if(says).alias("covered"))
+    return tables.full_items(spark, sf).agg(F.count("*").alias("items"), F.count_if(says).alias("covered"))
 
 
 @register("rating_label", statement("SELECT id, CASE WHEN vote_count < 20 THEN 'not enough ratings yet' ELSE format('{:.1f}', vote_average) || '/10 (' || vote_count || ' votes)' END AS label FROM c_items"))
@@ -450,12 +450,12 @@ WHY_LIKED_SQL = {**WHY_SQL, "w_src": "SELECT * FROM c_items WHERE id IN (9, 30,
 @register(
     "recommend_reference",
     ranking_sql(
-        "m_s", f"{SEEN_SQL} AND ((SELECT count(*) FROM c_items JOIN m_s USING (id) WHERE NOT list_contains(genres, 'es') AND (list_contains(genres, 'de') = (SELECT bool_or(list_contains(genres, 'de')) FROM c_items WHERE id IN (9, 30)))) < 10 OR (NOT list_contains(genres, 'es') AND (list_contains(genres, 'de') = (SELECT bool_or(list_contains(genres, 'de')) FROM c_items WHERE id IN (9, 30)))))", "w_line", 1.5, "line <> ''",
+        "m_s", f"{SEEN_SQL} AND ((SELECT count(*) FROM c_items JOIN m_s USING (id) WHERE NOT list_contains(genres, 'es') AND (list_contains(genres, 'de') = (SELECT bool_or(list_contains(genres, 'de')) FROM c_items WHERE id IN (9, 30)))) < 10 OR (NOT list_contains(genres, 'es') AND (list_contains(genres, 'de') = (SELECT bool_or(list_contains(genres, 'de')) FROM c_items WHERE id IN (9, 30)))))", "w_line", 0.5, "line <> ''",
         **REFERENCE_CTES, **TASTE_CTES, **WHY_LIKED_SQL, m_s="SELECT id, 0.75 * r.s + 0.25 * t.s AS s FROM r_s r JOIN t_s t USING (id)",
     ),
 )
 def recommend_reference(spark, sf):
-    return ranked(recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), liked=LIKED, disliked=DISLIKED, references=NAMED, mode_genre=MODE, never=NEVER, min_z=1.5))
+    return ranked(recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), liked=LIKED, disliked=DISLIKED, references=NAMED, mode_genre=MODE, never=NEVER, min_z=0.5))
 
 
 VIBE_LINE = {

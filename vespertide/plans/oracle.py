@@ -14,10 +14,11 @@ _W = DEFAULTS.soup_weights
 CTES = {
     "c_words": rf"SELECT id, w, min(p) AS p FROM (SELECT id, trim(unnest(l), '''-') AS w, unnest(range(len(l))) AS p FROM (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z''-]{{2,}}') AS l FROM documents)) WHERE length(w) >= 4 AND w NOT IN ({_STOP}) GROUP BY id, w",
     "c_terms": "SELECT id, list(w ORDER BY p) AS overview_terms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS rn FROM c_words) WHERE rn <= 12 GROUP BY id",
-    "c_records": f"""SELECT CASE WHEN doc_id % {STALE_EVERY} = 0 THEN 1 ELSE 2 END AS _v, doc_id AS id, trim(substring(text, 1, 30)) AS title, CAST(1950 + doc_id % 70 AS VARCHAR) AS year,
+    "c_records": f"""SELECT 2 AS _v, doc_id AS id, trim(substring(text, 1, 30)) AS title, CAST(1950 + doc_id % 70 AS VARCHAR) AS year,
         [lang] AS genres, coalesce(overview_terms, CAST([] AS VARCHAR[])) AS overview_terms, coalesce(overview_terms, CAST([] AS VARCHAR[]))[1:4] AS keywords, 'Person ' || (doc_id % 97) AS director, source AS collection,
         text AS overview, (doc_id % 100) / 10 AS vote_average, CAST(doc_id * 37 % 1000 AS INTEGER) AS vote_count, (doc_id * 13 % 200) / 2 AS popularity, substring(CAST(1950 + doc_id % 70 AS VARCHAR), 1, 3) || '0s' AS decade
         FROM documents LEFT JOIN c_terms ON doc_id = c_terms.id""",
+    "c_versions": f"SELECT * REPLACE (CASE WHEN id % {STALE_EVERY} = 0 THEN 1 ELSE 2 END AS _v) FROM c_records",
     "c_items": f"SELECT * FROM c_records WHERE _v = {DEFAULTS.feature_version} AND len(genres) > 0",
     "c_fields": f"""SELECT id, field, wt, v FROM (SELECT id, 'genres' AS field, {_W['genres']} AS wt, unnest(genres) AS v FROM c_items UNION ALL SELECT id, 'director', {_W['director']}, director FROM c_items
         UNION ALL SELECT id, 'keywords', {_W['keywords']}, unnest(keywords) FROM c_items UNION ALL SELECT id, 'overview', {_W['overview']}, unnest(overview_terms) FROM c_items

@@ -1,7 +1,8 @@
 """The tables of the engine: items, vectors, ratings, votes and edges, read from parquet.
 
 Items are documents: their language is the genre, their source the collection, their text the synopsis;
-title, year, director and version follow from id and text. Ratings come from orders (quantity to
+the title is the first 30 characters of the text, a mapping, as documents have no titles; year and director
+follow from the id. Records have one version; queries about versions ask for some older ones. Ratings come from orders (quantity to
 half stars), votes from events, edges from parts that were ordered together.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
+from vespertide.operators.common import saved
 from vespertide.settings import DEFAULTS
 
 EDGES_PER_ITEM = 20
@@ -22,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stored item records, also those of older versions."""
+def records(spark: SparkSession, sf_dir: str, stale_every: int | None = None) -> DataFrame:
+    """All stored item records; with stale_every, each so-manieth one is of an older version."""
+    version = F.lit(DEFAULTS.feature_version)
+    if stale_every:
+        version = F.when(F.pmod(F.col("doc_id"), F.lit(stale_every)) == 0, 1).otherwise(version)
     i = F.col("doc_id")
     none = F.array().cast("array<string>")
     base = table(spark, sf_dir, "documents").select(
-        F.when(F.pmod(i, F.lit(STALE_EVERY)) == 0, 1).otherwise(2).alias("_v"), i.alias("id"), F.trim(F.substring("text", 1, 30)).alias("title"),
+        version.alias("_v"), i.alias("id"), F.trim(F.substring("text", 1, 30)).alias("title"),
         (F.lit(1950) + F.pmod(i, F.lit(70))).cast("string").alias("year"), F.array("lang").alias("genres"), T.overview_terms(F.col("text")).alias("overview_terms"),
         F.concat(F.lit("Person "), F.pmod(i, F.lit(97)).cast("string")).alias("director"), F.col("source").alias("collection"), F.col("text").alias("overview"),
         (F.pmod(i, F.lit(100)) / 10).alias("vote_average"), F.pmod(i * 37, F.lit(1000)).cast("int").alias("vote_count"), (F.pmod(i * 13, F.lit(200)) / 2).alias("popularity"),
@@ -35,11 +40,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumns({"keywords": F.slice("overview_terms", 1, 4), "cast": none, "directors": none, "writers": none, "tagline": F.lit(""), "decade": T.decade(F.col("year"))})
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus: every record of the current version that has a genre."""
+def full_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with its texts: every record of the current version that has a genre."""
     return records(spark, sf_dir).where((F.col("_v") == DEFAULTS.feature_version) & (F.size("genres") > 0))
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without its texts, whose terms are taken once and saved."""
+    return saved(spark, "items", [f"{sf_dir}/documents.parquet"], lambda: full_items(spark, sf_dir).drop("overview"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vec, label): vectors of the items that have one."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
