@@ -42,6 +42,7 @@ MEAN_ROOT_ROWS = 512
 TASK_ROWS = 16_384
 ROWS_TO_DEAL = 1_000_000
 FRONTIER = 1 << 20
+LEAF_ROWS = 16
 HASH_BLOCK = 1 << 15
 #: The near-duplicate stage: shingles that are compared, their least similarity, and the search for candidates.
 COMPARED_WORDS = 5
@@ -49,7 +50,7 @@ SIMILARITY = 0.8
 SEARCH_WORDS = 2
 SEARCH_BUDGET = 8
 #: Largest group of candidates that one task settles; larger ones shed stars first.
-GROUP_TEXTS = 512
+GROUP_TEXTS = 2_048
 GROUP_SHINGLES = 2_000_000
 BROADCAST_KEYS = 200_000
 SALTS = 32
@@ -81,14 +82,28 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", into: str = "fingerp
     return df.withColumn(into, bits(whole_text(F.col(text_col))))
 
 
+def leaf_pairs(bits: np.ndarray, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of pairs of leaves within the budget; of a leaf with itself each pair once."""
+    step = max(1, FRONTIER // LEAF_ROWS**2)
+    for first in range(0, len(alo), step):
+        la, ha, lb, hb = (x[first : first + step] for x in (alo, ahi, blo, bhi))
+        nb = hb - lb
+        n = (ha - la) * nb
+        which = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = la[which] + at // nb[which], lb[which] + at % nb[which]
+        near = (a < b) & (np.bitwise_count(bits[a] ^ bits[b]) <= budget)
+        yield a[near], b[near]
+
+
 def walk_trie(roots: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row numbers, each once, of rows with one root and at most `budget` differing bits.
 
     Rows must be sorted by (root, bits) and distinct. A node at depth d is a run of rows that share
     root and d leading bits; a frontier holds node pairs (starts and ends of two runs) and their
-    differing bits so far. A node of one row has one path below it, so two of them are settled by
-    counting the bits that differ in all. Frontiers longer than FRONTIER are split, so memory stays
-    bounded.
+    differing bits so far. Nodes of LEAF_ROWS rows or fewer are leaves: the rows of two of them are
+    settled by counting the bits that differ in all. Frontiers longer than FRONTIER are split, so
+    memory stays bounded.
     """
     n = len(bits)
     if n < 2:
@@ -106,12 +121,10 @@ def walk_trie(roots: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> Iter
             half = len(alo) // 2
             stack += [(depth, *(x[:half] for x in (alo, ahi, blo, bhi, diff))), (depth, *(x[half:] for x in (alo, ahi, blo, bhi, diff)))]
             continue
-        single = (ahi - alo == 1) & (bhi - blo == 1)
-        if single.any():
-            a, b = alo[single], blo[single]
-            near = np.bitwise_count(bits[a] ^ bits[b]) <= budget
-            yield a[near], b[near]
-            alo, ahi, blo, bhi, diff = (x[~single] for x in (alo, ahi, blo, bhi, diff))
+        leaf = (ahi - alo <= LEAF_ROWS) & (bhi - blo <= LEAF_ROWS)
+        if leaf.any():
+            yield from leaf_pairs(bits, *(x[leaf] for x in (alo, ahi, blo, bhi)), budget)
+            alo, ahi, blo, bhi, diff = (x[~leaf] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo) or depth == 64:
             continue
         # ones[i]: rows before i whose bit at this depth is set; within a run zeros come first.
@@ -292,7 +305,7 @@ def similar_groups_kept(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity
     longer ones. What the trie joins is compared by the shingle sets themselves. Groups of candidates within
     GROUP_TEXTS and GROUP_SHINGLES are settled whole, each in one task: groups are the connected links of
     similarity or more. Larger ones first shed stars: the texts closest to the majority of their bits are centres,
-    each text is compared with the closest centre, and what is alike falls to it; centres quadruple from round to
+    each text is compared with the closest centre, and what is alike falls to it; centres grow sixteenfold from round to
     round, and what is left when a group is small enough is settled whole. Equal texts are one from the start.
     """
     key = ["bits", "set_hash"]
@@ -339,7 +352,7 @@ def similar_groups_kept(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity
         left = materialize(fallen(rest, materialize(star_centres(rest.select("root", *key), centres), "centres"), similarity), "fallen")
         settled.append(left.where("to_bits is not null").select(*key, "to_bits", "to_set"))
         discard(open_)
-        open_, centres = materialize(rest.join(left.where("to_bits is null").select(*key), key, "left_semi"), "left-texts"), centres * 4
+        open_, centres = materialize(rest.join(left.where("to_bits is null").select(*key), key, "left_semi"), "left-texts"), centres * 16
         discard(rest)
     moved = settled[0]
     for x in settled[1:]:
