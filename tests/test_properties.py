@@ -192,3 +192,26 @@ def test_vote_stream(spark, tmp_path):
     q = feedback.current_votes(stream).writeStream.format("memory").queryName("votes_now").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("votes_now").collect()] == [(7, 2, -1)]
+
+
+def test_flagship_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_uncovered_named_items_leave_the_word_to_keywords(spark, sf_dir):
+    from vespertide.operators import blend, recommend
+    from vespertide.plans import catalogue
+    from vespertide.sources import tables
+
+    both = catalogue.both_signals(spark, sf_dir)
+    # A named item that is there, but that no signal covers.
+    thin = tables.items(spark, sf_dir).where("id = 9").withColumn("id", F.lit(10**9))
+    items = tables.items(spark, sf_dir).unionByName(thin)
+    assert blend.reference_scores(both, spark.createDataFrame([(10**9,)], "seed long")) is None
+    words = dict(keywords=catalogue.KEYWORDS, min_z=0.3, mode_genre="none", never="none")
+    assert recommend.recommend(items, both, references=[10**9], **words).count() > 0
+    assert recommend.recommend(items, both, references=[10**9]).count() == 0
+    with pytest.raises(ValueError):
+        blend.assembled([None])
