@@ -61,17 +61,40 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 #: Rows of one key that a join keeps together; keys of more are dealt in shards.
 HOT_ROWS = 4_096
+#: Keys that are broadcast at most.
 MOST_HOT_KEYS = 100_000
 
 
+def group_sizes(rows: DataFrame, on: str, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """Tables (on, __vt_n) of keys with more than `least` rows: the largest, MOST_HOT_KEYS of them at most, and the others, or None if there are no others."""
+    counts = materialize(rows.groupBy(on).agg(F.count("*").alias("__vt_n")).where(F.col("__vt_n") > least), "group-sizes")
+    n, total = counts.agg(F.count("*"), F.sum("__vt_n")).first()
+    if n <= MOST_HOT_KEYS:
+        return counts, None
+    # Fewer than MOST_HOT_KEYS keys can have more rows than this.
+    bar = total / MOST_HOT_KEYS
+    return counts.where(F.col("__vt_n") > bar), counts.where(F.col("__vt_n") <= bar)
+
+
+def with_size(rows: DataFrame, on: str, least: int) -> DataFrame:
+    """rows with __vt_n, the rows of their key if more than `least`, else null. The largest keys are looked up by broadcast, so none puts its rows in one task."""
+    largest, others = group_sizes(rows, on, least)
+    out = rows.join(F.broadcast(largest), on, "left")
+    if others is None:
+        return out
+    rest = out.where("__vt_n IS NULL").drop("__vt_n").join(others, on, "left")
+    return out.where("__vt_n IS NOT NULL").unionByName(rest)
+
+
 def hot_join(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """rows joined with side, which has each key once. Keys with more than HOT_ROWS rows are dealt over shards, and their row of the side is copied to each."""
-    hot = rows.groupBy(on).agg(F.count("*").alias("__vt_n")).where(F.col("__vt_n") > HOT_ROWS)
-    hot = materialize(hot.select(on, F.ceil(F.col("__vt_n") / HOT_ROWS).cast("int").alias("__vt_of")), "hot-keys")
-    n = hot.count()
-    if not n or n > MOST_HOT_KEYS:
+    """rows joined with side, which has each key once. The largest keys with more than HOT_ROWS rows are dealt over shards, and their row of the side is copied to each.
+
+    Any key left whole has at most HOT_ROWS rows, or one part in MOST_HOT_KEYS of all.
+    """
+    largest, _ = group_sizes(rows, on, HOT_ROWS)
+    if largest.isEmpty():
         return rows.join(side, on, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(largest.select(on, F.ceil(F.col("__vt_n") / HOT_ROWS).cast("int").alias("__vt_of")))
     names = [c for c in rows.columns if c != on] + ([c for c in side.columns if c != on] if how not in ("left_semi", "left_anti") else [])
     spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.coalesce("__vt_of", F.lit(1))).cast("int")
     a = rows.join(hot, on, "left").withColumn("__vt_shard", spread).drop("__vt_of")
