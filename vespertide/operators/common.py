@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vespertide.settings import DEFAULTS
 
@@ -38,11 +42,21 @@ def kept(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
-#: Tables saved by this process: (application, name, marks of the sources) to path.
-_SAVED: dict[tuple, str] = {}
+def folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path in its terms."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what kept() wrote, once nothing reads it any more."""
+    fs, target = folder(df.sparkSession, df._kept_at)
+    fs.delete(target, True)
 
 
 def source_mark(spark: SparkSession, path: str) -> str:
@@ -55,14 +69,75 @@ def source_mark(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(said).encode()).hexdigest()
 
 
-def saved(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that build makes from files, written to the shared folder once and loaded from then on, until a source changes."""
-    key = (spark.sparkContext.applicationId, name, *[source_mark(spark, s) for s in sources])
-    if key not in _SAVED:
-        path = f"{shared_folder(spark)}/saved-{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _SAVED[key] = path
-    return spark.read.parquet(_SAVED[key])
+def digest_of(value) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def files_of(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names and lengths of the data files in a folder."""
+    fs, at = folder(spark, path)
+    return {f.getPath().getName(): f.getLen() for f in fs.listStatus(at) if not f.getPath().getName().startswith(("_", "."))}
+
+
+def save_table(df: DataFrame, path: str, made_of: dict) -> None:
+    """Write a table to path/data, and behind it a manifest of what it was made of, its files and its rows."""
+    spark, data = df.sparkSession, f"{path}/data"
+    df.write.parquet(data)
+    rows = spark.read.schema(df.schema).parquet(data).count()
+    body = made_of | {"schema": df.schema.jsonValue(), "files": files_of(spark, data), "rows": rows}
+    fs, target = folder(spark, f"{path}/manifest.json")
+    out = fs.create(target, False)
+    try:
+        out.write(bytearray(json.dumps(body | {"digest": digest_of(body)}).encode()))
+    finally:
+        out.close()
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that save_table() wrote, or None where it is missing, unfinished, or not what its manifest says."""
+    fs, at = folder(spark, f"{path}/manifest.json")
+    if not fs.exists(at):
+        return None
+    try:
+        stated = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
+        body = {k: v for k, v in stated.items() if k != "digest"}
+        if stated["digest"] != digest_of(body) or files_of(spark, f"{path}/data") != stated["files"]:
+            return None
+        table = spark.read.schema(StructType.fromJson(stated["schema"])).parquet(f"{path}/data")
+        return table if table.count() == stated["rows"] else None
+    except (AttributeError, KeyError, TypeError, ValueError, PySparkException, Py4JJavaError):
+        return None
+
+
+#: Tables that a session has checked already: (application, path) to table.
+_CHECKED: dict[tuple[str, str], DataFrame] = {}
+
+
+def saved(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], made_of=()) -> DataFrame:
+    """The table that build makes from files, written to the shared folder once and loaded from then on, by any session that
+    shares the folder, until a source changes or what is in made_of (settings, and plans of inputs).
+
+    It is written beside its place and renamed to it, so it is there whole or not at all; one that was cut is made anew.
+    """
+    key = {"name": name, "sources": [source_mark(spark, s) for s in sources], "made_of": digest_of(list(made_of)), "version": DEFAULTS.feature_version}
+    # The setting's own folder, as that of the context is another one for every session.
+    root = (spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)).rstrip("/")
+    path = f"{root}/saved/{name}-{digest_of(key)[:32]}"
+    held = (spark.sparkContext.applicationId, path)
+    if held in _CHECKED:
+        return _CHECKED[held]
+    found = load_table(spark, path)
+    if found is None:
+        made = f"{path}-{uuid.uuid4().hex}"
+        save_table(build(), made, key)
+        (fs, place), (_, source) = folder(spark, path), folder(spark, made)
+        fs.delete(place, True)
+        fs.mkdirs(place.getParent())
+        # If another session put its copy there first, this one stays where it was made.
+        renamed = fs.rename(source, place)
+        found = (load_table(spark, path) if renamed else None) or load_table(spark, made)
+    _CHECKED[held] = found
+    return found
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:

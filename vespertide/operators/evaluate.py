@@ -1,33 +1,18 @@
-"""Ranking quality: ranks of expected items, leave-one-out folds, and the measures over ranks.
-
-Scores are dealt by range, ranked within their part and moved on by what the parts before it hold, so no
-task ever holds a whole ranking and no score meets another.
-"""
+"""Ranking quality: ranks of expected items, leave-one-out folds, and the measures over ranks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
+from vespertide.operators.blend import combined, covered_by_any
 from vespertide.operators.common import kept, small, with_one_row
-from vespertide.operators.signals import informed
+from vespertide.operators.ranks import ranked
+from vespertide.operators.signals import augmented, informed
 from vespertide.settings import DEFAULTS, Settings
 
 
-def ranked(scores: DataFrame, by: list[str], ties: bool = True) -> DataFrame:
-    """scores with rank within `by`, best s first. With ties, equal scores rank by id; without, they share the best rank."""
-    # Equal scores are of one part, so ranks within parts only need what stands in the parts before.
-    parts = kept(scores.repartitionByRange(*[F.col(c) for c in by], F.desc("s")).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number() if ties else F.rank()
-    order = W.partitionBy(*by, "__part").orderBy(F.desc("s"), *(["id"] if ties else []))
-    moved = parts.withColumn("__in", place.over(order)).join(small(sizes.withColumn("__before", before).drop("__n")), [*by, "__part"])
-    return moved.withColumn("rank", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
-
-
 def expected_ranks(scores: DataFrame, expected: DataFrame, ties: bool = True) -> DataFrame:
     """(case, id, rank) of expected items. scores: (case, id, s)."""
     return ranked(scores, ["case"], ties).join(small(expected), ["case", "id"], "left_semi").select("case", "id", "rank")
@@ -108,26 +93,132 @@ def grid_tokens(items: DataFrame) -> DataFrame:
     return each.select("id", "field", F.explode(T.tokens(T.soup_token(F.col("v")))).alias("term")).groupBy("id", "field", "term").agg(F.count("*").alias("n"))
 
 
+def per_place(size: int, value) -> Column:
+    """An array of value(i) for each place."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)
+
+
+def summed_places(column: str, size: int) -> list[Column]:
+    """Sums of an array column place by place, as columns; packed() makes them an array again."""
+    return [F.sum(F.col(column)[i]).alias(f"__{column}{i}") for i in range(size)]
+
+
+def packed(column: str, size: int) -> Column:
+    return F.array(*[F.col(f"__{column}{i}") for i in range(size)]).alias(column)
+
+
 def tune(items: DataFrame, liked: DataFrame, grid: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(config, n, median_rank, hit_at_10, hit_at_50, mrr): leave-one-out of a profile under every configuration, in one job.
 
-    liked: (seed, rating); grid: (config, field, weight).
+    liked: (seed, rating), a profile of settings.max_liked at most; grid: (config, field, weight), every field in every configuration. Configurations are places
+    of one array a token, so tokens are shuffled once however many configurations there are. A weight of 0 leaves a field out.
     """
-    tf = grid_tokens(items).join(F.broadcast(grid), "field").groupBy("config", "id", "term").agg(F.sum(F.col("n") * F.col("weight")).alias("tf"))
-    tf = kept(tf)
-    n = tf.agg(F.count_distinct("id").alias("docs"))
-    df = tf.groupBy("config", "term").agg(F.count("*").alias("df")).where(F.col("df") >= settings.min_df)
-    raw = with_one_row(tf.join(df, ["config", "term"]), n).select("config", "id", "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("config", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = kept(raw.join(norm, ["config", "id"]).select("config", "id", "term", (F.col("w") / F.col("norm")).alias("w")))
-    own = unit.join(F.broadcast(liked), unit["id"] == liked["seed"]).select("config", "term", "seed", F.col("w").alias("sw"))
-    met = unit.join(F.broadcast(own), ["config", "term"]).groupBy("config", "seed", "id").agg(F.sum(F.col("w") * F.col("sw")).alias("s"))
-    members = own.select("config", "seed").distinct().join(F.broadcast(liked), "seed").select(F.col("config").alias("group"), "seed", F.greatest(F.col("rating") - 2.5, F.lit(0.1)).alias("w"), F.lit(True).alias("target"))
-    every = norm.select(F.col("config").alias("group"), "id").join(F.broadcast(members.select("group", "seed")), "group")
-    sims = every.join(met.withColumnRenamed("config", "group"), ["group", "seed", "id"], "left").fillna(0.0, ["s"])
+    configs = [r["config"] for r in grid.select("config").distinct().orderBy("config").collect()]
+    size = len(configs)
+    by_field = grid.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("config", "weight"))).alias("w")).select("field", F.col("w.weight").alias("weights"))
+    # A token is mostly of one field of an item, so its counts are summed place by place only where it is of several.
+    weighed = grid_tokens(items).join(F.broadcast(by_field), "field").select("id", "term", F.transform("weights", lambda w: (w * F.col("n")).cast("double")).alias("tf"))
+    added = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    of_token = weighed.groupBy("id", "term").agg(F.collect_list("tf").alias("all"))
+    tf = kept(of_token.select("id", "term", F.aggregate(F.slice("all", 2, 100), F.col("all")[0], added).alias("tf")))
+    holds = F.transform("tf", lambda x: (x > 0).cast("int"))
+    df = tf.select("term", holds.alias("df")).groupBy("term").agg(*summed_places("df", size)).select("term", packed("df", size)).where(F.exists("df", lambda x: x >= settings.min_df))
+    docs = tf.groupBy("id").agg(*[F.max(F.col("tf")[i] > 0).cast("int").alias(f"__any{i}") for i in range(size)]).agg(*[F.sum(f"__any{i}").alias(f"__docs{i}") for i in range(size)]).select(packed("docs", size))
+    raw = with_one_row(tf.join(df, "term"), docs)
+    weight = per_place(size, lambda i: F.when((F.get("tf", i) > 0) & (F.get("df", i) >= settings.min_df), (1 + F.ln(F.get("tf", i))) * (F.ln((1 + F.get("docs", i)) / (1 + F.get("df", i))) + 1)).otherwise(0.0))
+    raw = kept(raw.select("id", "term", weight.alias("w")))
+    squares = raw.select("id", F.transform("w", lambda x: x * x).alias("q")).groupBy("id").agg(*summed_places("q", size)).select("id", packed("q", size))
+    lengths = kept(squares.select("id", F.transform("q", F.sqrt).alias("norm")))
+    own = kept(raw.join(F.broadcast(liked), raw["id"] == liked["seed"]).select("term", "seed", F.col("w").alias("sw")))
+    met = raw.join(F.broadcast(own), "term").select("seed", "id", F.zip_with("w", "sw", lambda x, y: x * y).alias("d"))
+    dots = met.groupBy("seed", "id").agg(*summed_places("d", size)).select("seed", "id", packed("d", size))
+    seeds = lengths.join(F.broadcast(liked), lengths["id"] == liked["seed"]).select("seed", F.col("norm").alias("snorm"))
+    pairs = lengths.crossJoin(F.broadcast(seeds)).join(dots, ["seed", "id"], "left")
+    # Places where an item or a seed has no term at all are not covered.
+    cosine = per_place(size, lambda i: F.when((F.get("norm", i) > 0) & (F.get("snorm", i) > 0), F.coalesce(F.get("d", i), F.lit(0.0)) / (F.get("norm", i) * F.get("snorm", i))))
+    sims = pairs.select("seed", "id", F.posexplode(cosine).alias("place", "s")).where("s IS NOT NULL")
+    every = F.array(*[F.lit(c) for c in configs])
+    sims = sims.select(F.get(every, F.col("place")).alias("group"), "seed", "id", "s")
+    covered = seeds.select("seed", F.posexplode("snorm").alias("place", "norm")).where("norm > 0").select(F.get(every, F.col("place")).alias("group"), "seed")
+    members = covered.join(F.broadcast(liked), "seed").select("group", "seed", F.greatest(F.col("rating") - 2.5, F.lit(0.1)).alias("w"), F.lit(True).alias("target"))
     return measures(fold_ranks(sims, members, settings, alpha=1.0, ties=True), "group").withColumnRenamed("group", "config")
 
 
+# Profiles over a blend ---------------------------------------------------------------------------------
+
+
+def signal_folds(signal, liked: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(group, hidden, id, s): a signal's profile score of every covered item in every fold, each without one liked item.
+
+    liked: (group, seed, rating), profiles of settings.max_liked at most, each item once. What a fold has follows from the
+    moments of the whole profile (sums along it, its length) less the hidden item, so no fold is fitted anew.
+    Ratings count in a fold whose shown items all have a vector here, also where only the hidden one lacks it.
+    """
+    k, alpha = settings.taste_top_k, settings.centroid_weight
+    own = liked.select("group", "seed", F.greatest(F.col("rating") - 2.5, F.lit(0.1)).alias("lw"))
+    sims = signal.to_seeds(liked.select("seed").distinct()).join(small(own), "seed")
+    falling = lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).otherwise(0)
+    pairs = F.collect_list(F.struct("s", "seed"))
+    by_item = sims.groupBy("group", "id").agg(F.sum(F.col("lw") * F.col("s")).alias("rated"), F.sum("s").alias("plain"), F.map_from_entries(F.collect_list(F.struct("seed", "s"))).alias("to"), F.slice(F.array_sort(pairs, falling), 1, k + 1).alias("best"))
+    by_item = kept(by_item)
+    inner = by_item.select("group", F.col("id").alias("seed"), "rated", "plain")
+    each = own.join(inner, ["group", "seed"], "left").withColumn("here", F.col("plain").isNotNull())
+    whole = each.groupBy("group").agg(F.count("*").alias("n"), F.count_if("here").alias("m"), F.sum(F.col("lw") * F.col("rated")).alias("all_rated"), F.sum("plain").alias("all_plain"))
+    rated = F.col("m") - F.col("here").cast("int") == F.col("n") - 1
+    folds = each.join(whole, "group").where(F.col("m") - F.col("here").cast("int") > 0)
+    folds = folds.select("group", F.col("seed").alias("hidden"), rated.alias("by_rating"), F.when(~F.col("here"), 0.0).when(rated, F.col("lw")).otherwise(1.0).alias("hw"), F.when(rated, F.col("all_rated")).otherwise(F.col("all_plain")).alias("total"), F.coalesce(F.when(rated, F.col("rated")).otherwise(F.col("plain")), F.lit(0.0)).alias("own"))
+    # The hidden item's similarity to itself is that of a unit vector.
+    length2 = F.col("total") - 2 * F.col("hw") * F.col("own") + F.col("hw") * F.col("hw")
+    folds = folds.select("group", "hidden", "by_rating", "hw", length2.alias("length2"))
+    met = by_item.join(small(folds), "group")
+    along = F.when(F.col("by_rating"), F.col("rated")).otherwise(F.col("plain")) - F.col("hw") * F.coalesce(F.try_element_at("to", F.col("hidden")), F.lit(0.0))
+    best = F.slice(F.filter("best", lambda x: x["seed"] != F.col("hidden")), 1, k)
+    mean_best = F.aggregate(best, F.lit(0.0), lambda a, x: a + x["s"]) / F.size(best)
+    centroid = F.when(F.col("length2") > 1e-12, along / F.sqrt("length2")).otherwise(0.0)
+    return met.select("group", "hidden", "id", (alpha * centroid + (1 - alpha) * mean_best).alias("s"))
+
+
+def profile_fold_ranks(signals: list, items: DataFrame, liked: DataFrame, settings: Settings = DEFAULTS, least: int = 3) -> DataFrame:
+    """(group, hidden, rank): leave-one-out of rated profiles over the blend of signals, all folds in one job.
+
+    Liked items that no signal covers say nothing; profiles of fewer than `least` others are left out, and items outside
+    the corpus are shown but not hidden. Every signal is standardised within its fold; items that no signal has a say on
+    score 0 and are ranked too. One signal in the list gives that signal's own ranks but for ties.
+    """
+    weights = settings.weights("reference")
+    known = kept(large_enough(liked.join(covered_by_any(signals).withColumnRenamed("id", "seed"), "seed", "left_semi"), least, ["group"]))
+    parts = [(weights[x.name], kept(signal_folds(x, known, settings))) for x in signals if weights[x.name] > 0]
+    scores = combined(parts, by=["group", "hidden"])
+    corpus = items.select("id").distinct()
+    targets = known.join(corpus.withColumnRenamed("id", "seed"), "seed", "left_semi").select("group", F.col("seed").alias("hidden"))
+    if scores is None:
+        return targets.limit(0).withColumn("rank", F.lit(0).cast("long"))
+    scores = kept(scores.join(corpus, "id", "left_semi").withColumn("s", F.round("s", 9)))
+    members = small(targets.select("group", F.col("hidden").alias("id"), F.lit(True).alias("liked")))
+    own = scores.where("id = hidden").select("group", "hidden", F.col("s").alias("own"))
+    folds = scores.select("group", "hidden").distinct().join(targets, ["group", "hidden"], "left_semi")
+    folds = small(folds.join(own, ["group", "hidden"], "left").withColumn("own", F.coalesce("own", F.lit(0.0))))
+    others = scores.join(members, ["group", "id"], "left").where("liked IS NULL").join(folds, ["group", "hidden"])
+    counted = others.groupBy("group", "hidden").agg(F.count("*").alias("scored"), F.count_if(F.col("s") > F.col("own")).alias("above"))
+    shown = targets.groupBy("group").agg(F.count("*").alias("shown"))
+    every = with_one_row(folds.join(counted, ["group", "hidden"], "left").join(small(shown), "group"), corpus.agg(F.count("*").alias("corpus")))
+    silent = F.when(F.col("own") < 0, F.col("corpus") - F.col("shown") - F.coalesce("scored", F.lit(0))).otherwise(0)
+    return every.select("group", "hidden", (F.coalesce("above", F.lit(0)) + silent + 1).alias("rank"))
+
+
+def frozen_fold_ranks(signal, known: DataFrame, liked: DataFrame, settings: Settings = DEFAULTS, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Ranks (group, hidden, rank) of leave-one-out by the centroid alone, and (corpus): the corpus is joined by liked items from outside, weighed by its frozen weights.
+
+    known: records of the liked items; liked: (seed, rating), of one profile. Fewer than `least` found: no ranks.
+    """
+    wider = augmented(signal, known, settings)
+    found = liked.join(known.select(F.col("id").alias("seed")), "seed", "left_semi").select(F.lit(0).alias("group"), "seed", "rating")
+    enough = large_enough(found, least, ["group"]).join(wider.ids.withColumnRenamed("id", "seed"), "seed", "left_semi")
+    members = kept(enough.select("group", "seed", F.greatest(F.col("rating") - 2.5, F.lit(0.1)).alias("w"), F.lit(True).alias("target")))
+    sims = wider.to_seeds(members.select("seed")).select(F.lit(0).alias("group"), "seed", "id", "s")
+    return fold_ranks(sims, members, settings, alpha=1.0, ties=True), wider.ids.agg(F.count("*").alias("corpus"))
+
+
 def best_config(results: DataFrame) -> DataFrame:
     """The first configuration with the highest reciprocal rank."""
     return results.orderBy(F.desc("mrr"), "config").limit(1)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
 from vespertide.operators.blend import query_scores, reference_scores, taste_scores
-from vespertide.operators.common import kept, literal_rows, numbered, small, standardised, with_one_row
+from vespertide.operators.common import kept, literal_rows, small, standardised, with_one_row
+from vespertide.operators.titles import best_matches  # noqa: F401  (part of this module's interface)
 from vespertide.settings import DEFAULTS, Settings
 
 NO_STRINGS = "array<string>"
@@ -215,26 +216,6 @@ def neighbours(items: DataFrame, edges: DataFrame, references: list[int], per_re
     return found.orderBy(F.desc("vote_count"), "id").limit(n)
 
 
-def best_matches(requests: DataFrame, candidates: DataFrame, least: float = DEFAULTS.min_search_score) -> DataFrame:
-    """The best candidate of each request, if it is good enough. requests: (request, want_title, want_year), few; candidates: (id, title, year, votes, popularity)."""
-    norm = candidates.withColumn("got", T.normalised_title(F.col("title"))).withColumn("alt", F.lit(None).cast("string") if "original_title" not in candidates.columns else T.normalised_title(F.col("original_title")))
-    asked = requests.withColumn("want", T.normalised_title(F.col("want_title"))).where("want <> ''")
-    met = norm.crossJoin(F.broadcast(asked)).withColumn("score", match_score())
-    ranked = numbered(met.where(F.col("score") >= least), ["request"], F.desc("score"), F.col("id"))
-    return ranked.where("place = 1").drop("place")
-
-
-def match_score() -> Column:
-    """How well a candidate (got, alt, year, votes, popularity) fits a request (want, want_year)."""
-    want, got = F.col("want"), F.col("got")
-    share = F.least(F.length(want), F.length(got)) / F.greatest(F.length(want), F.length(got), F.lit(1))
-    title = F.when((want == got) | (want == F.coalesce(F.col("alt"), F.lit("\x00"))), 100.0).when(F.startswith(got, want) | F.startswith(want, got), 60 * share).when(F.contains(got, want) | F.contains(want, got), 30 * share)
-    apart = F.abs(F.col("year").try_cast("int") - F.col("want_year").try_cast("int"))
-    known = (F.coalesce(F.col("year"), F.lit("")) != "") & (F.coalesce(F.col("want_year"), F.lit("")) != "")
-    year = F.when(~known, 0.0).when(F.col("year") == F.col("want_year"), 40.0).when(apart <= 1, 20.0).otherwise(-15.0)
-    return F.when(title.isNull(), F.lit(-1.0)).otherwise(title + year + F.least(F.coalesce("votes", F.lit(0)), F.lit(5000)) / 1000 + F.least(F.coalesce("popularity", F.lit(0.0)), F.lit(100.0)) / 50)
-
-
 def unambiguous(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that one row alone has, with that row's id."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")

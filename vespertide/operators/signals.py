@@ -11,7 +11,7 @@ items at most) and broadcast; items are never paired with items.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
 from vespertide.operators.common import kept, literal_rows, saved, small, with_one_row
+from vespertide.operators.encode import Encoder, encoded, hashing, query_encoder
+from vespertide.operators.factors import truncated
 from vespertide.settings import DEFAULTS, Settings
 
 
@@ -132,12 +134,20 @@ def metadata_signal(items: DataFrame, settings: Settings = DEFAULTS) -> SparseSi
 
 
 def saved_metadata(items: DataFrame, sources: list[str], settings: Settings = DEFAULTS) -> SparseSignal:
-    """metadata_signal with its tables saved for as long as the sources stay as they are."""
+    """metadata_signal with its tables saved, for as long as the sources stay as they are, for these items and settings."""
     spark = items.sparkSession
-    counts = saved(spark, "metadata-counts", sources, lambda: term_counts(informed(items, settings)))
-    idf = saved(spark, "metadata-idf", sources, lambda: term_weights(counts, settings.min_df))
-    weights = saved(spark, "metadata-weights", sources, lambda: tfidf(counts, idf))
-    return SparseSignal("metadata", weights, saved(spark, "metadata-ids", sources, lambda: counts.select("id").distinct()), idf)
+    made_of = [asdict(settings), items.semanticHash()]
+    counts = saved(spark, "metadata-counts", sources, lambda: term_counts(informed(items, settings)), made_of)
+    idf = saved(spark, "metadata-idf", sources, lambda: term_weights(counts, settings.min_df), made_of)
+    weights = saved(spark, "metadata-weights", sources, lambda: tfidf(counts, idf), made_of)
+    return SparseSignal("metadata", weights, saved(spark, "metadata-ids", sources, lambda: counts.select("id").distinct(), made_of), idf)
+
+
+def saved_dense(name: str, items: DataFrame, vectors: DataFrame, sources: list[str], encode=None) -> DenseSignal:
+    """dense_signal with its rows saved likewise."""
+    made_of = [name, items.semanticHash(), vectors.semanticHash()]
+    rows = saved(items.sparkSession, f"{name}-rows", sources, lambda: dense_rows(items, vectors), made_of)
+    return DenseSignal(name, rows, encode)
 
 
 def frozen_rows(items: DataFrame, idf: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -154,8 +164,12 @@ def augmented(signal: SparseSignal, items: DataFrame, settings: Settings = DEFAU
 
 def dense_signal(name: str, items: DataFrame, vectors: DataFrame, encode=None) -> DenseSignal:
     """Vectors aligned with the corpus: items without a vector are not covered, vectors without an item vanish."""
+    return DenseSignal(name, kept(dense_rows(items, vectors)), encode)
+
+
+def dense_rows(items: DataFrame, vectors: DataFrame) -> DataFrame:
     unit = vectors.select("id", unit_vector(F.col("vec")).alias("vec")).where("vec IS NOT NULL")
-    return DenseSignal(name, kept(unit.join(items.select("id"), "id", "left_semi")), encode)
+    return unit.join(items.select("id"), "id", "left_semi")
 
 
 def bucket_of(token: Column, size: int) -> Column:
@@ -170,15 +184,11 @@ def encoded_documents(docs: DataFrame, size: int) -> DataFrame:
     return counted.select("id", unit_vector(vec).alias("vec"))
 
 
-def encoded_signal(name: str, docs: DataFrame, size: int) -> DenseSignal:
-    """A dense signal over hashed documents that encodes free text the same way."""
-
-    def encode(text: str, keywords: list[str]) -> list[float] | None:
-        asked = ". ".join(x for x in ((text or "").strip(), ", ".join(keywords or [])) if x)
-        rows = encoded_documents(literal_rows(docs.sparkSession, [(0, asked)], "id long, document string"), size).collect()
-        return list(rows[0]["vec"]) if rows else None
-
-    return DenseSignal(name, kept(encoded_documents(docs, size)), encode)
+def encoded_signal(name: str, docs: DataFrame, encoder: Encoder | int) -> DenseSignal:
+    """A dense signal over documents that encodes free text as it encodes them. encoder: or the number of places of a hashing one. docs: (id, document), each id once."""
+    if isinstance(encoder, int):
+        encoder = hashing(encoder)
+    return DenseSignal(name, kept(encoded(docs, encoder)), query_encoder(encoder))
 
 
 def collab_matrix(ratings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -210,28 +220,14 @@ def collab_signal(items: DataFrame, ratings: DataFrame, settings: Settings = DEF
 
 
 def collab_factors(items: DataFrame, ratings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(id, vec): truncated factors U*S of the damped matrix, by the library's distributed SVD, rows of length one.
+    """(id, vec): truncated factors U*S of the damped matrix, rows of length one.
 
     Row inner products don't depend on how users are numbered or factors rotated, so only cosines mean something.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
     matrix = collab_matrix(ratings.join(items.select(F.col("id").alias("item")), "item", "left_semi"), settings)
-    ids = supported(matrix, settings.collab_min_ratings)
-    rows = kept(damped(matrix).join(ids, "item", "left_semi"))
-    users = rows.select("user").distinct().rdd.map(lambda r: r["user"]).zipWithIndex().toDF("user long, code long")
-    users = kept(users)
-    n_users, n_items = users.count(), ids.count()
-    k = min(settings.collab_factors, n_users - 1, n_items - 1)
-    if k < 1:
-        return rows.sparkSession.createDataFrame([], "id long, vec array<double>")
-    packed = rows.join(users, "user").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("code", "v"))).alias("r"))
-    indexed = kept(packed).rdd.map(lambda r: IndexedRow(r["item"], Vectors.sparse(n_users, [(x["code"], x["v"]) for x in r["r"]])))
-    svd = IndexedRowMatrix(indexed).computeSVD(k, computeU=True)
-    scale = svd.s.toArray().tolist()
-    u = svd.U.rows.map(lambda r: (r.index, [float(a) * b for a, b in zip(r.vector.toArray(), scale)]))
-    return u.toDF("id long, vec array<double>").select("id", unit_vector(F.col("vec")).alias("vec")).where("vec IS NOT NULL")
+    rows = damped(matrix).join(supported(matrix, settings.collab_min_ratings), "item", "left_semi")
+    found = truncated(rows.select(F.col("item").alias("row"), F.col("user").alias("col"), "v"), settings.collab_factors)
+    return found.select("id", unit_vector(F.col("vec")).alias("vec")).where("vec IS NOT NULL")
 
 
 def adjacency(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -252,9 +248,14 @@ def graph_coverage(adjacent: DataFrame) -> DataFrame:
     return adjacent.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).where("degree > 1")
 
 
-def graph_signal(items: DataFrame, edges: DataFrame) -> SparseSignal:
+def graph_signal(items: DataFrame, edges: DataFrame, factors: int = 0) -> SparseSignal | DenseSignal:
+    """Cosines of rows of the adjacency, or of so many factors of it; items that are linked to nothing are not covered."""
     adjacent = kept(adjacency(items, edges))
     ids = kept(graph_coverage(adjacent).select("id"))
+    if factors:
+        found = truncated(adjacent.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").alias("v")), factors)
+        unit = found.select("id", unit_vector(F.col("vec")).alias("vec")).where("vec IS NOT NULL")
+        return DenseSignal("graph", kept(unit.join(ids, "id", "left_semi")))
     rows = adjacent.select(F.col("src").alias("id"), F.col("dst").alias("term"), "w")
     return SparseSignal("graph", kept(unit_rows(rows.join(ids, "id", "left_semi"))), ids)
 
@@ -317,6 +318,20 @@ def legacy_taste(weights: DataFrame, liked: DataFrame, disliked: DataFrame, sett
     return both.select("term", F.greatest(F.lit(0.0), F.col("up") / F.col("total") - settings.negative_weight * down).alias("w")).where("w > 0")
 
 
+def reference_terms(signal: SparseSignal, seeds: DataFrame, keywords: list[str] | None, keyword_weight: float = 0.35) -> DataFrame:
+    """(term, w): the mean of the rows of named items and of loose keywords, which count less beside items and whole without any. No rows: nothing known. seeds: (seed)."""
+    spark = signal.weights.sparkSession
+    rows = signal.weights.join(F.broadcast(seeds), signal.weights["id"] == seeds["seed"], "left_semi").select(F.lit(1.0).alias("share"), "term", "w", F.col("id").alias("part"))
+    named = seeds.agg(F.count("*").alias("named"))
+    words = encoded_terms(keywords, signal.idf) if any(keywords or []) else literal_rows(spark, [], "term string, w double")
+    loose = with_one_row(words, named).select(F.when(F.col("named") > 0, keyword_weight).otherwise(1.0).alias("share"), "term", "w", F.lit(None).cast("long").alias("part"))
+    every = kept(rows.unionByName(loose))
+    # An item without a term counts among the named ones all the same; keywords that are all unknown don't.
+    said = loose.agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("loose"))
+    whole = with_one_row(named, said).select((F.col("named") + F.col("loose")).alias("whole"))
+    return with_one_row(every, whole).groupBy("term").agg((F.sum(F.col("share") * F.col("w")) / F.first("whole")).alias("w"))
+
+
 def cosine_to_terms(weights: DataFrame, query: DataFrame) -> DataFrame:
     """(id, s) of items that share a term with the query, any length of it."""
     norm = query.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators import blend, evaluate, profile, recommend, signals, store
+from vespertide.operators import blend, evaluate, profile, recommend, signals, store, titles
 from vespertide.operators.common import literal_rows, numbered, standardised
 from vespertide.plans.oracle import blended, dense, profile as profile_sql, sims, statement, z
 from vespertide.settings import DEFAULTS
@@ -55,7 +55,7 @@ def metadata(spark, sf):
 
 
 def semantic(spark, sf):
-    return signals.dense_signal("semantic", tables.items(spark, sf), tables.vectors(spark, sf))
+    return signals.saved_dense("semantic", tables.items(spark, sf), tables.vectors(spark, sf), [f"{sf}/documents.parquet", f"{sf}/embeddings.parquet"])
 
 
 def both_signals(spark, sf):
@@ -509,7 +509,7 @@ REQUESTS = [(1, "Small Ring", "11"), (2, "red  wídget!", "29"), (3, "bolt", Non
 )
 def title_match_best(spark, sf):
     candidates = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").cast("string").alias("year"), F.lit(0).alias("votes"), F.col("p_retailprice").alias("popularity"))
-    best = recommend.best_matches(literal_rows(spark, REQUESTS, "request int, want_title string, want_year string"), candidates)
+    best = titles.best_matches(literal_rows(spark, REQUESTS, "request int, want_title string, want_year string"), candidates)
     return best.select("request", "id", q6("score"))
 
 

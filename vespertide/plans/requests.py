@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators import evaluate, profile, recommend, signals
+from vespertide.operators import evaluate, profile, ranks, recommend, signals
 from vespertide.operators.common import literal_rows
 from vespertide.plans.catalogue import COHORT_SQL, KEYWORDS, MEASURES_SQL, NAMED, ORACLE_SQL, both_signals, cohort_members, member_sims, metadata, q6, register, rows_sql, semantic
 from vespertide.plans.oracle import statement
@@ -136,7 +136,7 @@ def dense_text_query(spark, sf):
 @register("competition_ranks", statement("SELECT id, rank() OVER (PARTITION BY collection ORDER BY vote_count DESC) AS rank FROM c_items"))
 def competition_ranks(spark, sf):
     scores = tables.items(spark, sf).select(F.col("collection").alias("case"), "id", F.col("vote_count").alias("s"))
-    return evaluate.ranked(scores, ["case"], ties=False).select("id", F.col("rank").cast("long").alias("rank"))
+    return ranks.ranked(scores, ["case"], ties=False).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @register("eval_macro", statement(f"SELECT count(*) AS profiles, round_even(avg(mrr), 4) AS mrr, round_even(avg(hit_at_10), 4) AS hit_at_10, round_even(avg(hit_at_50), 4) AS hit_at_50 FROM (SELECT grp, {MEASURES_SQL} FROM o_rank GROUP BY grp)", **COHORT_SQL))

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vespertide.settings import DEFAULTS
+from vespertide.streaming.spacing import spaced_requests
 
 ACCEPTED = "user_id long, event_id long, ts timestamp_ntz, accepted boolean"
 
@@ -53,15 +53,5 @@ def accept_requests(stream: DataFrame, gap_s: float = DEFAULTS.rate_limit_s) ->
 
 
 def accept_requests_batch(log: DataFrame, gap_s: float = DEFAULTS.rate_limit_s) -> DataFrame:
-    """The same over a table. Requests are cut where a user paused for gap_s, as each pause starts anew with an accepted
-    one; only inside such a burst does order decide, so no task needs more of a user than a burst."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    by_user = W.partitionBy("user_id").orderBy("t", "event_id")
-    timed = log.select("user_id", "event_id", "ts", seconds.alias("t"))
-    burst = F.sum(F.when(F.col("t") - F.lag("t").over(by_user) >= gap_s, 1).otherwise(0)).over(by_user)
-
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        return rows[["user_id", "event_id", "ts"]].assign(accepted=spaced(rows["t"].tolist(), None, gap_s)[0])
-
-    return timed.withColumn("burst", burst).groupBy("user_id", "burst").applyInPandas(each, ACCEPTED)
+    """The same over a table, where a user's requests may be most of it."""
+    return spaced_requests(log, gap_s)
