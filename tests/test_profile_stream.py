@@ -15,6 +15,8 @@ TTL = 100
 @pytest.fixture
 def run(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    # A state that may expire asks for batch after batch, so a run over what is there would not end.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
     def once(ttl_s=TTL, lag_s=3600):
         stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
@@ -28,6 +30,7 @@ def run(spark, tmp_path):
 
     yield feed, once
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_expired_and_renewed_profiles_equal_the_batch_predicate(spark, run, tmp_path):

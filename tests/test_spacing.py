@@ -10,16 +10,6 @@ BEGIN = datetime(2024, 1, 1)
 SCHEMA = "user_id long, event_id long, ts timestamp_ntz"
 
 
-@pytest.fixture
-def many_parts(spark):
-    """Small tables stay in as many parts as large ones would have."""
-    spark.conf.set("spark.sql.shuffle.partitions", "13")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 def brute(rows, gap):
     last, out = {}, {}
     for user, event, ts in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
@@ -37,7 +27,7 @@ def got(spark, rows, gap):
 
 
 @pytest.mark.parametrize("gap", [0.5, 3, 40, 10_000])
-def test_equal_to_the_walk_with_one_user_of_most_rows(spark, gap):
+def test_equal_to_the_walk_with_one_user_of_most_rows(spark, many_parts, gap):
     rng = random.Random(gap)
     rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), n, BEGIN + timedelta(seconds=rng.randrange(900), milliseconds=rng.choice([0, 0, 500]))) for n in range(700)]
     rows += [(4, 1000, None), (4, 1001, BEGIN), (None, 1002, None)]
