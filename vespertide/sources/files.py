@@ -116,6 +116,21 @@ def more_pages(status: Column, films: Column, full_page: int = 72) -> Column:
     return (status == 200) & (films >= full_page)
 
 
+def listed_prefix(pages: DataFrame, full_page: int = 72) -> DataFrame:
+    """Pages of each list that a reader gets who stops at the first one that failed or was not full: all before it, and it too if it was answered.
+
+    pages: (list, page, status, films), pages from 1, each once. A page that is not there counts as failed. Lists are cut by their first
+    stop, a minimum, so no task needs the whole of a list.
+    """
+    stops = pages.groupBy("list").agg(F.min(F.when(~F.coalesce(more_pages(F.col("status"), F.col("films"), full_page), F.lit(False)), F.col("page"))).alias("__stop"))
+    before = pages.select("list", (F.col("page") + 1).alias("page"))
+    gaps = pages.where("page > 1").select("list", "page").join(before, ["list", "page"], "left_anti").groupBy("list").agg(F.min("page").alias("__gap"))
+    cut = pages.join(stops, "list", "left").join(gaps, "list", "left")
+    answered = F.coalesce(F.col("status") == 200, F.lit(False))
+    kept = F.col("__stop").isNull() | (F.col("page") < F.col("__stop")) | ((F.col("page") == F.col("__stop")) & answered)
+    return cut.where(kept & (F.col("__gap").isNull() | (F.col("page") < F.col("__gap")))).drop("__stop", "__gap")
+
+
 def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
