@@ -119,5 +119,26 @@ def test_distinct_entities_keep_apart(spark):
     assert {r["text"] for r in replace_entities(docs, "other").collect()} != set(texts)
 
 
+def test_full_number_spaces_are_settled(spark):
+    """All numbers of a form are real: surrogates get further digits, and none is that of a real one."""
+    rows = [("phone", f"{i:03d}", "") for i in range(1000)] + [("phone", f"12{i:03d}", "") for i in range(600)]
+    real = spark.createDataFrame(rows, "kind string, canonical string, variant string")
+    found = [r["surrogate"] for r in settled(real, "k").collect()]
+    assert len(found) == len(set(found)) == 1600 and not set(found) & {c for _, c, _ in rows}
+    assert all(len(x) > 3 for x in found)
+
+
+def test_numbers_of_one_prefix_end(spark):
+    texts = replaced(spark, *[f"call +1 2{i // 100} {i % 100:02d}" for i in range(600)])
+    numbers = [re.fullmatch(r"call \+\d \d\d (\d+)", t) for t in texts]
+    assert all(numbers) and len(set(texts)) == 600 and not set(texts) & {f"call +1 2{i // 100} {i % 100:02d}" for i in range(600)}
+
+
+def test_forms_of_address_in_capitals(spark):
+    (a,) = replaced(spark, "MR. SMITH and MRS. JANE SMITH, DR. Jones")
+    m = re.fullmatch(r"MR\. ([A-Z]+) and MRS\. ([A-Z]+) ([A-Z]+), DR\. ([A-Z]\w+)", a)
+    assert m and m[1] == m[3] != "SMITH" and made_of(m[2].capitalize(), "latin", "f") and m[4] != "Jones"
+
+
 def test_empty_table(spark, tmp_path):
     assert op1_pii(spark, write_tables(tmp_path / "a", documents=odd_documents(spark).limit(0))).count() == 0

@@ -38,6 +38,8 @@ BROADCAST_ROWS = 200_000
 ROW = ["__vt_id", "__vt_text_hash"]
 #: Attempts within spaces that are reserved for examples; later ones may use all values of a kind.
 RESERVED_ATTEMPTS = 8
+#: From this attempt on numbers get one more digit for every RESERVED_ATTEMPTS, so a space that is full doesn't hold up the drawing.
+WIDER_ATTEMPTS = 3 * RESERVED_ATTEMPTS
 #: Names that the syllables can make for each real one.
 SPARE = 50
 DRAW_ROWS = 2_000
@@ -77,6 +79,8 @@ VARIANTS = ["s", "m", "f", "u"]
 
 NAME_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+(?:['’]\p{Ll}[\p{L}\p{M}]+)?"
 NAME_WORDS = rf"{NAME_WORD}(?:[ -]{NAME_WORD})*+"
+# Forms of address also in capitals, as in "MR. SMITH".
+MALE, FEMALE, NEUTRAL = ([*forms, *(x.upper() for x in forms if x.upper() not in forms)] for forms in (MALE, FEMALE, NEUTRAL))
 ADDRESS = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda x: (-len(x), x)))
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -249,11 +253,14 @@ def surrogate(kind: Column, canonical: Column, variant: Column, attempt: Column,
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canonical, attempt.cast("string")).cast("binary"), 256)
 
     def of(seed: Column) -> Column:
-        digits = lambda begin, n: F.array_join(F.transform(F.sequence(F.lit(begin), n), lambda i: drawn(seed, i, 10).cast("string")), "")
+        digits = lambda begin, n: F.array_join(F.transform(F.sequence(begin if isinstance(begin, Column) else F.lit(begin), n), lambda i: drawn(seed, i, 10).cast("string")), "")
         free = attempt >= RESERVED_ATTEMPTS
         size = F.length(canonical)
+        more = F.greatest(F.lit(0), F.floor((attempt - WIDER_ATTEMPTS) / RESERVED_ATTEMPTS).cast("int") + 1)
+        wider = lambda number: F.when(more > 0, F.concat(number, digits(size + 1, size + more))).otherwise(number)
+        hosts = F.when(attempt < RESERVED_ATTEMPTS, 100_000).otherwise(1_000_000_000)
 
-        email = F.concat(redrawn_letters(F.substring_index(canonical, "@", 1), seed), F.lit("@mail"), drawn(seed, "host", 100_000).cast("string"), F.lit(".example"))
+        email = F.concat(redrawn_letters(F.substring_index(canonical, "@", 1), seed), F.lit("@mail"), drawn(seed, "host", hosts).cast("string"), F.lit(".example"))
         octet = lambda n, low, high: (drawn(seed, f"octet{n}", high - low + 1) + low).cast("string")
         ip = F.concat_ws(".", F.when(free, octet(1, 1, 223)).otherwise(F.lit("10")), octet(2, 0, 255), octet(3, 0, 255), octet(4, 1, 254))
         # Groups of the block for documentation, short or long as the address is.
@@ -263,9 +270,9 @@ def surrogate(kind: Column, canonical: Column, variant: Column, attempt: Column,
         check = lambda own: F.lpad((98 - account_rest(F.upper(F.concat(country, F.lit("00"), own)))).cast("string"), 2, "0")
         iban = let(redrawn_letters(F.substring(canonical, F.lit(5), size), seed), lambda own: F.concat(country, check(own), own))
         card = let(F.concat(F.substring(canonical, 1, 1), digits(2, size - 1)), lambda body: F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
-        ssn = F.concat(F.lit("9"), digits(2, F.lit(9)))
+        ssn = wider(F.when(free, digits(1, F.lit(9))).otherwise(F.concat(F.lit("9"), digits(2, F.lit(9)))))
         american = F.concat(F.lit("1"), (drawn(seed, "area", 8) + 2).cast("string"), digits(3, F.lit(4)), F.when(free, digits(5, F.lit(7))).otherwise(F.lit("555")), digits(8, F.lit(11)))
-        phone = F.when((size == 11) & canonical.startswith("1"), american).otherwise(F.concat(F.substring(canonical, 1, 2), digits(3, size)))
+        phone = wider(F.when((size == 11) & canonical.startswith("1"), american).when(free, digits(1, size)).otherwise(F.concat(F.substring(canonical, 1, 2), digits(3, size))))
         # Later attempts take longer names, so there are always enough.
         name = made_name(canonical, variant, seed, F.lit(syllables) + F.floor(attempt / 2).cast("int"))
         return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "iban", iban).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone).otherwise(name)
@@ -285,9 +292,10 @@ def poured(kind: Column, text: Column, canonical: Column) -> Column:
             (state["used"] + taken.cast("int")).alias("used"),
         )
 
-    # A phone number without its country takes the last digits.
-    first = F.greatest(F.lit(0), F.length(canonical) - F.size(places))
-    in_format = F.aggregate(F.split(text, ""), F.struct(F.lit("").alias("out"), first.alias("used")), next_place, lambda s: s["out"])
+    # A phone number of ten digits without its country takes those behind the country.
+    first = F.when((kind == "phone") & (F.size(places) == 10) & ~text.startswith("+"), 1).otherwise(0)
+    # Digits that a number got beyond its own stand at its end.
+    in_format = F.aggregate(F.split(text, ""), F.struct(F.lit("").alias("out"), first.alias("used")), next_place, lambda s: F.concat(s["out"], F.substring(canonical, s["used"] + 1, F.length(canonical))))
     loud = text == F.upper(text)
     named = F.when(loud, F.upper(canonical)).otherwise(F.concat(F.upper(F.substring(canonical, 1, 1)), F.substring(canonical, F.lit(2), F.length(canonical))))
     cased = F.when(kind.isin("email", "ipv6") & loud & text.rlike(r"\p{L}"), F.upper(canonical)).otherwise(canonical)
