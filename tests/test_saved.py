@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 
 from vespertide.operators import common, signals
-from vespertide.operators.common import load_table, saved
+from vespertide.operators.common import finished, kept, load_table, saved, shared_folder
 from vespertide.settings import DEFAULTS
 from vespertide.sources import tables
 
@@ -83,3 +83,19 @@ def test_signals_are_those_of_their_settings_and_items(spark, sf_dir):
     assert 0 < rare.idf.count() < usual.idf.count()
     assert few.ids.agg({"id": "max"}).first()[0] < 50 <= usual.ids.agg({"id": "max"}).first()[0]
     assert signals.saved_metadata(items, sources).idf.count() == usual.idf.count()
+
+
+def test_what_was_kept_on_the_way_is_deleted(spark):
+    at = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.exists(at) else set()
+
+    def make():
+        a = kept(spark.range(10))
+        return finished(lambda: kept(a.where("id > 2")).where("id < 6")).unionByName(kept(spark.range(100, 101)))
+
+    out = finished(make)
+    assert sorted(r["id"] for r in out.collect()) == [3, 4, 5, 100]
+    assert len(set(os.listdir(at)) - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        finished(lambda: kept(spark.range(3)) and 1 / 0)
+    assert len(set(os.listdir(at)) - before) == 1

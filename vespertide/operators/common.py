@@ -35,6 +35,25 @@ def shared_folder(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+#: Tables kept on the way to a result that is being made, innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written; what make() kept on the way is deleted. For results that are small beside what they were made of."""
+    scope: list[DataFrame] = []
+    _SCOPES.append(scope)
+    try:
+        out = make()
+        _SCOPES.pop()
+        return kept(out)
+    finally:
+        if _SCOPES and _SCOPES[-1] is scope:
+            _SCOPES.pop()
+        for table in scope:
+            dropped(table)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: for tables that a query reads many times.
 
@@ -44,6 +63,8 @@ def kept(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
 from vespertide.operators.blend import combined, covered_by_any
-from vespertide.operators.common import kept, small, with_one_row
+from vespertide.operators.common import finished, kept, small, with_one_row
 from vespertide.operators.ranks import ranked
 from vespertide.operators.signals import augmented, informed
 from vespertide.settings import DEFAULTS, Settings
@@ -15,7 +17,7 @@ from vespertide.settings import DEFAULTS, Settings
 
 def expected_ranks(scores: DataFrame, expected: DataFrame, ties: bool = True) -> DataFrame:
     """(case, id, rank) of expected items. scores: (case, id, s)."""
-    return ranked(scores, ["case"], ties).join(small(expected), ["case", "id"], "left_semi").select("case", "id", "rank")
+    return finished(lambda: ranked(scores, ["case"], ties).join(small(expected), ["case", "id"], "left_semi").select("case", "id", "rank"))
 
 
 def large_enough(members: DataFrame, least: int, by: list[str]) -> DataFrame:
@@ -70,6 +72,10 @@ def fold_scores(sims: DataFrame, members: DataFrame, settings: Settings = DEFAUL
 
 def fold_ranks(sims: DataFrame, members: DataFrame, settings: Settings = DEFAULTS, alpha: float | None = None, ties: bool = False) -> DataFrame:
     """(group, hidden, rank) of every fold."""
+    return finished(lambda: ranks_of_folds(sims, members, settings, alpha, ties))
+
+
+def ranks_of_folds(sims: DataFrame, members: DataFrame, settings: Settings, alpha: float | None, ties: bool) -> DataFrame:
     scores = kept(fold_scores(sims, members, settings, alpha).withColumn("s", F.round("s", 9)))
     own = scores.where("id = hidden").select("group", "hidden", F.col("s").alias("es"))
     above = F.col("s") > F.col("es")
@@ -78,6 +84,19 @@ def fold_ranks(sims: DataFrame, members: DataFrame, settings: Settings = DEFAULT
     return scores.join(F.broadcast(own), ["group", "hidden"]).groupBy("group", "hidden").agg((F.count_if(above) + 1).alias("rank"))
 
 
+def cohort_quality(sims, members: DataFrame, settings: Settings = DEFAULTS, least: int = 5) -> DataFrame:
+    """(median_rank, cohorts): every cohort of at least so many members, each hidden in turn; the mean of their medians. sims: a function of the members that count."""
+    enough = kept(large_enough(members, least, ["group"]))
+    return mean_of_medians(fold_ranks(sims(enough), enough, settings))
+
+
+def mixed_cohort_quality(sims, members: DataFrame, settings: Settings = DEFAULTS, least: int = 6) -> DataFrame:
+    """Measures over pairs of cohorts taken together. members: with side; a pair counts if each of its two sides has at least so many."""
+    sides = members.groupBy("group").agg(F.count_distinct("side").alias("n")).where("n = 2").select("group")
+    enough = kept(large_enough(members.join(small(sides), "group", "left_semi"), least, ["group", "side"]))
+    return measures(fold_ranks(sims(enough), enough.drop("side"), settings))
+
+
 def mean_of_medians(ranks: DataFrame) -> DataFrame:
     """(median_rank, cohorts): every group counts alike."""
     return ranks.groupBy("group").agg(F.median("rank").alias("m")).agg(F.bround(F.avg("m"), 1).alias("median_rank"), F.count("*").alias("cohorts"))
@@ -113,6 +132,10 @@ def tune(items: DataFrame, liked: DataFrame, grid: DataFrame, settings: Settings
     liked: (seed, rating), a profile of settings.max_liked at most; grid: (config, field, weight), every field in every configuration. Configurations are places
     of one array a token, so tokens are shuffled once however many configurations there are. A weight of 0 leaves a field out.
     """
+    return finished(lambda: tuned(items, liked, grid, settings))
+
+
+def tuned(items: DataFrame, liked: DataFrame, grid: DataFrame, settings: Settings) -> DataFrame:
     configs = [r["config"] for r in grid.select("config").distinct().orderBy("config").collect()]
     size = len(configs)
     by_field = grid.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("config", "weight"))).alias("w")).select("field", F.col("w.weight").alias("weights"))
@@ -141,7 +164,7 @@ def tune(items: DataFrame, liked: DataFrame, grid: DataFrame, settings: Settings
     sims = sims.select(F.get(every, F.col("place")).alias("group"), "seed", "id", "s")
     covered = seeds.select("seed", F.posexplode("snorm").alias("place", "norm")).where("norm > 0").select(F.get(every, F.col("place")).alias("group"), "seed")
     members = covered.join(F.broadcast(liked), "seed").select("group", "seed", F.greatest(F.col("rating") - 2.5, F.lit(0.1)).alias("w"), F.lit(True).alias("target"))
-    return measures(fold_ranks(sims, members, settings, alpha=1.0, ties=True), "group").withColumnRenamed("group", "config")
+    return measures(ranks_of_folds(sims, members, settings, 1.0, True), "group").withColumnRenamed("group", "config")
 
 
 # Profiles over a blend ---------------------------------------------------------------------------------
@@ -183,12 +206,18 @@ def profile_fold_ranks(signals: list, items: DataFrame, liked: DataFrame, settin
 
     Liked items that no signal covers say nothing; profiles of fewer than `least` others are left out, and items outside
     the corpus are shown but not hidden. Every signal is standardised within its fold; items that no signal has a say on
-    score 0 and are ranked too. One signal in the list gives that signal's own ranks but for ties.
+    score 0 and are ranked too. A list of one signal is ranked by that signal's own scores.
     """
+    return finished(lambda: ranks_in_blend(signals, items, liked, settings, least))
+
+
+def ranks_in_blend(signals: list, items: DataFrame, liked: DataFrame, settings: Settings, least: int) -> DataFrame:
     weights = settings.weights("reference")
     known = kept(large_enough(liked.join(covered_by_any(signals).withColumnRenamed("id", "seed"), "seed", "left_semi"), least, ["group"]))
-    parts = [(weights[x.name], kept(signal_folds(x, known, settings))) for x in signals if weights[x.name] > 0]
-    scores = combined(parts, by=["group", "hidden"])
+    if len(signals) == 1:
+        scores = signal_folds(signals[0], known, settings)
+    else:
+        scores = combined([(weights[x.name], kept(signal_folds(x, known, settings))) for x in signals if weights[x.name] > 0], by=["group", "hidden"])
     corpus = items.select("id").distinct()
     targets = known.join(corpus.withColumnRenamed("id", "seed"), "seed", "left_semi").select("group", F.col("seed").alias("hidden"))
     if scores is None:
@@ -219,6 +248,13 @@ def frozen_fold_ranks(signal, known: DataFrame, liked: DataFrame, settings: Sett
     return fold_ranks(sims, members, settings, alpha=1.0, ties=True), wider.ids.agg(F.count("*").alias("corpus"))
 
 
+def report(parts: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """(signal, part, n, median_rank, hit_at_10, mrr): a row for each signal and part of an evaluation, null where that part has no such measure. parts: (signal, part, one row of measures)."""
+    names = {"n": "long", "median_rank": "double", "hit_at_10": "double", "mrr": "double"}
+    rows = [df.select(F.lit(signal).alias("signal"), F.lit(part).alias("part"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()]) for signal, part, df in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def best_config(results: DataFrame) -> DataFrame:
     """The first configuration with the highest reciprocal rank."""
     return results.orderBy(F.desc("mrr"), "config").limit(1)

@@ -71,6 +71,40 @@ def merge(fragment: DataFrame, listed: DataFrame, settings: Settings = DEFAULTS)
     return both.where(F.col("place") <= settings.max_liked).select("user", "kind", "place", "source", *side[2:])
 
 
+def built(fragment: DataFrame | None, listed: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame | None:
+    """A profile of votes, of a list, or of both; None where there is neither. Either half may also lack some users."""
+    half = fragment if fragment is not None else listed
+    if half is None:
+        return None
+    none = half.limit(0)
+    columns = ["user", "kind", "item", "title", "year", "rating"]
+    fragment = fragment if fragment is not None else none.select(*columns)
+    listed = listed if listed is not None else none.select(*columns, F.lit(0).cast("long").alias("place"))
+    return merge(fragment, listed, settings)
+
+
+def liked_and_disliked(profile: DataFrame, user) -> tuple[list[tuple[int, float]], list[int]]:
+    """What recommend() takes of a stored profile of one user: liked items with ratings, and disliked ones, in order; items that were not found drop out."""
+    rows = profile.where(F.col("user").eqNullSafe(F.lit(user)) & F.col("item").isNotNull()).orderBy("kind", "place").collect()
+    return [(r["item"], float(r["rating"])) for r in rows if r["kind"] == "liked"], [r["item"] for r in rows if r["kind"] == "disliked"]
+
+
+def warm_summary(films: DataFrame, found: DataFrame, records: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(user, total, resolved, total_films, total_rated, top_genres): what landed of a list that was just linked.
+
+    films: (user, pos, title, year, rating); found: (user, pos, id) of those that were resolved; records: (id, genres).
+    """
+    counts = films.groupBy("user").agg(F.count("*").alias("total_films"), F.count("rating").alias("total_rated"))
+    liked = split_ratings(films, settings).where("kind = 'liked'").select("user", "pos", "place")
+    met = liked.join(found.select("user", "pos", "id"), ["user", "pos"], "left")
+    totals = met.groupBy("user").agg(F.count("*").alias("total"), F.count("id").alias("resolved"))
+    genres = top_genres(met.where("id IS NOT NULL").join(records.select("id", "genres"), "id").select("user", F.col("place").alias("pos"), "genres"))
+    named = genres.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("place", "genre"))).alias("g")).select("user", F.col("g.genre").alias("top_genres"))
+    none = F.array().cast("array<string>")
+    every = counts.join(totals, "user", "left").join(named, "user", "left")
+    return every.select("user", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("resolved", F.lit(0)).alias("resolved"), "total_films", "total_rated", F.coalesce("top_genres", none).alias("top_genres"))
+
+
 def top_genres(liked: DataFrame, n: int = 3) -> DataFrame:
     """(user, place, genre, n): commonest genres of a profile, ties by first appearance. liked: (user, pos, genres)."""
     each = liked.select("user", "pos", F.posexplode("genres").alias("gpos", "genre"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
 from vespertide.operators.blend import query_scores, reference_scores, taste_scores
-from vespertide.operators.common import kept, literal_rows, small, standardised, with_one_row
+from vespertide.operators.common import finished, kept, literal_rows, small, standardised, with_one_row
 from vespertide.operators.titles import best_matches  # noqa: F401  (part of this module's interface)
 from vespertide.settings import DEFAULTS, Settings
 
 NO_STRINGS = "array<string>"
+SHARDS = 32
 
 
 def strings(values: list[str] | None) -> Column:
@@ -91,19 +92,24 @@ def seated(scored: DataFrame, top_n: int) -> DataFrame:
     named = F.coalesce(F.col("collection"), F.lit("")) != ""
     # Items without a collection stand each for themselves, so they are no group.
     group = F.when(named, F.col("collection")).otherwise(F.concat(F.lit("\x00"), F.col("id").cast("string")))
-    nth = F.row_number().over(W.partitionBy(group).orderBy(F.desc("z"), "id"))
-    # In a collection only its first top_n can ever be seated.
-    within = scored.withColumn("nth", nth).where(F.col("nth") <= top_n)
+    # In a collection only its first top_n can ever be seated: those of each of its shards first, so no task orders a large collection.
+    shard = F.pmod(F.xxhash64("id"), F.lit(SHARDS))
+    some = scored.withColumn("nth", F.row_number().over(W.partitionBy(group, shard).orderBy(F.desc("z"), "id"))).where(F.col("nth") <= top_n)
+    within = some.withColumn("nth", F.row_number().over(W.partitionBy(group).orderBy(F.desc("z"), "id"))).where(F.col("nth") <= top_n)
     best = within.orderBy(F.col("nth") > 1, F.desc("z"), "id").limit(top_n)
     return best.withColumn("place", F.row_number().over(W.orderBy(F.col("nth") > 1, F.desc("z"), "id"))).drop("nth")
 
 
-def recommend(items: DataFrame, signals: list, *, liked: list[tuple[int, float]] | None = None, disliked: list[int] | None = None, references: list[int] | None = None, keywords: list[str] | None = None, text: str = "", genres: list[str] | None = None, watched: DataFrame | None = None, mode_genre: str = "Documentary", never: str = "TV Movie", min_z: float | None = None, top_n: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def recommend(items: DataFrame, signals: list, **request) -> DataFrame:
     """(place, id, title, collection, z, why), best first.
 
     Named items lead and mute text and keywords; without them text and keywords lead; taste comes in
-    beside either. Dislikes only exclude.
+    beside either. Dislikes only exclude. items should be a stored table; request: as for made().
     """
+    return finished(lambda: made(items, signals, **request))
+
+
+def made(items: DataFrame, signals: list, *, liked: list[tuple[int, float]] | None = None, disliked: list[int] | None = None, references: list[int] | None = None, keywords: list[str] | None = None, text: str = "", genres: list[str] | None = None, watched: DataFrame | None = None, mode_genre: str = "Documentary", never: str = "TV Movie", min_z: float | None = None, top_n: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     spark = items.sparkSession
     liked, disliked, references = liked or [], (disliked or [])[:15], references or []
     min_z = settings.min_z if min_z is None else min_z
@@ -112,7 +118,7 @@ def recommend(items: DataFrame, signals: list, *, liked: list[tuple[int, float]]
     if not (liked or references or keywords or text):
         return nothing
     # Texts aren't ranked by, so they don't travel.
-    items = kept(items.drop("overview"))
+    items = items.drop("overview")
     seeds = literal_rows(spark, [(i,) for i in references], "seed long")
     tastes = literal_rows(spark, [(i, float(r)) for i, r in liked[: settings.max_liked]], "seed long, rating double")
     intent, weight = (reference_scores(signals, seeds, settings), settings.reference_weight) if references else (None, settings.query_weight)
@@ -152,7 +158,7 @@ def answer(items: DataFrame, signals: list, edges: DataFrame, *, genres: list[st
 
     A request without genres ends with an empty answer. request: as for recommend.
     """
-    picks = kept(recommend(items, signals, genres=genres, watched=watched, settings=settings, **request).select(*PICK[:-1], F.lit("ranked").alias("how")))
+    picks = recommend(items, signals, genres=genres, watched=watched, settings=settings, **request).select(*PICK[:-1], F.lit("ranked").alias("how"))
     if not picks.isEmpty():
         return picks
     order = lambda found, by, how: found.withColumn("place", F.row_number().over(W.orderBy(F.desc(by), "id"))).select(*PICK[:-1], F.lit(how).alias("how"))
@@ -221,6 +227,26 @@ def unambiguous(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
 
 
+def ask_or_proceed(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(request, action, missing): "ask" where a request names items and none of them was found, else "proceed"; missing: the names not found, in order.
+
+    asked: (request, pos, name), name null for a request that names nothing; found: (request, name) of what was resolved. Names compare without case.
+    """
+    key = lambda c: F.lower(F.col(c))
+    have = found.select("request", key("name").alias("__key"), F.lit(True).alias("__found")).distinct()
+    marked = asked.withColumn("__key", key("name")).join(have, ["request", "__key"], "left")
+    lost = F.col("name").isNotNull() & F.col("__found").isNull()
+    sums = marked.groupBy("request").agg(F.count_if(lost).alias("lost"), F.count_if("__found").alias("met"), F.array_sort(F.collect_list(F.when(lost, F.struct("pos", "name")))).alias("names"))
+    action = F.when((F.col("lost") > 0) & (F.col("met") == 0), "ask").otherwise("proceed")
+    return sums.select("request", action.alias("action"), F.col("names.name").alias("missing"))
+
+
+def shortlist_lines(picks: DataFrame) -> DataFrame:
+    """(place, line): a shortlist as it is put to a reranker: number from 0, title, year, why, and the beginning of the plot. picks: (place, title, year, why_line, overview)."""
+    line = F.format_string("[%d] %s (%s)\n     match: %s\n     plot: %s", F.col("place") - 1, F.col("title"), F.substring(F.coalesce("year", F.lit("")), 1, 4), F.col("why_line"), F.substring(F.coalesce("overview", F.lit("")), 1, 200))
+    return picks.select("place", line.alias("line"))
+
+
 def guarded_intent(intents: DataFrame) -> DataFrame:
     """Intents with empty entries removed; "recommend" without anything to go by becomes "unclear"."""
     names = ["genres", "keywords", "reference_titles"]

@@ -191,6 +191,21 @@ def encoded_signal(name: str, docs: DataFrame, encoder: Encoder | int) -> DenseS
     return DenseSignal(name, kept(encoded(docs, encoder)), query_encoder(encoder))
 
 
+def linked_ratings(ratings: DataFrame, links: DataFrame, items: DataFrame) -> DataFrame:
+    """(user, item, rating) of rated things that are items: rating ids lead to items by links, and both sides of a link count once.
+
+    ratings: (user, rated, rating); links: (rated, id), id null where there is no link; of several links of one rated thing the smallest id counts.
+    """
+    once = links.where("id IS NOT NULL").groupBy("rated").agg(F.min("id").alias("item"))
+    known = once.join(items.select(F.col("id").alias("item")), "item", "left_semi")
+    return ratings.join(small(known), "rated").select("user", "item", "rating")
+
+
+def covered_profile(signal, liked: DataFrame) -> DataFrame:
+    """liked without the items the signal has no vector of, and so without their ratings: what is left is rated in full."""
+    return liked.join(signal.covered().withColumnRenamed("id", "seed"), "seed", "left_semi")
+
+
 def collab_matrix(ratings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(item, user, v) of strong ratings, 1 to 2; a pair given twice adds up."""
     span = max(5.0 - settings.collab_min_rating, 0.5)

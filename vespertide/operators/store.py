@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,21 @@ def lookup_many(records: DataFrame, keys: list, column: str = "id") -> DataFrame
     return records.where(is_current()).join(F.broadcast(wanted), column)
 
 
-def not_stored(asked: DataFrame, records: DataFrame, column: str = "id") -> DataFrame:
-    """Keys to fetch: those that no record has yet."""
-    return asked.join(records.select(column), column, "left_anti")
+def not_stored(asked: DataFrame, records: DataFrame, column: str = "id", refresh: bool = False) -> DataFrame:
+    """Keys to fetch, each once: those that no current record has, or all of them to refresh what is stored."""
+    wanted = asked.select(column).distinct()
+    return wanted if refresh else wanted.join(records.where(is_current()).select(column), column, "left_anti")
+
+
+def filled(asked: DataFrame, records: DataFrame, fetch: Callable[[DataFrame], DataFrame], column: str = "id", refresh: bool = False) -> DataFrame:
+    """Current records of the asked keys, in the order they were first asked for: stored ones, and what fetch(keys) gives for the others.
+
+    asked: (column, position). What can't be fetched drops out; a fetched record stands before a stored one of its key.
+    """
+    wanted = first_seen(asked, column, "position")
+    new = fetch(not_stored(asked, records, column, refresh))
+    stored = records.where(is_current()).join(new.select(column), column, "left_anti")
+    return stored.unionByName(new.select(*records.columns)).join(small(wanted), column)
 
 
 def upsert(log: DataFrame, keys: list[str], values: list[str], *order: str) -> DataFrame:
@@ -41,7 +55,10 @@ def upsert(log: DataFrame, keys: list[str], values: list[str], *order: str) -> D
 def cached_search(requests: DataFrame, searches: DataFrame, version: int = DEFAULTS.search_version) -> DataFrame:
     """(hit, item_id) of each request: a stored miss is a hit without an id, which is not the same as no row."""
     key = [T.title_key(F.col("query")).alias("query_key"), F.coalesce("year", F.lit("")).alias("year_key")]
-    known = searches.where(F.col("_v") == version).select(*key, "item_id", F.lit(True).alias("hit")).dropDuplicates(["query_key", "year_key"])
+    # A search that was stored again counts as it was stored last, or by the smallest id where no time is kept.
+    when = F.col("searched_at") if "searched_at" in searches.columns else F.lit(0)
+    said = searches.where(F.col("_v") == version).select(*key, "item_id", F.struct(when.alias("at"), (-F.col("item_id")).alias("least")).alias("__at"))
+    known = said.groupBy("query_key", "year_key").agg(F.max_by(F.struct("item_id"), "__at").alias("r")).select("query_key", "year_key", "r.item_id", F.lit(True).alias("hit"))
     return requests.select("*", *key).join(small(known), ["query_key", "year_key"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 

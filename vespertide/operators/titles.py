@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators.common import kept, small
+from vespertide.operators.common import finished, kept, small
 from vespertide.settings import DEFAULTS
 
 GRAM = 3
@@ -99,7 +99,7 @@ def best_of(scored: DataFrame, least: float) -> DataFrame:
 
 def best_matches(requests: DataFrame, candidates: DataFrame, least: float = DEFAULTS.min_search_score) -> DataFrame:
     """The best candidate of each request, if it is good enough. requests: (request, want_title, want_year), request once each; candidates: as for TitleIndex."""
-    return best_of(TitleIndex(candidates).scored(requests), least)
+    return finished(lambda: best_of(TitleIndex(candidates).scored(requests), least))
 
 
 def searched(requests: DataFrame, candidates: DataFrame, per_search: int = PER_SEARCH, least: float = DEFAULTS.min_search_score) -> DataFrame:
@@ -107,6 +107,10 @@ def searched(requests: DataFrame, candidates: DataFrame, per_search: int = PER_S
 
     A search lists titles by how well they fit, whatever the year, the most voted first among equal ones.
     """
+    return finished(lambda: found_by_searches(requests, candidates, per_search, least))
+
+
+def found_by_searches(requests: DataFrame, candidates: DataFrame, per_search: int, least: float) -> DataFrame:
     index = TitleIndex(candidates)
     scored = kept(index.scored(requests).withColumn("fit", title_score()))
     order = F.struct(-F.col("fit"), -F.coalesce("votes", F.lit(0)), F.col("id"))

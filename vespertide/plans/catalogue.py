@@ -59,15 +59,16 @@ def semantic(spark, sf):
 
 
 def both_signals(spark, sf):
-    return [metadata(spark, sf), semantic(spark, sf)]
+    return blend.assembled([metadata(spark, sf), semantic(spark, sf)])
 
 
 # Store and scans ---------------------------------------------------------------------------------------
 
 
-@register("scan_current_items", statement("SELECT id, title, year, decade, array_to_string(genres, ',') AS genres, array_to_string(keywords, ',') AS keywords, collection FROM c_items"))
+@register("scan_current_items", statement("SELECT id, title, year, decade, array_to_string(genres, ',') AS genres, array_to_string(keywords, ',') AS keywords, collection FROM c_versions WHERE _v = 2 AND len(genres) > 0"))
 def scan_current_items(spark, sf):
-    return tables.items(spark, sf).select("id", "title", "year", "decade", F.array_join("genres", ",").alias("genres"), F.array_join("keywords", ",").alias("keywords"), "collection")
+    current = tables.records(spark, sf, tables.STALE_EVERY).where(store.is_current() & (F.size("genres") > 0))
+    return current.select("id", "title", "year", "decade", F.array_join("genres", ",").alias("genres"), F.array_join("keywords", ",").alias("keywords"), "collection")
 
 
 @register("stale_items", statement("SELECT id FROM c_versions WHERE _v <> 2"))
@@ -94,10 +95,26 @@ def bulk_lookup_ordered(spark, sf):
     return numbered(found, ["g"], F.col("position")).select(F.col("place").cast("long").alias("place"), "id", "title")
 
 
-@register("fetch_plan", statement("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM c_items)"))
+@register("fetch_plan", statement("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM c_versions WHERE _v = 2)"))
 def fetch_plan(spark, sf):
-    asked = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return store.not_stored(asked, tables.items(spark, sf))
+    asked = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return store.not_stored(asked, tables.records(spark, sf, tables.STALE_EVERY))
+
+
+@register("fetch_plan_refresh", "SELECT DISTINCT doc_id AS id FROM labels")
+def fetch_plan_refresh(spark, sf):
+    asked = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return store.not_stored(asked, tables.records(spark, sf, tables.STALE_EVERY), refresh=True)
+
+
+@register("bulk_lookup_filled", statement("SELECT id, title, _v, doc_id IS NOT NULL AND id % 7 = 0 AS fetched FROM (SELECT id, title, 2 AS _v FROM c_records) JOIN (SELECT DISTINCT doc_id FROM labels) ON id = doc_id"))
+def bulk_lookup_filled(spark, sf):
+    """Labelled items from the store, with those it lacks or has in an older version fetched and put beside them."""
+    stored = tables.records(spark, sf, tables.STALE_EVERY).select("_v", "id", "title")
+    current = tables.records(spark, sf).select("_v", "id", "title")
+    asked = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"))
+    got = store.filled(asked, stored, lambda keys: current.join(keys, "id", "left_semi"))
+    return got.select("id", "title", "_v", (F.pmod("id", F.lit(tables.STALE_EVERY)) == 0).alias("fetched"))
 
 
 @register("known_ids", statement("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IN (SELECT id FROM c_items)"))
@@ -208,14 +225,19 @@ def rating_label(spark, sf):
     return tables.items(spark, sf).select("id", T.rating_label(F.col("vote_count"), F.col("vote_average")).alias("label"))
 
 
-INTENTS = ['{"intent":"recommend","genres":["en"],"keywords":["N/A",""],"reference_titles":null}', '{"intent":"recommend","genres":[" "],"keywords":["n/a"]}', '{"intent":"chat","reply":"hi"}', "not json", '{"intent":"recommend","reference_titles":["Small Ring"]}']
+#: What an answer of a model can look like, by event_id modulo 5; the type of the event stands for its words.
+INTENT_TEXTS = ['{"intent":"recommend","genres":["<t>"],"keywords":["N/A",""],"reference_titles":null}', '{"intent":"recommend","genres":[" "],"keywords":["n/a"]}', '{"intent":"chat","reply":"<t>"}', "not json <t>", '{"intent":"recommend","reference_titles":["<t>"," "],"keywords":["dark","<t>"]}']
 
 
-@register("intent_parse", rows_sql([(0, "recommend", "en", "", ""), (1, "unclear", "", "", ""), (2, "chat", "", "", ""), (3, None, "", "", ""), (4, "recommend", "", "", "Small Ring")], "n", "intent", "genres", "keywords", "reference_titles"))
+@register(
+    "intent_parse",
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'recommend' WHEN 1 THEN 'unclear' WHEN 2 THEN 'chat' WHEN 4 THEN 'recommend' END AS intent, CASE WHEN event_id % 5 = 0 THEN event_type ELSE '' END AS genres, CASE WHEN event_id % 5 = 4 THEN 'dark|' || event_type ELSE '' END AS keywords, CASE WHEN event_id % 5 = 4 THEN event_type ELSE '' END AS reference_titles FROM events",
+)
 def intent_parse(spark, sf):
-    raw = literal_rows(spark, list(enumerate(INTENTS)), "n int, raw string")
-    parsed = raw.select("n", F.from_json("raw", "intent string, genres array<string>, keywords array<string>, reference_titles array<string>").alias("i")).select("n", "i.*")
-    return recommend.guarded_intent(parsed).select("n", "intent", *[F.array_join(c, "|").alias(c) for c in ("genres", "keywords", "reference_titles")])
+    texts = F.array(*map(F.lit, INTENT_TEXTS))
+    raw = tables.table(spark, sf, "events").select("event_id", F.replace(F.get(texts, F.pmod("event_id", F.lit(5)).cast("int")), F.lit("<t>"), F.col("event_type")).alias("raw"))
+    parsed = raw.select("event_id", F.from_json("raw", "intent string, genres array<string>, keywords array<string>, reference_titles array<string>").alias("i")).select("event_id", "i.*")
+    return recommend.guarded_intent(parsed).select("event_id", "intent", *[F.array_join(c, "|").alias(c) for c in ("genres", "keywords", "reference_titles")])
 
 
 @register("vote_callback_parse", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN -1 END AS verdict, CASE WHEN event_type IN ('purchase', 'error') THEN event_id END AS item FROM events")
@@ -743,7 +765,7 @@ LOO_CTES = {
     "o_score": "SELECT grp, hidden, id, round(0.5 * along / len + 0.5 * best, 9) AS s FROM o_sum JOIN o_top USING (grp, hidden, id) JOIN o_len USING (grp, hidden)",
     "o_rank": "SELECT a.grp AS grp, a.hidden AS hidden, count(*) FILTER (WHERE a.s > o.s) + 1 AS rank FROM o_score a JOIN o_score o ON o.grp = a.grp AND o.hidden = a.hidden AND o.id = o.hidden GROUP BY ALL",
 }
-COHORT_SQL = {**LOO_CTES, "o_mem": f"SELECT label AS grp, id, n <= 8 AS target FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM c_vec) WHERE label < {COHORTS} AND n <= 25"}
+COHORT_SQL = {**LOO_CTES, "o_mem": f"SELECT label AS grp, id, n <= 8 AS target FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM c_vec) WHERE label < {COHORTS} AND n <= 25 AND label IN (SELECT label FROM c_vec GROUP BY label HAVING count(*) >= 5)"}
 
 
 def cohort_members(spark, sf, targets: int = 8, size: int = 25) -> DataFrame:
@@ -761,7 +783,8 @@ def member_sims(signal, members: DataFrame) -> DataFrame:
 @register("eval_cohort_loo", statement("SELECT round_even(avg(m), 1) AS median_rank, count(*) AS cohorts FROM (SELECT grp, median(rank) AS m FROM o_rank GROUP BY grp)", **COHORT_SQL))
 def eval_cohort_loo(spark, sf):
     members = cohort_members(spark, sf)
-    return evaluate.mean_of_medians(evaluate.fold_ranks(member_sims(semantic(spark, sf), members), members))
+    signal = semantic(spark, sf)
+    return evaluate.cohort_quality(lambda m: member_sims(signal, m), members)
 
 
 MIXED_SQL = {**LOO_CTES, "o_mem": "SELECT label // 2 AS grp, id, n <= 8 AS target FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM c_vec) WHERE label < 6 AND n <= 25"}
@@ -769,8 +792,9 @@ MIXED_SQL = {**LOO_CTES, "o_mem": "SELECT label // 2 AS grp, id, n <= 8 AS targe
 
 @register("eval_mixed_loo", statement("SELECT count(*) AS n, round_even(median(rank), 1) AS median_rank, round_even(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 3) AS hit_at_10 FROM o_rank", **MIXED_SQL))
 def eval_mixed_loo(spark, sf):
-    members = cohort_members(spark, sf).where("group < 6").withColumn("group", F.floor(F.col("group") / 2))
-    return evaluate.measures(evaluate.fold_ranks(member_sims(semantic(spark, sf), members), members)).select("n", "median_rank", "hit_at_10")
+    members = cohort_members(spark, sf).where("group < 6").withColumn("side", F.pmod("group", F.lit(2))).withColumn("group", F.floor(F.col("group") / 2))
+    signal = semantic(spark, sf)
+    return evaluate.mixed_cohort_quality(lambda m: member_sims(signal, m), members).select("n", "median_rank", "hit_at_10")
 
 
 @register("sanity_cohorts", statement("SELECT grp AS cohort, count(*) AS n, round_even(median(rank), 1) AS median_rank, (SELECT count(*) FROM c_vec) // 2 AS random_rank FROM o_rank GROUP BY grp", **{k: v.replace("0.5 * along / len + 0.5 * best", "along / len") for k, v in COHORT_SQL.items()}))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from vespertide.functions import text as T
-from vespertide.operators import blend, evaluate, factors, profile, ranks, recommend, signals, store, titles
+from vespertide.operators import blend, evaluate, factors, ranks, signals, titles
 from vespertide.operators.common import literal_rows, shared_folder
 from vespertide.operators.encode import hashing
 from vespertide.operators.keyed import KeyedTable
-from vespertide.plans.catalogue import KEYWORD_CTES, KEYWORDS, MEASURES_SQL, REQUESTS, both_signals, films, metadata, q6, register, rows_sql
+from vespertide.plans.catalogue import KEYWORD_CTES, KEYWORDS, MEASURES_SQL, ORACLE_SQL, REQUESTS, both_signals, eval_cohort_loo, eval_mixed_loo, metadata, q6, register, rows_sql, semantic
 from vespertide.plans.oracle import blended, dense, sims, statement, z
-from vespertide.plans.requests import HASHED_SIZE, LISTED, listed
-from vespertide.settings import DEFAULTS
+from vespertide.plans.requests import HASHED_SIZE
 from vespertide.sources import files, tables
 
 # Factors -----------------------------------------------------------------------------------------------
@@ -100,6 +97,37 @@ def profile_blend_loo(spark, sf):
     return evaluate.measures(evaluate.profile_fold_ranks(both_signals(spark, sf), tables.items(spark, sf), rated_profile(spark)))
 
 
+def own_folds(n: int, covered: str) -> dict[str, str]:
+    """FOLD_CTES for one signal alone, by its own scores."""
+    used = {k: v for k, v in FOLD_CTES.items() if k[:2] in ("b_", f"a{n}", f"f{n}")}
+    return {**used, "b_liked": f"SELECT * FROM b_all WHERE seed IN (SELECT id FROM {covered})", "b_s": f"SELECT hidden, id, round(s, 9) AS s FROM f{n}_s"}
+
+
+@register("profile_semantic_loo_ranks", statement("SELECT hidden, rank FROM b_rank", **own_folds(2, "c_vec")))
+def profile_semantic_loo_ranks(spark, sf):
+    found = evaluate.profile_fold_ranks([semantic(spark, sf)], tables.items(spark, sf), rated_profile(spark))
+    return found.select("hidden", F.col("rank").cast("long").alias("rank"))
+
+
+@register("profile_metadata_loo", statement(f"SELECT {MEASURES_SQL} FROM b_rank", **own_folds(1, "c_mids")))
+def profile_metadata_loo(spark, sf):
+    return evaluate.measures(evaluate.profile_fold_ranks([metadata(spark, sf)], tables.items(spark, sf), rated_profile(spark)))
+
+
+PROFILE_ROW = f"SELECT n, CAST(median_rank AS DOUBLE) AS median_rank, CAST(hit_at_10 AS DOUBLE) AS hit_at_10, CAST(mrr AS DOUBLE) AS mrr FROM (SELECT {MEASURES_SQL} FROM b_rank)"
+
+
+@register(
+    "eval_report",
+    "SELECT 'blend' AS signal, 'profile' AS part, * FROM (" + statement(PROFILE_ROW, **FOLD_CTES) + ") UNION ALL SELECT 'metadata', 'profile', * FROM (" + statement(PROFILE_ROW, **own_folds(1, "c_mids")) + ") UNION ALL SELECT 'semantic', 'profile', * FROM (" + statement(PROFILE_ROW, **own_folds(2, "c_vec"))
+    + ") UNION ALL SELECT 'semantic', 'cohort', NULL, CAST(median_rank AS DOUBLE), NULL, NULL FROM (" + ORACLE_SQL["eval_cohort_loo"] + ") UNION ALL SELECT 'semantic', 'mixed', n, CAST(median_rank AS DOUBLE), CAST(hit_at_10 AS DOUBLE), NULL FROM (" + ORACLE_SQL["eval_mixed_loo"] + ")",
+)
+def eval_report(spark, sf):
+    """What an evaluation prints: a row for each signal and each way of asking."""
+    parts = [("blend", "profile", profile_blend_loo(spark, sf)), ("metadata", "profile", profile_metadata_loo(spark, sf)), ("semantic", "profile", evaluate.measures(profile_semantic_loo_ranks(spark, sf)))]
+    return evaluate.report([*parts, ("semantic", "cohort", eval_cohort_loo(spark, sf)), ("semantic", "mixed", eval_mixed_loo(spark, sf))])
+
+
 #: Liked items that came after the fit, and others from the corpus.
 LATE, AFTER = 1_000_000_000, [12, 45]
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators import evaluate, profile, ranks, recommend, signals
+from vespertide.operators import blend, evaluate, profile, ranks, recommend, signals
 from vespertide.operators.common import literal_rows
-from vespertide.plans.catalogue import COHORT_SQL, KEYWORDS, MEASURES_SQL, NAMED, ORACLE_SQL, both_signals, cohort_members, member_sims, metadata, q6, register, rows_sql, semantic
+from vespertide.plans.catalogue import COHORT_SQL, DISLIKED, KEYWORDS, LIKED, MEASURES_SQL, MODE, NAMED, NEVER, ORACLE_SQL, QUERY_CTES, WHY_SQL, both_signals, cohort_members, member_sims, metadata, q6, ranked, ranking_sql, register, rows_sql, semantic
 from vespertide.plans.oracle import statement
 from vespertide.sources import tables
 
@@ -33,11 +33,32 @@ def answer_browse(spark, sf):
     return got.select(F.col("place").cast("long").alias("place"), "id", "how")
 
 
-@register("reference_uncovered", statement("SELECT count(*) AS picks FROM c_items WHERE false"))
+@register("answer_ranked", "SELECT place, id, 'ranked' AS how FROM (" + ORACLE_SQL["recommend_reference"] + ")")
+def answer_ranked(spark, sf):
+    got = recommend.answer(tables.items(spark, sf), both_signals(spark, sf), tables.edges(spark, sf), liked=LIKED, disliked=DISLIKED, references=NAMED, mode_genre=MODE, never=NEVER, min_z=0.5)
+    return got.select(F.col("place").cast("long").alias("place"), "id", "how")
+
+
+def uncovered_item(spark, sf) -> int:
+    """The first item that no signal covers, or one from outside where all are covered."""
+    found = tables.items(spark, sf).join(blend.covered_by_any(both_signals(spark, sf)), "id", "left_anti").agg(F.min("id").alias("id")).first()["id"]
+    return OUTSIDE if found is None else found
+
+
+@register(
+    "reference_uncovered",
+    ranking_sql(
+        "q_s", "id <> (SELECT coalesce(min(id), -1) FROM u_item) AND ((SELECT count(*) FROM c_items JOIN q_s USING (id) WHERE NOT list_contains(genres, 'es') AND list_contains(genres, 'de') = u_mode.has) < 10 OR (NOT list_contains(genres, 'es') AND list_contains(genres, 'de') = u_mode.has))", "(SELECT * FROM w_line, u_mode) ", 1.0, "line <> ''",
+        **QUERY_CTES,
+        **{**WHY_SQL, "w_src": "SELECT * FROM c_items WHERE id IN (SELECT id FROM u_item)"},
+        u_item="SELECT min(id) AS id FROM c_items WHERE id NOT IN (SELECT id FROM c_covered)",
+        u_mode="SELECT coalesce(bool_or(list_contains(genres, 'de')), false) AS has FROM c_items WHERE id IN (SELECT id FROM u_item)",
+    ).replace("u_mode.has", "i.has"),
+)
 def reference_uncovered(spark, sf):
-    """A named item that no signal covers and nothing else asked for: no picks, and no failure."""
-    got = recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), references=[OUTSIDE])
-    return got.agg(F.count("*").alias("picks"))
+    """A named item that no signal covers, with keywords beside it: the keywords lead, the item gives reasons and its mode."""
+    got = recommend.recommend(tables.items(spark, sf), both_signals(spark, sf), references=[uncovered_item(spark, sf)], keywords=KEYWORDS, mode_genre=MODE, never=NEVER, min_z=1.0)
+    return ranked(got)
 
 
 # Lists and profiles ------------------------------------------------------------------------------------

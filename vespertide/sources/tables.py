@@ -69,10 +69,14 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str, per_item: int = EDGES_PER_ITEM) -> DataFrame:
-    """(src, dst, rank): what was ordered together, most often first, ranks from 0."""
-    a = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).distinct()
+    """(src, dst, rank): what was ordered together, most often first, ranks from 0. Made once and saved."""
+    return saved(spark, "edges", [f"{sf_dir}/lineitem.parquet"], lambda: ordered_together(table(spark, sf_dir, "lineitem"), per_item), [per_item])
+
+
+def ordered_together(lines: DataFrame, per_item: int) -> DataFrame:
+    a = lines.select("l_orderkey", F.col("l_partkey").alias("src")).distinct()
     b = a.select("l_orderkey", F.col("src").alias("dst"))
-    # An order has a handful of lines, so the pairs of an order stay few.
+    # Pairs of an order are what is counted, so their number is that of its lines squared; orders have a handful.
     pairs = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst"))
     return pairs.withColumn("rank", place - 1).where(F.col("rank") < per_item).select("src", "dst", "rank")

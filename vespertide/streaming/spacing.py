@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vespertide.operators.common import dropped, kept, small
+from vespertide.operators.common import finished, kept, small
 from vespertide.operators.ranks import dealt
 
 NODE = ["user_id", "part", "t"]
@@ -70,6 +70,10 @@ def chains(entered: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
 
 def accepted_times(times: DataFrame, gap: int) -> DataFrame:
     """(user_id, t) of what is accepted. times: (user_id, t), whole numbers, each once and none null."""
+    return finished(lambda: followed(times, gap))
+
+
+def followed(times: DataFrame, gap: int) -> DataFrame:
     points = kept(pointers(times, gap))
     shape = "user_id long, part int, t long, to_part int, to_t long"
     leaves = kept(points.groupBy("user_id", "part").applyInPandas(transitions, shape))
@@ -84,8 +88,6 @@ def accepted_times(times: DataFrame, gap: int) -> DataFrame:
         more = kept(reached.unionByName(further).distinct())
         again = step.select("user_id", F.col("part").alias("to_part"), F.col("t").alias("to_t"), F.col("to_part").alias("p"), F.col("to_t").alias("x"))
         twice = kept(step.join(again, ["user_id", "to_part", "to_t"]).select(*NODE, F.col("p").alias("to_part"), F.col("x").alias("to_t")))
-        dropped(reached)
-        dropped(step)
         reached, step = more, twice
     marked = reached.groupBy("user_id", "part").cogroup(points.groupBy("user_id", "part")).applyInPandas(chains, "user_id long, part int, t long")
     return marked.select("user_id", "t")
