@@ -40,8 +40,8 @@ def answer_ranked(spark, sf):
 
 
 def uncovered_item(spark, sf) -> int:
-    """The first item that no signal covers, or one from outside where all are covered."""
-    found = tables.items(spark, sf).join(blend.covered_by_any(both_signals(spark, sf)), "id", "left_anti").agg(F.min("id").alias("id")).first()["id"]
+    """The first item that no signal covers and that may be picked by its genre, or one from outside where there is none."""
+    found = tables.items(spark, sf).where(~F.array_contains("genres", NEVER)).join(blend.covered_by_any(both_signals(spark, sf)), "id", "left_anti").agg(F.min("id").alias("id")).first()["id"]
     return OUTSIDE if found is None else found
 
 
@@ -51,7 +51,7 @@ def uncovered_item(spark, sf) -> int:
         "q_s", "id <> (SELECT coalesce(min(id), -1) FROM u_item) AND ((SELECT count(*) FROM c_items JOIN q_s USING (id) WHERE NOT list_contains(genres, 'es') AND list_contains(genres, 'de') = u_mode.has) < 10 OR (NOT list_contains(genres, 'es') AND list_contains(genres, 'de') = u_mode.has))", "(SELECT * FROM w_line, u_mode) ", 1.0, "line <> ''",
         **QUERY_CTES,
         **{**WHY_SQL, "w_src": "SELECT * FROM c_items WHERE id IN (SELECT id FROM u_item)"},
-        u_item="SELECT min(id) AS id FROM c_items WHERE id NOT IN (SELECT id FROM c_covered)",
+        u_item="SELECT min(id) AS id FROM c_items WHERE id NOT IN (SELECT id FROM c_covered) AND NOT list_contains(genres, 'es')",
         u_mode="SELECT coalesce(bool_or(list_contains(genres, 'de')), false) AS has FROM c_items WHERE id IN (SELECT id FROM u_item)",
     ).replace("u_mode.has", "i.has"),
 )
