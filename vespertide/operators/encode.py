@@ -47,7 +47,7 @@ def encoded(docs: DataFrame, encoder: Encoder, batch: int = BATCH_TEXTS) -> Data
                 part = rows.iloc[begin : begin + batch]
                 vectors = encoder.encode(part["document"].tolist())
                 there = np.isfinite(vectors).all(axis=1) & vectors.any(axis=1)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[there], "vec": list(unit(vectors[there]))})
+                yield pd.DataFrame({"id": part["id"].to_numpy()[there], "vec": pd.Series(list(unit(vectors[there])), dtype=object)})
 
     said = docs.where(F.trim(F.coalesce("document", F.lit(""))) != "").select("id", "document")
     return said.mapInPandas(each, "id long, vec array<double>")

@@ -42,13 +42,13 @@ def gaussian(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 def frame(ids, matrix: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"id": ids, "vec": list(matrix)})
+    return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "vec": pd.Series(list(matrix), dtype=object)})
 
 
 def random_directions(ids: DataFrame, width: int, seed: int) -> DataFrame:
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield frame(b["id"], gaussian(b["id"].to_numpy(), width, seed))
+            yield frame(b["id"].to_numpy(), gaussian(b["id"].to_numpy(), width, seed))
 
     return ids.mapInPandas(drawn, DENSE)
 
@@ -155,7 +155,7 @@ def mapped(dense: DataFrame, right: np.ndarray) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not b.empty:
-                yield frame(b["id"], np.stack(b["vec"].to_numpy()) @ right)
+                yield frame(b["id"].to_numpy(), np.stack(b["vec"].to_numpy()) @ right)
 
     return dense.mapInPandas(each, DENSE)
 
