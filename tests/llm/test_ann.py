@@ -57,8 +57,9 @@ def test_recall_over_many_leaves_and_shards(spark, monkeypatch):
     rows += [(i, rows[0][1]) for i in range(10_000, 11_000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(rows, 10, 10)
-    for leaf_rows, in_leaf in ((128, 8), (100, 400)):
+    for leaf_rows, in_leaf, block in ((128, 8, 20_000), (100, 400, 20_000), (128, 8, 3)):
         monkeypatch.setattr(ann, "LEAF_ROWS", leaf_rows)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", block)
         monkeypatch.setattr(ann, "SAMPLE_IN_LEAF", in_leaf)
         got = {}
         for r in nearest(df, "vec_id", "embedding", is_query()).collect():

@@ -289,13 +289,18 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = NE
     salt = F.array(*[F.lit(i) for i in range(SALTS)])
     salted = asked_ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     asked = materialize(salted.join(unique.select("v", "query_class", F.explode(salt).alias("salt")), ["v", "salt"]).select("id", "query_class", "salt"), "queries")
-    blocks = max(1, math.ceil(unique.count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_class"), F.lit(blocks))
     one_of = F.pmod(F.xxhash64("class", F.lit("shard")), shards)
-    dealt = data.withColumn("shard", one_of).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(queries: DataFrame) -> DataFrame:
+        # A leaf's rows are copied once for each block of queries that it has itself, so mostly not at all, and those of a leaf without queries don't travel.
+        waiting = {r["leaf"]: math.ceil(r["rows"] / QUERY_BLOCK) for r in queries.groupBy("leaf").agg(F.count("*").alias("rows")).collect()}
+        if not waiting:
+            return spark.createDataFrame([], FOUND)
+        blocks = F.try_element_at(F.create_map(*[F.lit(x) for pair in waiting.items() for x in pair]), F.col("leaf"))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
+        dealt = data.where(blocks.isNotNull()).withColumn("shard", one_of).withColumn("block", copies)
         each = F.explode(F.sequence(F.lit(0).cast("long"), shards.cast("long") - 1)).alias("shard")
+        block = F.pmod(F.xxhash64("query_class"), blocks).cast("long")
         asked_in = queries.where(shards.isNotNull()).select("leaf", "query_class", "v", "bound", block.alias("block"), each)
         by = ["leaf", "shard", "block"]
         return dealt.groupBy(*by).cogroup(asked_in.groupBy(*by)).applyInPandas(lambda a, b: search_leaf(a, b, project, k, stop), FOUND)
@@ -306,6 +311,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = NE
     bound = own.withColumn("have", F.sum(F.size("ids")).over(running)).where(F.col("have") > k).groupBy("query_class").agg(F.min("score").alias("bound"))
     bounded = materialize(unique.join(bound, "query_class", "left").fillna(float("inf"), ["bound"]), "bounds")
     away = bounded.withColumn("to", F.explode(in_reach("v", "bound"))).where(F.col("to") != F.col("leaf")).select("query_class", "v", "bound", F.col("to").alias("leaf"))
+    away = materialize(away, "queries-away")
     found = own.unionByName(search(away))
     place = W.partitionBy("query_class").orderBy("score", "class")
     best = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
