@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vespertide.operators.common import first_numbered
 from vespertide.operators.ranks import dealt, ranked
 
 
@@ -34,3 +35,12 @@ def test_equal_scores_are_cut_into_parts(spark, many_parts):
     scores = spark.range(20_000).select(F.lit(1).alias("case"), "id", F.when(F.col("id") % 100 == 0, F.rand(3)).otherwise(0.0).alias("s"))
     sizes = [r["count"] for r in dealt(scores, F.col("case"), F.desc("s"), F.col("id")).groupBy("__part").count().collect()]
     assert len(sizes) == 13 and max(sizes) < 1.5 * 20_000 / 13
+
+
+def test_first_rows_of_a_group_of_most_rows(spark):
+    rng = random.Random(11)
+    rows = [(1 if rng.random() < 0.9 else rng.randrange(2, 6), i, rng.randrange(50)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g int, id int, s int")
+    got = {(r["g"], r["place"]): r["id"] for r in first_numbered(df, ["g"], 7, F.desc("s"), F.col("id")).collect()}
+    want = {(g, n): i for g in range(1, 6) for n, (_, i) in enumerate(sorted((-s, i) for h, i, s in rows if h == g)[:7], 1)}
+    assert got == want

@@ -194,3 +194,14 @@ def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def numbered(df: DataFrame, by: list[str], *order: Column, into: str = "place") -> DataFrame:
     return df.withColumn(into, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+#: Parts of a group whose first rows are taken before those of the whole group.
+SHARDS = 32
+
+
+def first_numbered(df: DataFrame, by: list[str], n: int, *order: Column, into: str = "place") -> DataFrame:
+    """The first n rows of each group, numbered. First those of each part of a group, so a group of most rows is ordered by many tasks."""
+    part = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]), F.lit(SHARDS))
+    some = numbered(df.withColumn("__part", part), [*by, "__part"], *order, into=into).where(F.col(into) <= n).drop("__part", into)
+    return numbered(some, by, *order, into=into).where(F.col(into) <= n)

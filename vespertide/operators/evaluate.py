@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,11 @@ def measures(ranks: DataFrame, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), F.bround(F.median("rank"), 1).alias("median_rank"), hit(10), hit(50), F.bround(F.avg(1 / F.col("rank")), 4).alias("mrr")).where("n > 0")
 
 
+def broadcast_if_few(rows: DataFrame, most: int = DEFAULTS.broadcast_rows) -> Callable[[DataFrame], DataFrame]:
+    """How tables of no more rows than these are joined: broadcast, if a count shows that these are few."""
+    return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df
+
+
 def fold_scores(sims: DataFrame, members: DataFrame, settings: Settings = DEFAULTS, alpha: float | None = None) -> DataFrame:
     """(group, hidden, id, s): scores of all folds at once, each hiding one target from its group.
 
@@ -47,18 +53,19 @@ def fold_scores(sims: DataFrame, members: DataFrame, settings: Settings = DEFAUL
     """
     k, alpha = settings.taste_top_k, settings.centroid_weight if alpha is None else alpha
     sims, members = kept(sims), kept(members)
-    m = F.broadcast(members.select("group", "seed", "w"))
+    near = broadcast_if_few(members)
+    m = near(members.select("group", "seed", "w"))
     weighted = sims.join(m, ["group", "seed"])
     descending = lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["seed"] < b["seed"], -1).otherwise(F.when(a["seed"] > b["seed"], 1).otherwise(0))
     by_item = weighted.groupBy("group", "id").agg(F.sum(F.col("w") * F.col("s")).alias("along"), F.slice(F.array_sort(F.collect_list(F.struct("s", "seed")), descending), 1, k + 1).alias("best"), F.count("*").alias("size"))
     by_item = kept(by_item)
     inner = by_item.join(m, (by_item["group"] == m["group"]) & (by_item["id"] == m["seed"])).select(by_item["group"], F.col("seed").alias("hidden"), "along", "w")
     total = inner.groupBy("group").agg(F.sum(F.col("w") * F.col("along")).alias("total"))
-    targets = inner.join(F.broadcast(total), "group").join(F.broadcast(members.where("target").select("group", F.col("seed").alias("hidden"))), ["group", "hidden"])
+    targets = inner.join(near(total), "group").join(near(members.where("target").select("group", F.col("seed").alias("hidden"))), ["group", "hidden"])
     targets = targets.select("group", "hidden", F.col("along").alias("own_along"), F.col("w").alias("hw"), "total")
     # Items outside the group, and the hidden member itself.
-    marked = by_item.join(F.broadcast(members.select("group", F.col("seed").alias("id"), F.lit(True).alias("shown"))), ["group", "id"], "left")
-    folds = marked.join(F.broadcast(targets), "group").where(F.col("shown").isNull() | (F.col("id") == F.col("hidden")))
+    marked = by_item.join(near(members.select("group", F.col("seed").alias("id"), F.lit(True).alias("shown"))), ["group", "id"], "left")
+    folds = marked.join(near(targets), "group").where(F.col("shown").isNull() | (F.col("id") == F.col("hidden")))
     hs = sims.select("group", F.col("seed").alias("hidden"), "id", F.col("s").alias("hs"))
     folds = folds.join(hs, ["group", "hidden", "id"])
     # The hidden member's similarity to itself is that of a unit vector.
@@ -81,7 +88,7 @@ def ranks_of_folds(sims: DataFrame, members: DataFrame, settings: Settings, alph
     above = F.col("s") > F.col("es")
     if ties:
         above = above | ((F.col("s") == F.col("es")) & (F.col("id") < F.col("hidden")))
-    return scores.join(F.broadcast(own), ["group", "hidden"]).groupBy("group", "hidden").agg((F.count_if(above) + 1).alias("rank"))
+    return scores.join(small(own), ["group", "hidden"]).groupBy("group", "hidden").agg((F.count_if(above) + 1).alias("rank"))
 
 
 def cohort_quality(sims, members: DataFrame, settings: Settings = DEFAULTS, least: int = 5) -> DataFrame:
@@ -153,7 +160,7 @@ def tuned(items: DataFrame, liked: DataFrame, grid: DataFrame, settings: Setting
     squares = raw.select("id", F.transform("w", lambda x: x * x).alias("q")).groupBy("id").agg(*summed_places("q", size)).select("id", packed("q", size))
     lengths = kept(squares.select("id", F.transform("q", F.sqrt).alias("norm")))
     own = kept(raw.join(F.broadcast(liked), raw["id"] == liked["seed"]).select("term", "seed", F.col("w").alias("sw")))
-    met = raw.join(F.broadcast(own), "term").select("seed", "id", F.zip_with("w", "sw", lambda x, y: x * y).alias("d"))
+    met = raw.join(small(own), "term").select("seed", "id", F.zip_with("w", "sw", lambda x, y: x * y).alias("d"))
     dots = met.groupBy("seed", "id").agg(*summed_places("d", size)).select("seed", "id", packed("d", size))
     seeds = lengths.join(F.broadcast(liked), lengths["id"] == liked["seed"]).select("seed", F.col("norm").alias("snorm"))
     pairs = lengths.crossJoin(F.broadcast(seeds)).join(dots, ["seed", "id"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators.common import latest, numbered
+from vespertide.operators.common import first_numbered, latest, numbered
 from vespertide.settings import DEFAULTS, Settings
 
 
@@ -15,13 +15,14 @@ def split_ratings(films: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
     films: (user, pos, title, year, rating), rating null where none was given.
     """
-    liked = numbered(films.where(F.col("rating") >= settings.like_threshold), ["user"], F.desc("rating"), F.col("pos"))
+    most = settings.max_liked
+    liked = first_numbered(films.where(F.col("rating") >= settings.like_threshold), ["user"], most, F.desc("rating"), F.col("pos"))
     many = films.groupBy("user").agg(F.count_if(F.col("rating") >= settings.like_threshold).alias("n_liked"))
-    unrated = numbered(films.where("rating IS NULL"), ["user"], F.col("pos")).where("place <= 10")
+    unrated = first_numbered(films.where("rating IS NULL"), ["user"], 10, F.col("pos"))
     fill = unrated.join(many, "user").where("n_liked < 5").withColumn("place", (F.col("place") + F.col("n_liked")).cast("int")).drop("n_liked")
-    disliked = numbered(films.where(F.col("rating") <= settings.dislike_threshold), ["user"], F.col("pos"))
+    disliked = first_numbered(films.where(F.col("rating") <= settings.dislike_threshold), ["user"], most, F.col("pos"))
     both = liked.unionByName(fill).withColumn("kind", F.lit("liked")).unionByName(disliked.withColumn("kind", F.lit("disliked")))
-    return both.where(F.col("place") <= settings.max_liked)
+    return both.where(F.col("place") <= most)
 
 
 def watched_keys(films: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def merge(fragment: DataFrame, listed: DataFrame, settings: Settings = DEFAULTS)
     same = (extra["user"] == by_title["user"]) & (extra["kind"] == by_title["kind"]) & (T.title_key(extra["title"]) == by_title["k"]) & extra["year"].eqNullSafe(by_title["y"])
     extra = extra.join(by_title, same, "left_anti").select(*side, F.lit("listed").alias("source"), F.col("place").cast("long").alias("pos"))
     voted = fragment.select(*side, F.lit("votes").alias("source"), F.col("item").alias("pos"))
-    both = numbered(voted.unionByName(extra), ["user", "kind"], F.desc("source"), F.col("pos"))
-    return both.where(F.col("place") <= settings.max_liked).select("user", "kind", "place", "source", *side[2:])
+    both = first_numbered(voted.unionByName(extra), ["user", "kind"], settings.max_liked, F.desc("source"), F.col("pos"))
+    return both.select("user", "kind", "place", "source", *side[2:])
 
 
 def built(fragment: DataFrame | None, listed: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame | None:
@@ -114,7 +115,7 @@ def top_genres(liked: DataFrame, n: int = 3) -> DataFrame:
 
 def listed_names(liked: DataFrame, genres: int = 4, directors: int = 3, of: int = 8) -> DataFrame:
     """One row a user: first genres and directors of the first few liked items, each once, in order."""
-    head = numbered(liked, ["user"], F.col("pos")).where(F.col("place") <= of)
+    head = first_numbered(liked, ["user"], of, F.col("pos"))
     packed = head.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("pos", "genres", "director"))).alias("r"))
     named = F.filter(F.transform("r", lambda x: x["director"]), lambda d: F.coalesce(d, F.lit("")) != "")
     return packed.select("user", F.slice(F.array_distinct(F.flatten("r.genres")), 1, genres).alias("genres"), F.slice(F.array_distinct(named), 1, directors).alias("directors"))

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
 from vespertide.operators.blend import query_scores, reference_scores, taste_scores
-from vespertide.operators.common import finished, kept, literal_rows, small, standardised, with_one_row
+from vespertide.operators.common import finished, first_numbered, kept, literal_rows, small, standardised, with_one_row
 from vespertide.operators.titles import best_matches  # noqa: F401  (part of this module's interface)
 from vespertide.settings import DEFAULTS, Settings
 
 NO_STRINGS = "array<string>"
-SHARDS = 32
 
 
 def strings(values: list[str] | None) -> Column:
@@ -92,10 +91,8 @@ def seated(scored: DataFrame, top_n: int) -> DataFrame:
     named = F.coalesce(F.col("collection"), F.lit("")) != ""
     # Items without a collection stand each for themselves, so they are no group.
     group = F.when(named, F.col("collection")).otherwise(F.concat(F.lit("\x00"), F.col("id").cast("string")))
-    # In a collection only its first top_n can ever be seated: those of each of its shards first, so no task orders a large collection.
-    shard = F.pmod(F.xxhash64("id"), F.lit(SHARDS))
-    some = scored.withColumn("nth", F.row_number().over(W.partitionBy(group, shard).orderBy(F.desc("z"), "id"))).where(F.col("nth") <= top_n)
-    within = some.withColumn("nth", F.row_number().over(W.partitionBy(group).orderBy(F.desc("z"), "id"))).where(F.col("nth") <= top_n)
+    # In a collection only its first top_n can ever be seated.
+    within = first_numbered(scored.withColumn("__group", group), ["__group"], top_n, F.desc("z"), F.col("id"), into="nth").drop("__group")
     best = within.orderBy(F.col("nth") > 1, F.desc("z"), "id").limit(top_n)
     return best.withColumn("place", F.row_number().over(W.orderBy(F.col("nth") > 1, F.desc("z"), "id"))).drop("nth")
 

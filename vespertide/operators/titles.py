@@ -9,18 +9,15 @@ verified by the strings. Titles shorter than a gram are grams themselves.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespertide.functions import text as T
-from vespertide.operators.common import finished, kept, small
+from vespertide.operators.common import finished, first_numbered, kept, small
 from vespertide.settings import DEFAULTS
 
 GRAM = 3
 #: Results that each of the two searches of a request gives.
 PER_SEARCH = 10
-#: Shards whose first rows are taken before those of a whole request.
-SPREAD = 64
 
 
 def grams(title: Column, sizes: range) -> Column:
@@ -115,13 +112,6 @@ def found_by_searches(requests: DataFrame, candidates: DataFrame, per_search: in
     scored = kept(index.scored(requests).withColumn("fit", title_score()))
     order = F.struct(-F.col("fit"), -F.coalesce("votes", F.lit(0)), F.col("id"))
 
-    dated = listed_first(scored.where((F.coalesce("want_year", F.lit("")) != "") & (F.col("year") == F.col("want_year"))), order, per_search)
-    open_ = listed_first(scored.join(dated.select("request").distinct(), "request", "left_anti"), order, per_search)
-    return best_of(dated.unionByName(open_), least).drop("fit")
-
-
-def listed_first(found: DataFrame, order: Column, n: int) -> DataFrame:
-    """The first n rows of each request: first of each of some shards, then of the request."""
-    shard = found.withColumn("__shard", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-    some = shard.withColumn("__n", F.row_number().over(W.partitionBy("request", "__shard").orderBy(order))).where(F.col("__n") <= n)
-    return some.withColumn("__n", F.row_number().over(W.partitionBy("request").orderBy(order))).where(F.col("__n") <= n).drop("__n", "__shard")
+    dated = first_numbered(scored.where((F.coalesce("want_year", F.lit("")) != "") & (F.col("year") == F.col("want_year"))), ["request"], per_search, order)
+    open_ = first_numbered(scored.join(dated.select("request").distinct(), "request", "left_anti"), ["request"], per_search, order)
+    return best_of(dated.unionByName(open_), least).drop("fit", "place")
