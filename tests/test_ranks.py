@@ -17,7 +17,7 @@ def brute(rows, ties):
 
 
 @pytest.mark.parametrize("ties", [True, False])
-@pytest.mark.parametrize("spread", [1, 3, 400])
+@pytest.mark.parametrize("spread", [1, 40])
 def test_ranks_equal_brute_force(spark, many_parts, ties, spread):
     rng = random.Random(spread)
     rows = [(case, i, float(rng.randrange(spread) if rng.random() < 0.1 else 0)) for case in (1, 2) for i in range(600)] + [(3, 0, 1.0)]

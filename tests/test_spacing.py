@@ -26,7 +26,7 @@ def got(spark, rows, gap):
     return {r["event_id"]: r["accepted"] for r in out}
 
 
-@pytest.mark.parametrize("gap", [0.5, 3, 40, 10_000])
+@pytest.mark.parametrize("gap", [0.5, 40])
 def test_equal_to_the_walk_with_one_user_of_most_rows(spark, many_parts, gap):
     rng = random.Random(gap)
     rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), n, BEGIN + timedelta(seconds=rng.randrange(900), milliseconds=rng.choice([0, 0, 500]))) for n in range(700)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,16 +164,63 @@ def tuned(items: DataFrame, liked: DataFrame, grid: DataFrame, settings: Setting
     own = kept(raw.join(F.broadcast(liked), raw["id"] == liked["seed"]).select("term", "seed", F.col("w").alias("sw")))
     met = raw.join(small(own), "term").select("seed", "id", F.zip_with("w", "sw", lambda x, y: x * y).alias("d"))
     dots = met.groupBy("seed", "id").agg(*summed_places("d", size)).select("seed", "id", packed("d", size))
-    seeds = lengths.join(F.broadcast(liked), lengths["id"] == liked["seed"]).select("seed", F.col("norm").alias("snorm"))
-    pairs = lengths.crossJoin(F.broadcast(seeds)).join(dots, ["seed", "id"], "left")
-    # Places where an item or a seed has no term at all are not covered.
-    cosine = per_place(size, lambda i: F.when((F.get("norm", i) > 0) & (F.get("snorm", i) > 0), F.coalesce(F.get("d", i), F.lit(0.0)) / (F.get("norm", i) * F.get("snorm", i))))
-    sims = pairs.select("seed", "id", F.posexplode(cosine).alias("place", "s")).where("s IS NOT NULL")
-    every = F.array(*[F.lit(c) for c in configs])
-    sims = sims.select(F.get(every, F.col("place")).alias("group"), "seed", "id", "s")
-    covered = seeds.select("seed", F.posexplode("snorm").alias("place", "norm")).where("norm > 0").select(F.get(every, F.col("place")).alias("group"), "seed")
-    members = covered.join(F.broadcast(liked), "seed").select("group", "seed", F.greatest(F.col("rating") - 2.5, F.lit(0.1)).alias("w"), F.lit(True).alias("target"))
-    return measures(ranks_of_folds(sims, members, settings, 1.0, True), "group").withColumnRenamed("group", "config")
+    by_item = dots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("seed", "d"))).alias("m"))
+    named = [(r["seed"], max(r["rating"] - 2.5, 0.1)) for r in liked.orderBy("seed").collect()]
+    none = F.array_repeat(F.lit(0.0), size)
+    flat = F.flatten(F.array(*[F.coalesce(F.try_element_at("m", F.lit(seed)), none) for seed, _ in named])).alias("d")
+    rows = kept(lengths.join(by_item, "id", "left").select("id", "norm", flat))
+    ranks = rows.mapInPandas(folds_above(rows, named, configs), "config int, hidden long, above long").groupBy("config", "hidden").agg((F.sum("above") + 1).alias("rank"))
+    return measures(ranks, "config")
+
+
+def folds_above(rows: DataFrame, named: list[tuple[int, float]], configs: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For batches of (id, norm, d): in each configuration and fold the number of items above the hidden one, scored by the centroid of the others.
+
+    named: the few liked items with their weights; norm: lengths by configuration; d: products with the liked items, by item and configuration.
+    Items of length 0 in a configuration are not in it; liked ones are shown, or hidden, and not counted. Equal scores go by id.
+    """
+    ids, w = np.array([i for i, _ in named]), np.array([x for _, x in named])[:, None]
+    own = {r["id"]: r for r in rows.where(F.col("id").isin(ids.tolist())).collect()}
+    lengths = np.array([own[i]["norm"] if i in own else [0.0] * len(configs) for i in ids])
+    there = lengths > 0
+
+    def cosines(norm: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Of rows by liked item and configuration; 0 where either is not there."""
+        product = norm[:, None, :] * lengths[None]
+        return np.divide(d.reshape(len(d), *lengths.shape), product, out=np.zeros((len(d), *lengths.shape)), where=product > 0)
+
+    among = np.zeros((len(ids), len(ids), len(configs)))
+    for n, i in enumerate(ids):
+        if i in own:
+            among[n] = cosines(np.array([own[i]["norm"]]), np.array([own[i]["d"]]))[0]
+    weight = np.where(there, w, 0.0)
+    along = (among * weight[None]).sum(1)
+    # What the shown items' sum is long, by the one that is hidden.
+    square = (along * weight).sum(0)[None] - 2 * weight * along + weight**2
+    length = np.sqrt(np.where(square > 1e-12, square, 1.0))
+    said = there & (there.sum(0)[None] > 1)
+
+    def scores(s: np.ndarray) -> np.ndarray:
+        shown = (s * weight[None]).sum(1)[:, None, :] - s * weight[None]
+        return np.round(np.where(square > 1e-12, shown / length, 0.0), 9)
+
+    mine = np.array([scores(among[n : n + 1])[0, n] for n in range(len(ids))])
+
+    def above(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(mine.shape, dtype=np.int64)
+        for b in batches:
+            b = b[~b["id"].isin(ids)]
+            if b.empty:
+                continue
+            norm = np.stack(b["norm"].to_numpy())
+            got = scores(cosines(norm, np.stack(b["d"].to_numpy())))
+            first = b["id"].to_numpy()[:, None, None] < ids[None, :, None]
+            higher = (got > mine[None]) | ((got == mine[None]) & first)
+            total += (higher & (norm > 0)[:, None, :]).sum(0)
+        hidden, config = np.nonzero(said)
+        yield pd.DataFrame({"config": np.array(configs)[config], "hidden": ids[hidden], "above": total[hidden, config]})
+
+    return above
 
 
 # Profiles over a blend ---------------------------------------------------------------------------------
