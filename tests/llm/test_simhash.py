@@ -121,13 +121,23 @@ def test_keep_one_matches_brute_force(spark, monkeypatch):
     assert simhash.keep_one(spark.createDataFrame(far, "doc_id long, text string")).count() == 10
 
 
-def test_large_groups_shed_stars(spark, monkeypatch):
+def test_large_groups_lose_no_link(spark, monkeypatch):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(400)]
-    base = [rng.choice(words) for _ in range(200)]
-    other = [rng.choice(words) for _ in range(200)]
-    rows = [(i + 2, edited(rng, base, 3, words)) for i in range(60)] + [(1, " ".join(base)), (0, " ".join(other))]
-    monkeypatch.setattr(simhash, "GROUP_TEXTS", 8)
-    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    # Whatever falls to no star and is no link of what is left stays; here all but a few fall.
-    assert got[:2] == [0, 1] and len(got) <= 4
+    base, other, walk = ([rng.choice(words) for _ in range(200)] for _ in range(3))
+    texts = [" ".join(other), " ".join(base)] + [edited(rng, base, 3, words) for _ in range(60)]
+    # A chain: neighbours are alike, its ends are not; copies of the base far from each other, and some of too little similarity.
+    for _ in range(60):
+        walk = edited(rng, walk, 2, words).split()
+        texts.append(" ".join(walk))
+    texts += [edited(rng, base, n, words) for n in (6, 8, 10, 12, 14, 16, 20) for _ in range(6)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = plain_kept(rows)
+    assert 3 < len(kept) < len(rows) // 2
+    for most, shingles, centres in ((8, 3_000, 256), (16, 2_000_000, 1)):
+        monkeypatch.setattr(simhash, "GROUP_TEXTS", most)
+        monkeypatch.setattr(simhash, "GROUP_SHINGLES", shingles)
+        monkeypatch.setattr(simhash, "MOST_CENTRES", centres)
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == kept

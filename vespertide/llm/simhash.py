@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vespertide.llm.common import discard, materialize, read_table, row_key, whole_text
+from vespertide.llm.common import discard, hot_join, materialize, read_table, row_key, whole_text
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -49,9 +49,11 @@ COMPARED_WORDS = 5
 SIMILARITY = 0.8
 SEARCH_WORDS = 2
 SEARCH_BUDGET = 8
-#: Largest group of candidates that one task settles; larger ones shed stars first.
+#: Texts and shingles that one task compares; larger groups of candidates are compared in pairs of boxes of half as much.
 GROUP_TEXTS = 2_048
 GROUP_SHINGLES = 2_000_000
+#: Most centres a large group sheds stars around before its boxes are compared.
+MOST_CENTRES = 256
 BROADCAST_KEYS = 200_000
 SALTS = 32
 
@@ -266,13 +268,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_groups(bits: np.ndarray, sets: list[np.ndarray], budget: int, similarity: float) -> np.ndarray:
-    """Smallest row joined with each row by links within the budget whose sets are alike enough. Rows that are joined already are not compared."""
-    label = np.arange(len(sets))
+def similar_groups(bits: np.ndarray, sets: list[np.ndarray], budget: int, similarity: float, label: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+    """Smallest row joined with each row by links within the budget whose sets are alike enough. Rows that are joined already are not compared.
+
+    Rows may be joined from the start (label). With `first`, rows from there on are compared with those before it only.
+    """
+    label = np.arange(len(sets)) if label is None else label.copy()
     sizes = np.array([len(x) for x in sets])
-    for i in range(1, len(sets)):
+    for i in range(max(1, first), len(sets)):
+        to = first or i
         # Sets of sizes too far apart can't be alike enough.
-        fits = (np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])) & (np.bitwise_count(bits[:i] ^ bits[i]) <= budget)
+        fits = (np.minimum(sizes[:to], sizes[i]) >= similarity * np.maximum(sizes[:to], sizes[i])) & (np.bitwise_count(bits[:to] ^ bits[i]) <= budget) & (label[:to] != label[i])
         for j in np.flatnonzero(fits):
             if label[j] != label[i] and jaccard(sets[j], sets[i]) >= similarity:
                 low, high = sorted((label[i], label[j]))
@@ -302,11 +308,12 @@ def similar_groups_kept(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity
     """Marks of all documents (__vt_id, __vt_text_hash, bits, set_hash), and the key of the one document of each group of similar texts that stays.
 
     Candidates come from the trie over fingerprints of SEARCH_WORDS-word shingles: few edits move those less than
-    longer ones. What the trie joins is compared by the shingle sets themselves. Groups of candidates within
-    GROUP_TEXTS and GROUP_SHINGLES are settled whole, each in one task: groups are the connected links of
-    similarity or more. Larger ones first shed stars: the texts closest to the majority of their bits are centres,
-    each text is compared with the closest centre, and what is alike falls to it; centres grow sixteenfold from round to
-    round, and what is left when a group is small enough is settled whole. Equal texts are one from the start.
+    longer ones. What the trie joins is compared by the shingle sets themselves: groups are the connected links of
+    similarity or more, at every size. Groups of candidates within GROUP_TEXTS and GROUP_SHINGLES are settled each in one
+    task. Larger ones first shed stars, which spares most of the comparisons: the texts closest to the majority of their
+    bits are centres, each text is compared with the closest centre, and what is alike falls to it; centres grow sixteenfold
+    from round to round, up to MOST_CENTRES. Then all texts that are not joined yet are compared across (links_across), so
+    links between texts that fell to different centres count too. Equal texts are one from the start.
     """
     key = ["bits", "set_hash"]
     place = F.struct(F.col("__vt_id").isNull().alias("no_id"), "__vt_id", "__vt_text_hash")
@@ -337,10 +344,10 @@ def similar_groups_kept(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity
         return pd.concat(out)
 
     settled: list[DataFrame] = []
-    centres = 1
+    centres, whole = 1, None
     while True:
         size = open_.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles").cast("long")).alias("s"))
-        size = materialize(size.withColumn("large", (F.col("n") > GROUP_TEXTS) | ((F.col("s") > GROUP_SHINGLES) & (F.col("n") > centres))), "group-sizes")
+        size = materialize(size.withColumn("large", (F.col("n") > GROUP_TEXTS) | ((F.col("s") > GROUP_SHINGLES) & (F.col("n") > 1))), "group-sizes")
         large = small(size.where("large").select("root"))
         total = size.where("not large").agg(F.sum("s").alias("s")).first()["s"] or 0
         task = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / GROUP_SHINGLES)))).alias("task")
@@ -349,19 +356,75 @@ def similar_groups_kept(docs: DataFrame, budget: int = SEARCH_BUDGET, similarity
         if size.where("large").isEmpty():
             break
         rest = materialize(open_.join(large, "root", "left_semi"), "large-groups")
-        left = materialize(fallen(rest, materialize(star_centres(rest.select("root", *key), centres), "centres"), similarity), "fallen")
+        whole = whole or rest
+        if centres > MOST_CENTRES:
+            settled.append(rest.select(*key, F.col("bits").alias("to_bits"), F.col("set_hash").alias("to_set")))
+            break
+        left = materialize(fallen(rest, materialize(star_centres(rest.select("root", *key), centres), "centres"), budget, similarity), "fallen")
         settled.append(left.where("to_bits is not null").select(*key, "to_bits", "to_set"))
         discard(open_)
         open_, centres = materialize(rest.join(left.where("to_bits is null").select(*key), key, "left_semi"), "left-texts"), centres * 16
-        discard(rest)
+        if rest is not whole:
+            discard(rest)
     moved = settled[0]
     for x in settled[1:]:
         moved = moved.unionByName(x)
-    ends = nodes.join(moved, key, "left").select("first", F.coalesce("to_bits", "bits").alias("to_bits"), F.coalesce("to_set", "set_hash").alias("to_set"))
-    kept = ends.groupBy("to_bits", "to_set").agg(F.min("first").alias("k")).select("k.__vt_id", "k.__vt_text_hash")
+    to = F.struct(F.coalesce("to_bits", "bits").alias("bits"), F.coalesce("to_set", "set_hash").alias("set_hash")).alias("to")
+    ends = nodes.join(moved, key, "left").select("first", to).groupBy("to").agg(F.min("first").alias("first"))
+    if whole is not None:
+        placed = materialize(whole.select("root", *key, "shingles").join(moved, key).select("root", *key, "shingles", to), "placed-texts")
+        further = components(links_across(placed, budget, similarity))
+        ends = ends.join(further, F.col("to") == F.col("a"), "left").select(F.coalesce("b", "to").alias("to"), "first")
+    kept = ends.groupBy("to").agg(F.min("first").alias("k")).select("k.__vt_id", "k.__vt_text_hash")
     return marked, kept
 
 
+def links_across(rows: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between the stars (column to) of large groups (root, to, bits, set_hash, shingles) that further links join.
+
+    Stars of more than half a task's texts or shingles fill boxes of their own, the others of a group share boxes. Each pair of
+    boxes is one task; boxes of one star are not paired, as it is joined already. So a text of a star that holds nearly all
+    of its group is copied as often as there are boxes of the rest, and no task holds more than two boxes.
+    """
+    boxes_of = F.greatest(F.ceil(F.col("n") / max(1, GROUP_TEXTS // 2)), F.ceil(F.col("s") / max(1, GROUP_SHINGLES // 2)), F.lit(1)).cast("int")
+    stars = materialize(rows.groupBy("root", "to").agg(F.count("*").alias("n"), F.sum(F.size("shingles").cast("long")).alias("s")).withColumn("own", boxes_of), "stars")
+    shared = materialize(stars.where("own = 1").groupBy("root").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("root", boxes_of.alias("shared")), "shared-boxes")
+    none = F.struct(F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("set_hash"))
+    numbers = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias("i")
+    large = stars.where("own > 1").select("root", F.lit(True).alias("alone"), F.col("to").alias("star"), numbers("own"))
+    boxes = materialize(large.unionByName(shared.select("root", F.lit(False).alias("alone"), none.alias("star"), numbers("shared"))), "boxes")
+    box = F.struct("alone", "star", "i").alias("box")
+    x, y = boxes.select("root", box).alias("x"), boxes.select("root", box).alias("y")
+    paired = (F.col("x.root") == F.col("y.root")) & (F.col("x.box") <= F.col("y.box")) & (~F.col("x.box.alone") | (F.col("x.box.star") != F.col("y.box.star")))
+    pairs = materialize(x.join(y, paired).select("x.root", F.col("x.box").alias("one"), F.col("y.box").alias("other"), F.monotonically_increasing_id().alias("pair")), "box-pairs")
+    alike = F.col("one") == F.col("other")
+    asked = pairs.select("root", F.col("one").alias("box"), "pair", F.lit(0).alias("side"), alike.alias("alike"))
+    asked = asked.unionByName(pairs.where(~alike).select("root", F.col("other").alias("box"), "pair", F.lit(1).alias("side"), F.lit(False).alias("alike")))
+    sized = hot_join(stars.select("root", "to", "own"), shared, "root", "left").select("to", "own", "shared")
+    alone = F.col("own") > 1
+    number = F.pmod(F.xxhash64("bits", "set_hash"), F.when(alone, F.col("own")).otherwise(F.col("shared"))).cast("int").alias("i")
+    own = F.struct(alone.alias("alone"), F.when(alone, F.col("to")).otherwise(none).alias("star"), number).alias("box")
+    boxed = hot_join(rows, sized, "to").select("root", own, "bits", "set_hash", "shingles", F.col("to.bits").alias("to_bits"), F.col("to.set_hash").alias("to_set"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("side", kind="stable")
+        star = pd.factorize(pd.MultiIndex.from_frame(part[["to_bits", "to_set"]]))[0]
+        before = np.unique(star, return_index=True)[1][star]
+        first = 0 if part["alike"].iloc[0] else int((part["side"] == 0).sum())
+        names = part[["to_bits", "to_set"]].to_numpy(np.int64)
+        after = before
+        if part["alike"].iloc[0] or 0 < first < len(part):
+            sets = [np.asarray(v, np.int64).view(np.uint64) for v in part["shingles"]]
+            after = similar_groups(part["bits"].to_numpy(np.int64).view(np.uint64), sets, budget, similarity, before, first)
+        moved = np.flatnonzero((after != before) & (before == np.arange(len(part))))
+        a, b = names[moved], names[after[moved]]
+        return pd.DataFrame({"ab": a[:, 0], "as": a[:, 1], "bb": b[:, 0], "bs": b[:, 1]})
+
+    found = boxed.join(asked, ["root", "box"]).groupBy("pair").applyInPandas(compare, "ab long, `as` long, bb long, bs long")
+    a, b = F.struct(F.col("ab").alias("bits"), F.col("`as`").alias("set_hash")), F.struct(F.col("bb").alias("bits"), F.col("bs").alias("set_hash"))
+    return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
 def salted(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     """Join in which one key of rows may be hot: each row has one salt, each row of the side all of them."""
     names = [c for c in rows.columns if c not in on] + [c for c in side.columns if c not in on]
@@ -384,8 +447,8 @@ def star_centres(rows: DataFrame, count: int) -> DataFrame:
     return best.select("root", "bits", "set_hash")
 
 
-def fallen(rows: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
-    """bits, set_hash, and the centre (to_bits, to_set) that each row falls to: the closest one, if alike enough; a centre falls to itself."""
+def fallen(rows: DataFrame, centres: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """bits, set_hash, and the centre (to_bits, to_set) that each row falls to: the closest one, if within the budget and alike enough; a centre falls to itself."""
     own = centres.select("root", F.col("bits").alias("to_bits"), F.col("set_hash").alias("to_set"))
     sets_ = own.join(rows.select(F.col("bits").alias("to_bits"), F.col("set_hash").alias("to_set"), F.col("shingles").alias("to_shingles")), ["to_bits", "to_set"])
     choice = own.groupBy("root").agg(F.collect_list(F.struct("to_bits", "to_set")).alias("all"))
@@ -395,7 +458,7 @@ def fallen(rows: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
     met = salted(asked, sets_, ["root", "to_bits", "to_set"])
     both = F.size(F.array_intersect("shingles", "to_shingles"))
     total = F.size("shingles") + F.size("to_shingles") - both
-    alike = (total == 0) | (both >= similarity * total)
+    alike = (F.bit_count(F.col("bits").bitwiseXOR(F.col("to_bits"))) <= budget) & ((total == 0) | (both >= similarity * total))
     return met.select("bits", "set_hash", F.when(alike, F.col("to_bits")).alias("to_bits"), F.when(alike, F.col("to_set")).alias("to_set"))
 
 
