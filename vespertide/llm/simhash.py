@@ -260,27 +260,31 @@ def shingle_set(text: str, words_in_shingle: int = COMPARED_WORDS) -> np.ndarray
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(HASH_SEED)), np.uint64))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets; two empty ones are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def similar_groups(bits: np.ndarray, sets: list[np.ndarray], budget: int, similarity: float, label: np.ndarray | None = None, first: int = 0) -> np.ndarray:
     """Smallest row joined with each row by links within the budget whose sets are alike enough. Rows that are joined already are not compared.
 
     Rows may be joined from the start (label). With `first`, rows from there on are compared with those before it only.
+    What a set shares with all others is counted at once, over lists of the rows that hold each of its shingles. Two empty sets are alike.
     """
     label = np.arange(len(sets)) if label is None else label.copy()
-    sizes = np.array([len(x) for x in sets])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]
+    lists = np.r_[0, np.cumsum(np.bincount(shingle))]
     for i in range(max(1, first), len(sets)):
         to = first or i
         # Sets of sizes too far apart can't be alike enough.
         fits = (np.minimum(sizes[:to], sizes[i]) >= similarity * np.maximum(sizes[:to], sizes[i])) & (np.bitwise_count(bits[:to] ^ bits[i]) <= budget) & (label[:to] != label[i])
-        for j in np.flatnonzero(fits):
-            if label[j] != label[i] and jaccard(sets[j], sets[i]) >= similarity:
+        if not fits.any():
+            continue
+        mine = shingle[ends[i] - sizes[i] : ends[i]]
+        n = lists[mine + 1] - lists[mine]
+        at = np.repeat(lists[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holders[at], minlength=len(sets))[:to]
+        total = sizes[:to] + sizes[i] - both
+        for j in np.flatnonzero(fits & ((total == 0) | (both >= similarity * total))):
+            if label[j] != label[i]:
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
     return label
