@@ -66,3 +66,49 @@ def test_the_driver_gets_one_triangle_of_the_width(spark, monkeypatch):
     dense = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], factors.DENSE).repartition(9)
     r = factors.triangle(dense)
     assert r.shape == (7, 7) and np.allclose(r.T @ r, m.T @ m)
+
+
+def scattered(spark, rng, n, each):
+    """A table of few entries a row, and the same matrix dense."""
+    m = np.zeros((n, n))
+    for r in range(n):
+        m[r, rng.choice(n, each, replace=False)] = rng.random(each) + 0.1
+    rows, cols = np.nonzero(m)
+    return spark.createDataFrame([(int(r), int(c), float(m[r, c])) for r, c in zip(rows, cols)], "row long, col long, v double"), m
+
+
+@pytest.mark.parametrize("into", ["row", "col"])
+def test_a_product_with_few_entries_copies_no_vector_to_every_block(spark, monkeypatch, into):
+    """90 vectors in 23 blocks across would be 2,070 copies for 270 entries."""
+    monkeypatch.setattr(factors, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(factors, "block_product", None)
+    rng = np.random.default_rng(5)
+    entries, m = scattered(spark, rng, 90, 3)
+    d = rng.random((90, 4))
+    dense = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], factors.DENSE)
+    got = {r["id"]: r["vec"] for r in factors.Blocks(entries).times(dense, into, 4).collect()}
+    want = (m if into == "row" else m.T) @ d
+    assert all(np.allclose(got.get(i, np.zeros(4)), want[i]) for i in range(90))
+
+
+def test_what_a_product_moves_grows_no_faster_than_entries(spark, monkeypatch):
+    """Blocks are only taken where copies and sums of blocks are no more than entries, however many rows and columns there are."""
+    monkeypatch.setattr(factors, "BLOCK_ROWS", 4)
+    entries, _ = scattered(spark, np.random.default_rng(6), 40, 40)
+    full = factors.Blocks(entries)
+    assert full.moved(full.cut(4), "row") <= full.cells == 1600
+    monkeypatch.setattr(factors, "BLOCK_ENTRIES", 100)
+    assert (lambda b: b["row"] * b["col"])(full.cut(4)) >= 16
+
+
+def test_a_row_that_stands_for_equal_ones_counts_as_often(spark):
+    rng = np.random.default_rng(7)
+    classes, n = rng.random((6, 9)), np.array([1, 5, 2, 9, 1, 3])
+    of = np.repeat(np.arange(6), n)
+    cells = [(r, c, float(classes[r, c])) for r in range(6) for c in range(9)]
+    sizes = spark.createDataFrame([(i, int(k)) for i, k in enumerate(n)], "row long, n long")
+    got = {r["id"]: r["vec"] for r in truncated(spark.createDataFrame(cells, "row long, col long, v double"), 3, sizes=sizes).collect()}
+    a, b = np.array([got[i] for i in of]), dense_factors(classes[of], 3)
+    assert np.allclose(a @ a.T, b @ b.T)
+    # As many factors as the whole matrix has, also where that is as many as there are classes.
+    assert len(truncated(spark.createDataFrame(cells, "row long, col long, v double"), 20, sizes=sizes).first()["vec"]) == 6

@@ -1,9 +1,9 @@
 """Truncated factors of a sparse matrix by a randomised range finder.
 
-The matrix is a table of entries cut into blocks of rows by columns, a dense one a table (id, vec). A product
-gives each block the vectors it needs, which are copied once for each block across, so what is shuffled
-grows with blocks times vectors, not with entries, and a row or column with very many entries is
-spread over its blocks. Tall-skinny QR takes a triangle from each task, merges triangles sixteen at a time
+The matrix is a table of entries, a dense one a table (id, vec). Where it is cut into few blocks of rows by columns, a
+product gives each block the vectors it needs, copied once for each block across, and a row or column with very many entries is
+spread over its blocks. Where those copies and the sums of blocks would be more than the entries, as in a large sparse
+matrix, entries meet their vectors by a join instead, so what is shuffled never grows faster than entries. Tall-skinny QR takes a triangle from each task, merges triangles sixteen at a time
 until one is left, and only that one (as wide as the number of factors, whatever the matrix holds) reaches
 the driver.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from vespertide.operators.common import dropped, kept
 
 DENSE = "id long, vec array<double>"
-#: Rows of a dense block on average, entries whose products a task holds at once, and triangles merged at once.
-BLOCK_ROWS, CHUNK_ENTRIES, MERGED = 4_096, 32_768, 16
+#: Most rows and bytes of a dense block on average, and entries of a block.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_ENTRIES = 131_072, 1 << 25, 1 << 19
+#: Entries whose products a task holds at once, and triangles merged at once.
+CHUNK_ENTRIES, MERGED = 32_768, 16
 OVERSAMPLE, ROUNDS = 10, 4
 #: Directions weaker than this share of the strongest are noise.
 LEAST_SHARE = 1e-10
@@ -97,23 +99,58 @@ def summed(parts: DataFrame) -> DataFrame:
     return parts.repartition("id").sortWithinPartitions("id").mapInPandas(merged, DENSE)
 
 
+def entry_products(met: DataFrame) -> DataFrame:
+    """(id, vec): v times vec, summed within a batch for each `into`. met: (into, v, vec)."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            order = np.argsort(b["into"].to_numpy(), kind="stable")
+            keys, starts = np.unique(b["into"].to_numpy()[order], return_index=True)
+            products = np.stack(b["vec"].to_numpy()) * b["v"].to_numpy()[:, None]
+            yield frame(keys, np.add.reduceat(products[order], starts))
+
+    return met.mapInPandas(each, DENSE)
+
+
 class Blocks:
-    """A sparse matrix as a written table (row, col, v) in blocks."""
+    """A sparse matrix as a written table (row, col, v), multiplied by blocks or by entries."""
 
     def __init__(self, entries: DataFrame):
-        n = entries.agg(F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols")).first()
-        self.rows, self.cols = n["rows"], n["cols"]
-        self.blocks = {"row": max(1, -(-self.rows // BLOCK_ROWS)), "col": max(1, -(-self.cols // BLOCK_ROWS))}
         self.entries = kept(entries.select("row", "col", F.col("v").cast("double").alias("v")))
+        self.cells, self.rows, self.cols = self.entries.count(), self.ids("row").count(), self.ids("col").count()
 
     def ids(self, side: str) -> DataFrame:
         return self.entries.select(F.col(side).alias("id")).distinct()
 
-    def times(self, dense: DataFrame, into: str) -> DataFrame:
+    def cut(self, width: int) -> dict[str, int]:
+        """Numbers of blocks, so that neither a dense block nor the entries of a block are too many for a task."""
+        size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
+        rows, cols = max(1, -(-self.rows // size)), max(1, -(-self.cols // size))
+        # Entries are spread over the longer side first.
+        need = -(-self.cells // BLOCK_ENTRIES)
+        if self.rows >= self.cols:
+            rows = min(self.rows, max(rows, -(-need // cols)))
+        else:
+            cols = min(self.cols, max(cols, -(-need // rows)))
+        return {"row": rows, "col": cols}
+
+    def moved(self, blocks: dict[str, int], into: str) -> int:
+        """Vectors that a product by blocks shuffles at most: copies, and sums of blocks where there is more than one across."""
+        here, there = (self.rows, self.cols) if into == "row" else (self.cols, self.rows)
+        across = blocks["col" if into == "row" else "row"]
+        return there * blocks[into] + (here * across if across > 1 else 0)
+
+    def times(self, dense: DataFrame, into: str, width: int) -> DataFrame:
         """The matrix times a dense one over its columns (into "row"), or its transpose times one over its rows (into "col")."""
         over = "col" if into == "row" else "row"
-        here, there = self.blocks[into], self.blocks[over]
-        a = self.entries.select(F.col(into).alias("into"), F.col(over).alias("over"), "v", block_of(F.col(into), here).alias("b"), block_of(F.col(over), there).alias("c"))
+        blocks = self.cut(width)
+        a = self.entries.select(F.col(into).alias("into"), F.col(over).alias("over"), "v")
+        if self.moved(blocks, into) > self.cells:
+            return kept(summed(entry_products(a.join(dense, F.col("over") == F.col("id")).select("into", "v", "vec"))))
+        here, there = blocks[into], blocks[over]
+        a = a.withColumns({"b": block_of(F.col("into"), here), "c": block_of(F.col("over"), there)})
         copies = dense.withColumn("c", block_of(F.col("id"), there)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(here - 1))))
         parts = a.groupBy("b", "c").cogroup(copies.groupBy("b", "c")).applyInPandas(block_product, DENSE)
         return kept(summed(parts) if there > 1 else parts)
@@ -167,29 +204,37 @@ def orthonormal(dense: DataFrame) -> DataFrame:
     return mapped(dense, vt[strong].T / s[strong])
 
 
-def truncated(entries: DataFrame, factors: int, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+def truncated(entries: DataFrame, factors: int, rounds: int = ROUNDS, seed: int = 0, sizes: DataFrame | None = None) -> DataFrame:
     """(id, vec): rows of U times S of the largest factors of a matrix given by (row, col, v), each cell once and no row all zero.
 
     A matrix of one row or column has no factors. Inner products of rows don't depend on how factors are
-    turned, so only these mean something.
+    turned, so only these mean something. sizes: (row, n), where a row stands for n equal ones; these are factors of the matrix
+    that has them all, as rows that are longer by the root of n have the same products of columns.
     """
+    if sizes is not None:
+        root = kept(sizes.select("row", F.sqrt("n").alias("root"), "n"))
+        entries = entries.join(root, "row").select("row", "col", (F.col("v") * F.col("root")).alias("v"))
     matrix = Blocks(entries)
-    k = min(factors, matrix.rows - 1, matrix.cols - 1)
+    of = matrix.rows if sizes is None else int(root.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    k = min(factors, of - 1, matrix.cols - 1)
     if k < 1:
         dropped(matrix.entries)
         return entries.sparkSession.createDataFrame([], DENSE)
     width = min(k + OVERSAMPLE, matrix.rows, matrix.cols)
-    y = matrix.times(random_directions(matrix.ids("col"), width, seed), "row")
+    y = matrix.times(random_directions(matrix.ids("col"), width, seed), "row", width)
     # A base as wide as the matrix spans it all, and rounds add nothing.
     for _ in range(rounds if width < min(matrix.rows, matrix.cols) else 0):
-        z = matrix.times(orthonormal(y), "col")
+        z = matrix.times(orthonormal(y), "col", width)
         dropped(y)
-        y = matrix.times(z, "row")
+        y = matrix.times(z, "row", width)
         dropped(z)
     base = orthonormal(y)
-    z = matrix.times(base, "col")
+    z = matrix.times(base, "col", width)
     u, s, _ = np.linalg.svd(triangle(z).T)
-    out = kept(mapped(base, u[:, : min(k, len(s))] * s[:k]))
-    for table in (y, z, matrix.entries):
+    found = mapped(base, u[:, : min(k, len(s))] * s[:k])
+    if sizes is not None:
+        found = found.join(root, F.col("id") == F.col("row")).select("id", F.transform("vec", lambda x: x / F.col("root")).alias("vec"))
+    out = kept(found)
+    for table in (y, z, matrix.entries, *([] if sizes is None else [root])):
         dropped(table)
     return out
