@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,17 +152,18 @@ def made(items: DataFrame, signals: list, *, liked: list[tuple[int, float]] | No
 PICK = ["place", "id", "title", "collection", "how"]
 
 
-def answer(items: DataFrame, signals: list, edges: DataFrame, *, genres: list[str] | None = None, decade: str = "any", watched: DataFrame | None = None, settings: Settings = DEFAULTS, **request) -> DataFrame:
+def answer(items: DataFrame, signals: list, edges: DataFrame | Callable[[list[int]], DataFrame], *, genres: list[str] | None = None, decade: str = "any", watched: DataFrame | None = None, settings: Settings = DEFAULTS, **request) -> DataFrame:
     """(place, id, title, collection, how): the ranked picks, else neighbours of the named items, else what the genres have best rated; how says which.
 
-    A request without genres ends with an empty answer. request: as for recommend.
+    A request without genres ends with an empty answer. edges: (src, dst, rank), or what gives those of some items, which is
+    asked only where neighbours are needed. request: as for recommend.
     """
     picks = recommend(items, signals, genres=genres, watched=watched, settings=settings, **request).select(*PICK[:-1], F.lit("ranked").alias("how"))
     if not picks.isEmpty():
         return picks
     order = lambda found, by, how: found.withColumn("place", F.row_number().over(W.orderBy(F.desc(by), "id"))).select(*PICK[:-1], F.lit(how).alias("how"))
     if request.get("references"):
-        near = kept(order(neighbours(items, edges, request["references"], watched=watched), "vote_count", "neighbours"))
+        near = kept(order(neighbours(items, edges(request["references"][:2]) if callable(edges) else edges, request["references"], watched=watched), "vote_count", "neighbours"))
         if not near.isEmpty():
             return near
     if genres:
