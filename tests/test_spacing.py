@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,30 @@ def test_no_requests_and_no_gap(spark):
     assert spaced_requests(none, 3).count() == 0
     with pytest.raises(ValueError):
         spaced_requests(none, 0)
+
+
+def test_many_users_of_a_part_are_handled_at_once(spark, monkeypatch):
+    """A call of a function on pandas for every user made a log of many users slow; a part is one call."""
+    from vespertide.streaming import spacing
+
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"user_id": np.repeat(np.arange(-200, 200), 5), "part": 3})
+    rows["t"] = np.concatenate([np.sort(rng.choice(60, 5, replace=False)) for _ in range(400)])
+    gap = 13
+    for user, own in rows.groupby("user_id"):
+        later = np.searchsorted(own["t"].to_numpy(), own["t"].to_numpy() + gap)
+        rows.loc[own.index, "to_part"] = np.where(later < 5, 3, np.where(user % 2, 4, -1))
+        rows.loc[own.index, "to_t"] = np.where(later < 5, own["t"].to_numpy()[np.minimum(later, 4)], np.where(user % 2, 1000, 0))
+    rows = rows.astype({"to_part": int, "to_t": int}).sample(frac=1, random_state=1)
+    left = spacing.transitions(rows)
+    assert len(left) == len(rows) and (left["to_part"] == np.where(left["user_id"] % 2, 4, -1)).all()
+    entered = rows.groupby("user_id", as_index=False)["t"].min()
+    got = {tuple(r) for r in spacing.chains(entered, rows)[["user_id", "t"]].to_numpy()}
+    want = set()
+    for user, own in rows.groupby("user_id"):
+        last = None
+        for t in sorted(own["t"]):
+            if last is None or t - last >= gap:
+                want.add((user, t))
+                last = t
+    assert got == want

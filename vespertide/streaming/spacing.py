@@ -39,33 +39,43 @@ def pointers(times: DataFrame, gap: int) -> DataFrame:
     return own.join(asked, ["user_id", "t"]).select(*NODE, "to_part", "to_t")
 
 
+def steps(rows: pd.DataFrame) -> np.ndarray:
+    """Where each request of a part points to, -1 where that is in another part. rows: of any number of users, ordered by user and time."""
+    users = np.unique(rows["user_id"].to_numpy(), return_inverse=True)[1]
+    times = np.unique(rows["t"].to_numpy())
+    key = lambda t: users * (len(times) + 1) + np.searchsorted(times, t)
+    keys, to = key(rows["t"].to_numpy()), np.full(len(rows), -1)
+    stays = (rows["to_part"] == rows["part"]).to_numpy()
+    to[stays] = np.searchsorted(keys, key(rows["to_t"].to_numpy())[stays])
+    return to
+
+
 def transitions(rows: pd.DataFrame) -> pd.DataFrame:
-    """Where the chain of each request leaves the part."""
-    rows = rows.sort_values("t").reset_index(drop=True)
-    t, n = rows["t"].to_numpy(), len(rows)
-    stays = (rows["to_part"] == rows["part"]).to_numpy(dtype=bool, na_value=False)
-    jump = np.arange(n)
-    jump[stays] = np.searchsorted(t, rows["to_t"].to_numpy()[stays].astype(np.int64))
+    """Where the chain of each request of a part leaves it, for all its users at once. to_part: -1 for none."""
+    rows = rows.sort_values(["user_id", "t"]).reset_index(drop=True)
+    to = steps(rows)
     # The last request of a chain in the part points to itself.
-    while (further := jump[jump]).tolist() != jump.tolist():
+    jump = np.where(to < 0, np.arange(len(rows)), to)
+    while not np.array_equal(further := jump[jump], jump):
         jump = further
     out = rows[NODE].copy()
     out["to_part"], out["to_t"] = rows["to_part"].to_numpy()[jump], rows["to_t"].to_numpy()[jump]
-    return out.astype({"to_part": "Int32", "to_t": "Int64"})
+    return out
 
 
 def chains(entered: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The requests of a part that are in the chain it was entered by."""
+    """The requests of a part that are in the chains it was entered by, one a user."""
     if entered.empty or rows.empty:
         return rows[NODE].head(0)
-    rows = rows.sort_values("t").reset_index(drop=True)
-    t, to_part, to_t, part = rows["t"].to_numpy(), rows["to_part"].to_numpy(), rows["to_t"].to_numpy(), rows["part"].iloc[0]
-    at, chosen = int(np.searchsorted(t, entered["t"].iloc[0])), []
-    while True:
+    rows = rows.sort_values(["user_id", "t"]).reset_index(drop=True)
+    to = steps(rows)
+    at = rows.reset_index().merge(entered[["user_id", "t"]], on=["user_id", "t"])["index"].to_numpy()
+    chosen = []
+    while len(at):
         chosen.append(at)
-        if pd.isna(to_part[at]) or to_part[at] != part:
-            return rows.loc[chosen, NODE]
-        at = int(np.searchsorted(t, int(to_t[at])))
+        at = to[at]
+        at = at[at >= 0]
+    return rows.loc[np.concatenate(chosen), NODE] if chosen else rows[NODE].head(0)
 
 
 def accepted_times(times: DataFrame, gap: int) -> DataFrame:
@@ -76,7 +86,11 @@ def accepted_times(times: DataFrame, gap: int) -> DataFrame:
 def followed(times: DataFrame, gap: int) -> DataFrame:
     points = kept(pointers(times, gap))
     shape = "user_id long, part int, t long, to_part int, to_t long"
-    leaves = kept(points.groupBy("user_id", "part").applyInPandas(transitions, shape))
+    # A part has many users or a piece of one, so whole parts are handed over. Numbers stay whole without nulls.
+    filled = points.withColumns({"to_part": F.coalesce("to_part", F.lit(-1)), "to_t": F.coalesce("to_t", F.lit(0))})
+    some = F.col("to_part") >= 0
+    leaves = filled.groupBy("part").applyInPandas(transitions, shape)
+    leaves = kept(leaves.select(*NODE, F.when(some, F.col("to_part")).alias("to_part"), F.when(some, F.col("to_t")).alias("to_t")))
     first = points.groupBy("user_id").agg(F.min(F.struct("t", "part")).alias("f")).select("user_id", "f.part", "f.t")
     # Only where some chain comes in can a chain go on.
     enters = leaves.where("to_t IS NOT NULL").select("user_id", F.col("to_part").alias("part"), F.col("to_t").alias("t")).unionByName(first).distinct()
@@ -89,7 +103,7 @@ def followed(times: DataFrame, gap: int) -> DataFrame:
         again = step.select("user_id", F.col("part").alias("to_part"), F.col("t").alias("to_t"), F.col("to_part").alias("p"), F.col("to_t").alias("x"))
         twice = kept(step.join(again, ["user_id", "to_part", "to_t"]).select(*NODE, F.col("p").alias("to_part"), F.col("x").alias("to_t")))
         reached, step = more, twice
-    marked = reached.groupBy("user_id", "part").cogroup(points.groupBy("user_id", "part")).applyInPandas(chains, "user_id long, part int, t long")
+    marked = reached.groupBy("part").cogroup(filled.groupBy("part")).applyInPandas(chains, "user_id long, part int, t long")
     return marked.select("user_id", "t")
 
 
