@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 from tests.llm.cases import odd_documents, write_tables
-from vespertide.llm.pieces import CharacterMap, decode_pieces, digest_rows, encode_pieces, load_pieces, op5_sentencepiece
+from vespertide.llm.pieces import CharacterMap, PieceModel, decode_pieces, digest_rows, encode_pieces, load_pieces, op5_sentencepiece
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -152,3 +152,19 @@ def test_digests_carry_the_spans(spark):
         spans = model.encode_with_spans(t)
         want.append((len(t.encode()), hashlib.sha256(b"".join(struct.pack("<ii", b, e) for _, b, e in spans)).hexdigest()))
     assert got == sorted(want)
+
+
+def test_chunks_of_many_texts_are_merged_together(monkeypatch):
+    rng = random.Random(4)
+    model = PieceModel(open(PATH, "rb").read())
+    texts = ["".join(rng.choice("abdehinorstééß日▁  \n.0😀") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "o" * 33, "e" * 500, "schiff " * 40]
+    chunks = {c for t in texts for c in model.chunks.findall(model.normalise(t.encode())[0].decode())}
+    model.learn(chunks)
+    # Only long chunks and those with a character that is no piece are left to the walk over one chunk.
+    assert {c for c in chunks if c not in model.memo} == {c for c in chunks if len(c) > 32 or any(x not in model.ids for x in c)}
+    assert all(model.memo[c] == model._encode_chunk(c) for c in chunks)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    monkeypatch.setattr("vespertide.llm.pieces.GROUP_CHARACTERS", 50)
+    for t, (_, ids, decoded, _, _) in zip(texts, PieceModel(open(PATH, "rb").read()).digests(texts), strict=True):
+        want = library.encode(t, add_eos=True)
+        assert (ids, decoded) == (" ".join(map(str, want)), library.decode(want))

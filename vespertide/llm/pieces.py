@@ -8,7 +8,8 @@ and the number of bytes inside are part of every result.
 
 Texts are merged in chunks that no vocabulary piece can cross: a cut between two characters is
 made only where loading has proven that no piece holds these two side by side. A bounded
-per-worker memo keeps chunks that came before.
+per-worker memo keeps chunks that came before; new ones of many texts are merged together, each
+round of merges as one step over arrays.
 
 Cases: a null text counts as empty and gives the end id alone; a text of any length is encoded
 whole; repeated rows are encoded each for itself; other columns are carried along untouched.
@@ -21,7 +22,8 @@ import heapq
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,8 +38,11 @@ from vespertide.llm.tokens import Memo
 # Fixed values of the model file format: piece kinds and the visible space.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-MEMO_ENTRIES = 60_000
+MEMO_ENTRIES = 120_000
 LONG_CHUNK = 64
+#: Characters of a chunk that is merged together with others, and of texts whose chunks are.
+SHORT_CHUNK = 32
+GROUP_CHARACTERS = 1_000_000
 #: Characters that no piece may hold but that texts hold often; marks of the vocabulary itself are added.
 CUT_CANDIDATES = "\n\t\r"
 
@@ -134,6 +139,11 @@ class PieceModel:
         self.place = {self.pieces[i][0]: place[self.pieces[i][1]] for i in order}
         self.chunks = re.compile(self._cut_pattern())
         self.memo = Memo(self._encode_chunk, MEMO_ENTRIES, 4 * LONG_CHUNK)
+        self.widths = np.array([len(p.encode("utf-8")) for p, _, _ in self.pieces], np.int32)
+        self.numbers = list(map(str, range(len(self.pieces))))
+        said = {UNKNOWN: lambda p: self.unknown_text.encode("utf-8"), CONTROL: lambda p: b"", BYTE: lambda p: bytes((int(p[3:5], 16),))}
+        self.spoken = [said.get(kind, lambda p: p.replace(SPACE, " ").encode("utf-8"))(p) for p, _, kind in self.pieces]
+        self._tables()
 
     # Normalisation ---------------------------------------------------------------------------------
 
@@ -247,57 +257,125 @@ class PieceModel:
                     heapq.heappush(heap, (q, p, len(symbols[p]) + len(symbols[right[p]])))
         return [s for s in symbols if s]
 
-    def _encode_chunk(self, chunk: str) -> tuple[str, str, Sequence[int], Sequence[int], int, int]:
-        """Ids as text, decoded text, begins and ends of the pieces in bytes of the chunk, and the numbers of pieces and bytes."""
-        ids, begins, ends, at = [], [], [], 0
+    def _tables(self) -> None:
+        """What merging over arrays looks up: ids of characters, places of ids, and which id two neighbours make."""
+        self.none = len(self.place)
+        # The last one stands for no piece.
+        self.places = np.array([self.place.get(p, self.none) if kind == NORMAL else self.none for p, _, kind in self.pieces] + [self.none], np.int32)
+        self.letters = np.full(0x110000, -1, np.int32)
+        made: dict[int, int] = {}
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    made[a * len(self.pieces) + b] = i
+        order = sorted(made)
+        self.pairs, self.makes = np.array([*order, 1 << 62], np.int64), np.array([*map(made.__getitem__, order), -1], np.int32)
+
+    def _makes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that two neighbours make, or -1; an id of -1 is no neighbour."""
+        pair = a * np.int64(len(self.pieces)) + b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where((self.pairs[at] == pair) & (a >= 0) & (b >= 0), self.makes[at], -1)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Puts chunks in the memo that are not there. Each round merges in every chunk the two symbols of best score, leftmost first."""
+        new = [c for c in chunks if len(c) <= SHORT_CHUNK and c not in self.memo and c not in self.memo.old]
+        if not new:
+            return
+        sizes = np.array(list(map(len, new)))
+        wide = int(sizes.max())
+        there = np.arange(wide + 1) < sizes[:, None]
+        symbols = np.full(there.shape, -1, np.int32)
+        symbols[there] = self.letters[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)]
+        # Characters that are no piece are left to the walk over one chunk.
+        known = np.flatnonzero(((symbols >= 0) == there).all(1))
+        symbols, there = symbols[known], there[known]
+        right = np.broadcast_to(np.arange(1, wide + 2), there.shape).copy()
+        left = right - 2
+        makes = np.full(there.shape, -1, np.int32)
+        makes[:, :-1] = self._makes(symbols[:, :-1], symbols[:, 1:])
+        order, live = self.places[makes], np.arange(len(known))
+        while len(live):
+            i = order[live].argmin(1)
+            more = order[live, i] < self.none
+            live, i = live[more], i[more]
+            j, k, h = right[live, i], right[live, right[live, i]], left[live, i]
+            new_symbol = symbols[live, i] = makes[live, i]
+            symbols[live, j], there[live, j], order[live, j] = -1, False, self.none
+            right[live, i] = k
+            left[live, np.minimum(k, wide)] = i
+            # Column `wide` holds no symbol, so it stands for both ends.
+            for at, a, b in ((i, new_symbol, symbols[live, np.minimum(k, wide)]), (np.where(h < 0, wide, h), symbols[live, np.where(h < 0, wide, h)], new_symbol)):
+                makes[live, at] = got = self._makes(a, b)
+                order[live, at] = self.places[got]
+        ids = symbols[there]
+        width = self.widths[ids]
+        data = np.stack([ids, width, width], axis=1).tobytes()
+        ends = (12 * there.sum(1).cumsum()).tolist()
+        for n, a, b in zip(known.tolist(), [0, *ends], ends):
+            self.memo.put(new[n], data[a:b])
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        """The pieces of a chunk, each as three 32-bit numbers: its id, the bytes from its begin to that of the next, and the bytes of its span."""
+        rows = array("i")
         for piece in self.merged(list(chunk)):
             n = len(piece.encode("utf-8"))
             if (known := self.ids.get(piece)) is not None:
-                new = [known]
+                rows.extend((known, n, n))
             elif self.byte_ids:
                 # The bytes of one unknown character share its whole span.
-                new = [self.byte_ids[b] for b in piece.encode("utf-8")]
-            elif ids and ids[-1] == self.unknown:
-                ends[-1] = at = at + n
-                continue
+                for k, b in enumerate(piece.encode("utf-8"), 1):
+                    rows.extend((self.byte_ids[b], n if k == n else 0, n))
+            elif rows and rows[-3] == self.unknown:
+                rows[-2] += n
+                rows[-1] += n
             else:
-                new = [self.unknown]
-            ids += new
-            begins += [at] * len(new)
-            at += n
-            ends += [at] * len(new)
-        if at < 256:
-            # Bytes iterate as numbers and keep the memo small.
-            begins, ends = bytes(begins), bytes(ends)
-        return " ".join(map(str, ids)), self.decode(ids, False), begins, ends, len(ids), at
-
-    def encode(self, text: str) -> tuple[str, str, np.ndarray, np.ndarray]:
-        """Ids as text without the end id, decoded text, and begins and ends of the pieces in original bytes."""
-        normal, align = self.normalise(text.encode("utf-8"))
-        got = list(map(self.memo.__getitem__, self.chunks.findall(normal.decode("utf-8"))))
-        decoded = "".join([x[1] for x in got])
-        if self.dummy_prefix and decoded.startswith(" "):
-            decoded = decoded[1:]
-        if not got:
-            return "", decoded, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes = np.array([x[5] for x in got])
-        shift = np.repeat(np.cumsum(sizes) - sizes, [x[4] for x in got])
-        begins = align[np.fromiter(chain.from_iterable([x[2] for x in got]), np.int64, len(shift)) + shift]
-        ends = align[np.fromiter(chain.from_iterable([x[3] for x in got]), np.int64, len(shift)) + shift]
-        return " ".join([x[0] for x in got]), decoded, begins, ends
+                rows.extend((self.unknown, n, n))
+        return rows.tobytes()
+
+    def normalised(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Chunks and alignment of each text; what is new in the chunks of some texts is learned at once."""
+        some, size = [], 0
+        for n, text in enumerate(texts, 1):
+            normal, align = self.normalise(text.encode("utf-8"))
+            some.append((self.chunks.findall(normal.decode("utf-8")), align))
+            size += len(text)
+            if size >= GROUP_CHARACTERS or n == len(texts):
+                self.learn(set().union(*[chunks for chunks, _ in some]))
+                yield from some
+                some, size = [], 0
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
+        """Ids of each text without the end id, decoded text, and begins and ends of the pieces in original bytes."""
+        for chunks, align in self.normalised(texts):
+            found = np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), np.int32).reshape(-1, 3)
+            ids, at = found[:, 0].tolist(), found[:, 1].cumsum() - found[:, 1]
+            try:
+                decoded = b"".join(map(self.spoken.__getitem__, ids)).decode("utf-8")
+                decoded = decoded[1:] if self.dummy_prefix and decoded.startswith(" ") else decoded
+            except UnicodeDecodeError:
+                decoded = self.decode(ids)
+            yield ids, decoded, align[at], align[at + found[:, 2]]
 
     def encode_with_spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) in original bytes. The bytes of one unknown character share its whole span."""
-        ids, _, begins, ends = self.encode(text)
-        return list(zip(map(int, ids.split()), begins.tolist(), ends.tolist()))
+        ids, _, begins, ends = next(self.encode([text]))
+        return list(zip(ids, begins.tolist(), ends.tolist()))
 
     def digest(self, text: str) -> tuple[int, str, str, int, bytes]:
-        """Number of ids, ids as text with the end id, decoded text, original bytes inside spans, and the spans as 32-bit numbers."""
-        ids, decoded, begins, ends = self.encode(text)
-        ids = f"{ids} {self.end}" if ids else str(self.end)
-        reach = np.maximum.accumulate(np.r_[0, ends])[:-1]
-        inside = int(np.maximum(0, ends - np.maximum(begins, reach)).sum())
-        return len(begins) + 1, ids, decoded, inside, np.stack([begins, ends], axis=1).astype("<i4").tobytes()
+        """What digests() gives of one text."""
+        return next(self.digests([text]))
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, int, bytes]]:
+        """Of each text the number of ids, ids as text with the end id, decoded text, original bytes inside spans, and the spans as 32-bit numbers."""
+        for ids, decoded, begins, ends in self.encode(texts):
+            said = " ".join(map(self.numbers.__getitem__, [*ids, self.end]))
+            reach = np.maximum.accumulate(np.r_[0, ends])[:-1]
+            inside = int(np.maximum(0, ends - np.maximum(begins, reach)).sum())
+            yield len(ids) + 1, said, decoded, inside, np.stack([begins, ends], axis=1).astype("<i4").tobytes()
 
     # Decoding --------------------------------------------------------------------------------------
 
@@ -356,8 +434,7 @@ def encode_digests(df: DataFrame, model_path: str, text_col: str = "text", into:
         sha = hashlib.sha256
         for texts in batches:
             rows = []
-            for t in texts:
-                n, ids, decoded, inside, spans = model.digest(t)
+            for n, ids, decoded, inside, spans in model.digests(texts.tolist()):
                 rows.append((n, sha(ids.encode()).hexdigest(), sha(decoded.encode("utf-8")).hexdigest(), inside, sha(spans).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_covered", "spans_sha256"]).astype({"n_tokens": "int64", "n_covered": "int64"})
 
@@ -371,7 +448,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", into:
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_pieces(model_path)
         for texts in batches:
-            yield pd.Series([[{"id": i, "begin": b, "end": e} for i, b, e in model.encode_with_spans(t)] for t in texts])
+            yield pd.Series([[{"id": i, "begin": b, "end": e} for i, b, e in zip(ids, begins.tolist(), ends.tolist())] for ids, _, begins, ends in model.encode(texts.tolist())])
 
     return df.withColumn(into, spans(whole_text(F.col(text_col))))
 

@@ -55,11 +55,14 @@ class Memo(dict):
             value = self.make(key)
             if len(key) > self.longest:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class WholeTokenCounter:
