@@ -2,7 +2,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from vespertide.operators import common
 from vespertide.operators.signals import DenseSignal, unit_vector
+from vespertide.plans import catalogue
 
 
 def plan_of(df):
@@ -34,3 +36,14 @@ def test_a_norm_is_taken_once_a_row(spark):
     out = df.select(unit_vector(F.col("v")).alias("u"))
     assert [r["u"] for r in out.collect()] == [[0.6, 0.8], None, None, None]
     assert "/ SQRT(aggregate" not in plan_of(out)
+
+
+def test_signals_of_saved_items_are_loaded_by_other_sessions(spark, sf_dir, monkeypatch):
+    built = []
+    monkeypatch.setattr("vespertide.operators.common.save_table", lambda df, path, made_of, save=common.save_table: built.append(path) or save(df, path, made_of))
+    first = sorted(map(tuple, catalogue.metadata(spark, sf_dir).weights.collect()))
+    # Another session has checked nothing yet, and its plans have other hashes.
+    monkeypatch.setattr(common, "_CHECKED", {})
+    monkeypatch.setattr(type(spark.range(1)), "semanticHash", lambda df: -1)
+    built.clear()
+    assert sorted(map(tuple, catalogue.metadata(spark, sf_dir).weights.collect())) == first and not built
