@@ -1,6 +1,6 @@
 import random
 
-from vespertide.llm import linededup
+from vespertide.llm import common, linededup
 
 
 def plain(rows):
@@ -119,3 +119,16 @@ def test_hot_keys_are_dealt_in_shards(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_passages(docs).collect()}
     assert got == {i: t if i == 0 else f"own start {i}\nown end {i}" for i, t in rows}
+
+
+def test_windows_over_lines_keep_the_parts_of_the_session(spark):
+    rows = [(i, "\n".join(f"{i} line {k} " + "word " * (60 if k % 5 == 0 else 9) for k in range(12))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        found = linededup.chunks_of(common.materialize(linededup.worded_lines(docs), "lines"))
+        # Small rows are not packed into a few tasks, each of which sorts all of its lines once for each order.
+        assert found.rdd.getNumPartitions() == 13
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -2,6 +2,7 @@ import copy
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import public_tokenizers
 import sentencepiece
@@ -168,3 +169,18 @@ def test_chunks_of_many_texts_are_merged_together(monkeypatch):
     for t, (_, ids, decoded, _, _) in zip(texts, PieceModel(open(PATH, "rb").read()).digests(texts), strict=True):
         want = library.encode(t, add_eos=True)
         assert (ids, decoded) == (" ".join(map(str, want)), library.decode(want))
+
+
+def test_merging_many_chunks_takes_bounded_memory():
+    model = PieceModel(open(PATH, "rb").read())
+    rng = random.Random(4)
+    chunks = {"▁" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 25))) for _ in range(40_000)}
+    tracemalloc.start()
+    try:
+        model.learn(chunks)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # All 40,000 at once took about 2 KB each.
+    assert peak - kept < 40e6
+    assert all(model.memo[c] == model._encode_chunk(c) for c in rng.sample(sorted(chunks), 300))

@@ -63,6 +63,8 @@ def worded_lines(docs: DataFrame) -> DataFrame:
 def chunks_of(lines: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """One row per chunk: document, first and last line, words, hash, and the hashes of its short lines where it has a long one too (side)."""
     doc = W.partitionBy(*KEY)
+    # Three sorts hold their rows in a task at once, and rows of hashes are small when packed, so parts by packed size would be too large.
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     upto = F.sum("words").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     placed = lines.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
     is_long = F.col("words") >= passage_words
@@ -74,10 +76,10 @@ def chunks_of(lines: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame
     found = placed.select(
         *KEY,
         F.array(
-            # As few lines as hold the words, onwards and backwards, and a long line with the next one.
+            # As few lines as hold the words, onwards and backwards, and a long line with the next one. Every line has words, so `before` orders as pos does, without another sort.
             chunk(doc.orderBy("before").rangeBetween(0, passage_words - 1)),
             chunk(doc.orderBy("upto").rangeBetween(-(passage_words - 1), 0)),
-            F.when(is_long, chunk(doc.orderBy("pos").rowsBetween(0, 1))),
+            F.when(is_long, chunk(doc.orderBy("before").rowsBetween(0, 1))),
         ).alias("c"),
     )
     each = found.select(*KEY, F.explode(F.array_distinct(F.filter("c", lambda c: c["words"] >= passage_words))).alias("c")).select(*KEY, "c.*")

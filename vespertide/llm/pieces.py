@@ -43,6 +43,8 @@ LONG_CHUNK = 64
 #: Characters of a chunk that is merged together with others, and of texts whose chunks are.
 SHORT_CHUNK = 32
 GROUP_CHARACTERS = 1_000_000
+#: Chunks that are merged at once; each takes about 2 KB meanwhile.
+LEARN_CHUNKS = 8_192
 #: Characters that no piece may hold but that texts hold often; marks of the vocabulary itself are added.
 CUT_CANDIDATES = "\n\t\r"
 
@@ -281,10 +283,13 @@ class PieceModel:
         return np.where((self.pairs[at] == pair) & (a >= 0) & (b >= 0), self.makes[at], -1)
 
     def learn(self, chunks: set[str]) -> None:
-        """Puts chunks in the memo that are not there. Each round merges in every chunk the two symbols of best score, leftmost first."""
-        new = [c for c in chunks if len(c) <= SHORT_CHUNK and c not in self.memo and c not in self.memo.old]
-        if not new:
-            return
+        """Puts chunks in the memo that are not there, some of about the same length at once."""
+        new = sorted((c for c in chunks if len(c) <= SHORT_CHUNK and c not in self.memo and c not in self.memo.old), key=len)
+        for first in range(0, len(new), LEARN_CHUNKS):
+            self._learn(new[first : first + LEARN_CHUNKS])
+
+    def _learn(self, new: list[str]) -> None:
+        """Each round merges in every chunk the two symbols of best score, leftmost first."""
         sizes = np.array(list(map(len, new)))
         wide = int(sizes.max())
         there = np.arange(wide + 1) < sizes[:, None]
