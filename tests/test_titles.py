@@ -94,3 +94,22 @@ def test_nothing_asked_or_stored(spark):
     some = spark.createDataFrame([(1, "??", "a", None, 0, 0.0)], CANDIDATES)
     assert best_matches(blank, some).count() == 0
     assert [r["id"] for r in best_matches(requests, some).collect()] == [1]
+
+
+def test_what_many_requests_ask_for_meets_titles_that_score_alike_once(spark, monkeypatch):
+    """300 requests for a title that 200 candidates have are 60,000 pairs; three questions about four kinds of them are twelve."""
+    met, scored = [], TitleIndex.scored
+
+    def counted(index, asked):
+        found = scored(index, asked)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(TitleIndex, "scored", counted)
+    stored = [dict(id=1000 - i, got="redbolt", alt=None, year=["1999", None][i % 2], votes=[9000, 6000, None][i % 3], popularity=[100.0, 300.0, None][i % 3]) for i in range(200)]
+    asked = [(i, ["Red Bolt", "RED BOLT!", "réd bolt"][i % 3], ["1999", "2000", None][i // 100]) for i in range(300)]
+    requests, candidates = tables(spark, stored, asked)
+    got = {r["request"]: (-r["score"], r["id"]) for r in best_matches(requests, candidates).collect()}
+    best = {year: min((-score("redbolt", year, c)[1], c["id"]) for c in stored) for year in ["1999", "2000", None]}
+    assert got == {i: best[year] for i, _, year in asked}
+    assert met == [12]
