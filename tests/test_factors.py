@@ -112,3 +112,50 @@ def test_a_row_that_stands_for_equal_ones_counts_as_often(spark):
     assert np.allclose(a @ a.T, b @ b.T)
     # As many factors as the whole matrix has, also where that is as many as there are classes.
     assert len(truncated(spark.createDataFrame(cells, "row long, col long, v double"), 20, sizes=sizes).first()["vec"]) == 6
+
+
+def in_parts(monkeypatch, rows, block_bytes=1 << 25):
+    monkeypatch.setattr(factors, "BLOCK_ENTRIES", 50)
+    monkeypatch.setattr(factors, "PART_ROWS", rows)
+    monkeypatch.setattr(factors, "BLOCK_BYTES", block_bytes)
+
+
+@pytest.mark.parametrize("rows, block_bytes", [(7, 1 << 25), (3, 1), (1000, 1 << 25)])
+def test_products_in_packed_parts_equal_dense_ones(spark, monkeypatch, rows, block_bytes):
+    """A row and a column that have every entry, and others with few; parts that hold one group, or all rows."""
+    in_parts(monkeypatch, rows, block_bytes)
+    rng = np.random.default_rng(8)
+    m = (rng.random((61, 40)) < 0.1) * rng.random((61, 40))
+    m[5, :], m[:, 7] = rng.random(40) + 0.1, rng.random(61) + 0.1
+    i, j = np.nonzero(m)
+    entries = spark.createDataFrame([(int(r) * 7 - 30, int(c) * 11 + 5, float(m[r, c])) for r, c in zip(i, j)], "row long, col long, v double")
+    parts = factors.Parts(factors.Blocks(entries), 4)
+    for into, over, ids, matrix in (("row", "col", np.arange(61) * 7 - 30, m), ("col", "row", np.arange(40) * 11 + 5, m.T)):
+        d = factors.gaussian(np.arange(40) * 11 + 5 if over == "col" else np.arange(61) * 7 - 30, 4, 3)
+        got = {r["id"]: r["vec"] for r in parts.named(parts.times(parts.random(over, 3), into, 4), into).collect()}
+        assert sorted(got) == ids.tolist() and np.allclose([got[i] for i in ids], matrix @ d)
+
+
+def test_factors_in_packed_parts_equal_those_of_a_dense_decomposition(spark, monkeypatch):
+    """Fewer directions than asked for are left where the rank is small; equal rows may stand for many."""
+    in_parts(monkeypatch, 7)
+    monkeypatch.setattr(factors, "block_product", None)
+    monkeypatch.setattr(factors, "entry_products", None)
+    rng = np.random.default_rng(9)
+    m = rng.random((50, 5)) @ rng.random((5, 40))
+    assert np.abs(cosines(run(spark, m, 20)) - cosines(m)).max() < 1e-8
+    u, s, vt = np.linalg.svd(rng.random((90, 60)), full_matrices=False)
+    m = (u[:, :12] * s[:12]) @ vt[:12] + 0.02 * (u[:, 12:] * s[12:]) @ vt[12:]
+    assert np.abs(cosines(run(spark, m, 12)) - cosines(dense_factors(m, 12))).max() < 1e-3
+
+
+def test_a_vector_is_sent_once_to_a_group_or_sums_if_they_are_fewer(spark, monkeypatch):
+    """Near ids that meet each other: a matrix of 30 squares on its diagonal sends 240 vectors a product, not one for each of 1,920 entries."""
+    in_parts(monkeypatch, 8)
+    entries = spark.createDataFrame([(8 * b + i, 8 * b + j, 1.0 + i + j) for b in range(30) for i in range(8) for j in range(8)], "row long, col long, v double")
+    parts = factors.Parts(factors.Blocks(entries), 4)
+    sent = lambda side: sum(len(r["send"] if r["sums"] == 0 else r["into"]) // 4 for r in parts.packs[side].collect())
+    assert sent("row") == sent("col") == 240
+    hot = spark.createDataFrame([(0, j, 1.0) for j in range(200)] + [(1, j, 1.0) for j in range(200)], "row long, col long, v double")
+    parts = factors.Parts(factors.Blocks(hot), 4)
+    assert sum(r["sums"] * len(r["into"]) // 4 for r in parts.packs["row"].collect()) <= 2 * 25
