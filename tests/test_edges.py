@@ -34,6 +34,19 @@ def test_pairs_of_an_order_are_not_shuffled(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 5])
+def test_items_are_counted_whole_where_batches_cut_their_lists(spark, monkeypatch, rows):
+    """Counting takes an item's lists in order, a batch at a time, and sorts no pairs as rows."""
+    lines = spark.createDataFrame([(k, i) for k, items in ORDERS.items() for i in items], "l_orderkey long, l_partkey long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        found = tables.ordered_together(lines, 2)
+        assert {tuple(r) for r in found.collect()} == expected(2)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_a_request_that_names_no_item_asks_for_no_edges(spark, sf_dir, monkeypatch):
     def none(*_, **__):
         raise AssertionError("edges were asked for")
